@@ -9,12 +9,28 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-CUSTOMER_BASE = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "map<string double>": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """'name type, name type'; unlike ``fromDDL`` it needs no running session."""
+    pairs = [f.strip().split(" ", 1) for f in fields.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+CUSTOMER_BASE = _struct(
     "customer_id string, birth_year int, age int, work_type string, has_mobile boolean, "
     "has_id_card boolean, has_driving_licence boolean, has_passport boolean"
 )
 
-LOAN_HISTORY = T.StructType.fromDDL(
+LOAN_HISTORY = _struct(
     "customer_id string, loan_id string, disbursed_amount double, disbursed_date timestamp, "
     "asset_cost double, ltv double, branch_id string, dealer_id string, manufacturer_id string, "
     "area_id string, term int, rate double, product string, apply_time timestamp, status string, "
@@ -32,7 +48,7 @@ ACCOUNT_MEASURES = {
     "n_periods": "int",
 }
 
-ACCOUNT_BEHAVIOR = T.StructType.fromDDL(
+ACCOUNT_BEHAVIOR = _struct(
     "customer_id string, "
     + ", ".join(
         f"{prefix}_{name} {kind}"
@@ -41,30 +57,30 @@ ACCOUNT_BEHAVIOR = T.StructType.fromDDL(
     )
 )
 
-REPAYMENT = T.StructType.fromDDL(
+REPAYMENT = _struct(
     "customer_id string, overdue_total int, outstanding_disbursed_ratio double, "
     "disbursed_approved_ratio double, active_inactive_ratio double, loan_default int"
 )
 
-CREDIT_BUREAU = T.StructType.fromDDL(
+CREDIT_BUREAU = _struct(
     "customer_id string, credit_score int, credit_grade string, credit_history string, "
     "inquiry_cnt int, new_loans_6m int, defaults_6m int, avg_loan_term double"
 )
 
-APPLICATION = T.StructType.fromDDL(
+APPLICATION = _struct(
     "application_id string, customer_id string, apply_time timestamp, amount double, term int, "
-    "purpose string, area_id string, features map<string,double>"
+    "purpose string, area_id string, features map<string double>"
 )
 
-AREA_LOOKUP = T.StructType.fromDDL(
+AREA_LOOKUP = _struct(
     "area_id string, area_name string, latitude double, longitude double"
 )
 
-BUSINESS_EVENT = T.StructType.fromDDL("event_ts timestamp, event_type string, note string")
+BUSINESS_EVENT = _struct("event_ts timestamp, event_type string, note string")
 
-LIFE_EVENT = T.StructType.fromDDL("customer_id string, event_ts timestamp, event_type string")
+LIFE_EVENT = _struct("customer_id string, event_ts timestamp, event_type string")
 
-REPAIRED_CELL = T.StructType.fromDDL(
+REPAIRED_CELL = _struct(
     "customer_id string, feature string, value string, method string, confidence double, "
     "evidence string"
 )
