@@ -54,7 +54,7 @@ def application_burst(
     return gap.withColumns(
         {
             "burst": F.col("cnt_burst") >= n,
-            "gap_seconds": F.unix_micros(ts) / F.lit(1e6) - F.unix_micros("_prev") / F.lit(1e6),
+            "gap_seconds": (F.unix_micros(ts) - F.unix_micros("_prev")) / F.lit(1e6),
         }
     ).drop("_prev")
 

@@ -97,14 +97,19 @@ def _search(visits: DataFrame, cand: DataFrame, blocks: DataFrame, k: int, id_ty
     visits = visits.join(blocks, "_cell").withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )
-    pairs = visits.select("_cell", "_block", "_chunk").distinct()
-    cand = cand.join(pairs, ["_cell", "_block"])
     on = ["_cell", "_block", "_chunk"]
+
+    def fresh(df, *cols):
+        # New column identities: both sides may stem from the same table.
+        return df.select(*[F.col(c).alias(c) for c in cols])
+
+    pairs = fresh(visits, *on).distinct()
+    cand = fresh(cand.join(pairs, ["_cell", "_block"]), "_cid", "_vec", *on)
     kernel, schema = _compare(k, id_type)
     return (
         visits.select("_qid", "_vec", *on)
         .groupBy(*on)
-        .cogroup(cand.select("_cid", "_vec", *on).groupBy(*on))
+        .cogroup(cand.groupBy(*on))
         .applyInPandas(kernel, schema)
     )
 
