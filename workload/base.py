@@ -73,7 +73,7 @@ PROXY = {
                SUM(outstanding) * 0.75 AS pri_outstanding, SUM(outstanding) * 0.25 AS sec_outstanding,
                SUM(approved) * 0.75 AS pri_approved, SUM(approved) * 0.25 AS sec_approved,
                SUM(disbursed) * 0.75 AS pri_disbursed, SUM(disbursed) * 0.25 AS sec_disbursed,
-               SUM(approved) * 0.0625 AS pri_installment, SUM(approved) * 0.03125 AS sec_installment
+               SUM(approved) * 0.07 AS pri_installment, SUM(approved) * 0.02 AS sec_installment
         FROM (SELECT l_orderkey, COUNT(*) AS n,
                      SUM(CASE WHEN l_linenumber <= 4 THEN 1 ELSE 0 END) AS pri_n,
                      SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS o,
