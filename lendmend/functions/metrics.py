@@ -50,3 +50,11 @@ def f1(label: ColumnOrName, predicted: ColumnOrName) -> Column:
     return F.try_divide(
         2.0 * hit, F.count_if(_c(label) == 1) + F.count_if(_c(predicted) == 1)
     )
+
+
+def pearson(x: ColumnOrName, y: ColumnOrName) -> Column:
+    """Correlation; null where either side is constant (``corr`` raises there under ANSI mode)."""
+    x, y = _c(x).cast("double"), _c(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

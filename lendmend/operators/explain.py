@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendmend.functions.metrics import pearson
 from lendmend.operators.keyed import top_per_key
 
 MAX_PATH_FEATURES = 12
@@ -219,7 +220,7 @@ def shap_sanity(shap_df: DataFrame, expected_signs: dict[str, int]) -> DataFrame
     return (
         shap_df.where(F.col("feature").isin(list(expected_signs)))
         .groupBy("feature")
-        .agg(F.corr("value", "shap").alias("r"))
+        .agg(pearson("value", "shap").alias("r"))
         .withColumn("expected", sign)
         .withColumn(
             "contradicts",

@@ -12,11 +12,12 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendmend.functions.metrics import pearson
+
 
 def corr_with_label(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, r): Pearson correlations with the label, in one pass; null for a constant."""
-    y = F.col(label).cast("double")
-    one = df.agg(*[F.corr(F.col(f).cast("double"), y).alias(f) for f in features])
+    one = df.agg(*[pearson(f, label).alias(f) for f in features])
     return one.unpivot([], features, "feature", "r").withColumn(
         "r", F.nanvl("r", F.lit(None).cast("double"))
     )
@@ -84,7 +85,7 @@ class RFE:
     def fit(self, train: DataFrame, features: list[str]) -> Selection:
         kept, dropped = list(features), {}
         base = train.select(*[F.col(c).cast("double").alias(c) for c in [*features, self.label]])
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        base.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             while len(kept) > self.n:
                 forest = RandomForestClassifier(
@@ -109,13 +110,14 @@ class LassoSelector:
     logistic: bool = True
 
     def fit(self, train: DataFrame, features: list[str]) -> Selection:
-        data = _assembled(train, features, self.label)
+        data = _assembled(train, features, self.label).persist(StorageLevel.MEMORY_AND_DISK)
         scaled = StandardScaler(inputCol="features", outputCol="x", withMean=True).fit(data)
         learner = (LogisticRegression if self.logistic else LinearRegression)(
             featuresCol="x", labelCol=self.label, regParam=self.reg, elasticNetParam=1.0,
-            standardization=False,
+            standardization=False, maxIter=50,
         )
         coef = learner.fit(scaled.transform(data)).coefficients.toArray()
+        data.unpersist()
         kept = [f for f, c in zip(features, coef) if c != 0.0]
         return Selection(kept, {f: "lasso" for f in features if f not in kept})
 
@@ -129,17 +131,19 @@ def select_features(
     Input columns are unscaled; a step that would drop everything is skipped.
     """
     kept, dropped = list(features), {}
-    for selector in (
-        VarFilter(least_variance),
-        CorrFilter(label, least_corr),
-        RFE(label, target, step),
-        LassoSelector(label, reg),
-    ):
-        if not kept:
-            break
-        got = selector.fit(train, kept)
-        if got.kept:
-            kept, dropped = got.kept, {**dropped, **got.dropped}
+    rows = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for selector in (
+            VarFilter(least_variance),
+            CorrFilter(label, least_corr),
+            RFE(label, target, step),
+            LassoSelector(label, reg),
+        ):
+            got = selector.fit(rows, kept)
+            if got.kept:
+                kept, dropped = got.kept, {**dropped, **got.dropped}
+    finally:
+        rows.unpersist()
     return Selection(kept, dropped)
 
 

@@ -125,6 +125,15 @@ PROXY = {
         SELECT b.customer_id, b.work_type, b.age, b.has_mobile, b.has_id_card, b.has_passport,
                u.credit_score
         FROM {customer_base} b JOIN {credit_bureau} u ON u.customer_id = b.customer_id""",
+    # The same after discretisation, as text.
+    "banded": """
+        SELECT customer_id, work_type,
+               CASE WHEN age >= 50 THEN 'old' WHEN age >= 30 THEN 'middle' WHEN age >= 18 THEN 'young' END AS age_group,
+               CASE WHEN credit_score >= 750 THEN 'excellent' WHEN credit_score >= 650 THEN 'good'
+                    WHEN credit_score >= 550 THEN 'fair' WHEN credit_score IS NOT NULL THEN 'poor' END AS credit_grade,
+               CASE WHEN has_mobile THEN 'yes' ELSE 'no' END AS has_mobile,
+               CASE WHEN customer_id % 9 <> 0 THEN CASE WHEN has_passport THEN 'yes' ELSE 'no' END END AS has_passport
+        FROM {repairable}""",
     "business_events": """
         SELECT CAST(event_ts AS TIMESTAMP) AS event_ts, event_type FROM (
             SELECT MIN(o_orderdate) + INTERVAL '500' DAY AS event_ts, 'policy change' AS event_type

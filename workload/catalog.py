@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import cleaning, joining, reporting  # noqa: F401
+from workload import cleaning, deciding, joining, repairing, reporting  # noqa: F401
 from workload.base import REGISTRY
 
 __all__ = ["REGISTRY"]
