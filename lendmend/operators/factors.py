@@ -60,9 +60,14 @@ class Ratings:
 def to_ratings(
     df: DataFrame, features: list[str], key: str = KEY, scaler: ScalerModel | None = None
 ) -> Ratings:
-    """Customer x feature cells; a missing value is an absent cell. Features are standardised."""
+    """Customer x feature cells; a missing value is an absent cell. Features are standardised.
+
+    Ids and cells are written once: the factorisation and every repair read them again.
+    """
+    from lendmend.sources.zones import written
+
     scaler = scaler or Scaler(features).fit(df)
-    users = dense_ids(df, key)
+    users = written(dense_ids(df, key), "users")
     long = (
         scaler.transform(df)
         .select(key, *[F.col(f"{f}_std").alias(f) for f in features])
@@ -71,8 +76,9 @@ def to_ratings(
         .join(users, key)
     )
     out = Ratings(long, users, features, scaler)
-    out.cells = long.select(
-        "user", out.item_of(F.col("feature")).alias("item"), F.col("value").cast("float").alias("rating")
+    item = out.item_of(F.col("feature")).alias("item")
+    out.cells = written(
+        long.select("user", item, F.col("value").cast("float").alias("rating")), "ratings"
     )
     return out
 
@@ -134,12 +140,14 @@ def knn_repair(
     model: ALSModel, missing: DataFrame, ratings: Ratings, k: int = 20, key: str = KEY, **kw
 ) -> DataFrame:
     """(key, feature, value) from the k customers whose factors are most similar."""
+    from lendmend.sources.zones import written
+
     factors = model.userFactors.select(
         F.col("id").alias("user"), F.col("features").cast("array<double>").alias("vec")
     )
-    asking = factors.join(missing.select("user").distinct(), "user", "left_semi")
+    wanted = written(missing.select("user", "item").distinct(), "wanted")
+    asking = factors.join(wanted, "user", "left_semi")
     near = similar(asking, factors, "vec", k, id_col="user", **kw)
-    wanted = missing.select("user", "item").distinct()
     seen = ratings.cells.select("user", "item", F.col("rating").cast("double").alias("value"))
     scaled = weighted_value(
         near, seen.withColumnRenamed("item", "feature"), key="user"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lendmend.functions import ratios as R
 from lendmend.functions.dates import date_parts
-from lendmend.operators.keyed import previous_instant, trailing
+from lendmend.operators.keyed import trailing, trailing_with_previous
 
 KEY = "customer_id"
 WINDOWS = (3, 6, 12)
@@ -49,9 +49,8 @@ def application_burst(
     apps: DataFrame, ts: str = "apply_time", n: int = 3, days: int = 7, key: str = KEY, **kw
 ) -> DataFrame:
     """At least ``n`` applications within ``days`` up to now; with the gap to the one before."""
-    counted = trailing(apps, key, ts, {"burst": f"{days} DAY"}, include_current=True, **kw)
-    gap = previous_instant(counted, key, ts, "_prev", **kw)
-    return gap.withColumns(
+    seen = trailing_with_previous(apps, key, ts, {"burst": f"{days} DAY"}, "_prev", **kw)
+    return seen.withColumns(
         {
             "burst": F.col("cnt_burst") >= n,
             "gap_seconds": (F.unix_micros(ts) - F.unix_micros("_prev")) / F.lit(1e6),

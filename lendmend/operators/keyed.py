@@ -162,16 +162,23 @@ def previous_instant(
 ) -> DataFrame:
     """The key's latest earlier instant, null for the first."""
     normal, hot = split_hot(df, key, hot_rows)
-    earlier = f"max(`{ts}`) OVER (PARTITION BY `{key}` ORDER BY `{ts}`"
-    plain = normal.withColumn(
+    plain = _previous_frame(normal, key, ts, out)
+    return plain if hot is None else plain.unionByName(_previous_by_day(hot, key, ts, out))
+
+
+def _previous_frame(df, key, ts, out):
+    return df.withColumn(
         out,
         F.expr(
-            f"{earlier} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING)"
+            f"max(`{ts}`) OVER (PARTITION BY `{key}` ORDER BY `{ts}` RANGE BETWEEN "
+            "UNBOUNDED PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING)"
         ),
     )
-    if hot is None:
-        return plain
-    instants = hot.select(key, ts).distinct().withColumn("_day", F.to_date(ts))
+
+
+def _previous_by_day(df, key, ts, out):
+    """Inside a day the instant before; for a day's first instant the last one of earlier days."""
+    instants = df.select(key, ts).distinct().withColumn("_day", F.to_date(ts))
     days = instants.groupBy(key, "_day").agg(F.max(ts).alias("_last"))
     days = days.select(
         key, "_day", F.lag("_last").over(W.partitionBy(key).orderBy("_day")).alias("_carry")
@@ -182,4 +189,21 @@ def previous_instant(
         .join(days, [key, "_day"])
         .select(key, ts, F.coalesce("_lag", "_carry").alias(out))
     )
-    return plain.unionByName(hot.join(tied, [key, ts]))
+    return df.join(tied, [key, ts])
+
+
+def trailing_with_previous(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    spans: dict[str, str],
+    out: str = "previous_ts",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``trailing`` (current instant included) and ``previous_instant`` over one shuffle."""
+    normal, hot = split_hot(df, key, hot_rows)
+    plain = _previous_frame(_trailing_frames(normal, key, ts, spans, None, True), key, ts, out)
+    if hot is None:
+        return plain
+    cut = _trailing_prefix(_previous_by_day(hot, key, ts, out), key, ts, spans, None, True)
+    return plain.unionByName(cut)

@@ -28,12 +28,16 @@ def running_by_value(
     spark = df.sparkSession
     if ranges is None:
         ranges = min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    from lendmend.sources.zones import written
+
     signed = -F.col(value).cast("double") if descending else F.col(value).cast("double")
     per_value = (
         df.where(F.col(value).isNotNull())
         .groupBy(signed.alias("_v"))
         .agg(*[m.alias(name) for name, m in measures.items()])
     )
+    # Read twice below: for the edges and for the counts.
+    per_value = written(per_value, "per-value")
     # Edges only steer the split: any increasing edges give the same result.
     cuts = per_value.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]

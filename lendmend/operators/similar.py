@@ -32,9 +32,9 @@ def _salt(col: str, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(n) if isinstance(n, int) else n).cast("int")
 
 
-def _pivots(cand: DataFrame, n_rows: int, block_rows: int, seed: int) -> np.ndarray:
+def _pivots(cand: DataFrame, n_rows: int, cell_rows: int, seed: int) -> np.ndarray:
     """Pivot vectors. Their choice affects speed only."""
-    n = min(MAX_PIVOTS, max(1, math.ceil(n_rows / block_rows)))
+    n = min(MAX_PIVOTS, max(1, math.ceil(n_rows / cell_rows)))
     if n == 1:
         return np.array([cand.select("_vec").first()[0]], dtype=float)
     part = cand.select(array_to_vector("_vec").alias("features"))
@@ -74,18 +74,17 @@ def _compare(k: int, id_type: str, slice_rows: int = 1024):
             qi = part["_qid"].to_numpy()
             sim = np.vstack(part["_vec"].to_numpy()) @ cv.T
             sim[qi[:, None] == ci[None, :]] = -np.inf
+            # Everything at least as similar as the k-th; sorted, ties included, then cut to k.
             take = min(k, sim.shape[1])
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :take]
-            val = np.take_along_axis(sim, best, axis=1)
-            keep = np.isfinite(val)
+            kth = -np.partition(-sim, take - 1, axis=1)[:, take - 1]
+            row, col = np.nonzero((sim >= kth[:, None]) & np.isfinite(sim))
+            val = sim[row, col]
+            order = np.lexsort((col, -val, row))
+            row, col, val = row[order], col[order], val[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = nth < take
             out.append(
-                pd.DataFrame(
-                    {
-                        "_qid": np.repeat(qi, take)[keep.ravel()],
-                        "_cid": ci[best.ravel()][keep.ravel()],
-                        "_sim": val.ravel()[keep.ravel()],
-                    }
-                )
+                pd.DataFrame({"_qid": qi[row[keep]], "_cid": ci[col[keep]], "_sim": val[keep]})
             )
         return pd.concat(out, ignore_index=True)
 
@@ -125,6 +124,7 @@ def similar(
     k: int,
     id_col: str = "customer_id",
     block_rows: int = 4096,
+    cell_rows: int = 65_536,
     seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar candidates of every query.
@@ -140,17 +140,17 @@ def similar(
     if n_c == 0 or n_q == 0:
         none = queries.limit(0).select(F.col(id_col).alias("_qid"), F.col(id_col).alias("_cid"))
         return _named(none.withColumn("_sim", F.lit(0.0)), id_col)
-    pivots = _pivots(c, n_c, block_rows, seed)
+    pivots = _pivots(c, n_c, cell_rows, seed)
     chunks = max(1, math.ceil(n_q / block_rows))
-    c = _to_cells(c, pivots)
-    q = _to_cells(q, pivots).withColumn("_chunk", _salt("_qid", chunks))
     if len(pivots) == 1:
-        blocks = c.sparkSession.createDataFrame(
-            [(0, max(1, math.ceil(n_c / block_rows)))], "_cell int, _blocks int"
-        )
-        c = c.withColumn("_block", _salt("_cid", max(1, math.ceil(n_c / block_rows))))
+        n_blocks = max(1, math.ceil(n_c / block_rows))
+        blocks = c.sparkSession.createDataFrame([(0, n_blocks)], "_cell int, _blocks int")
+        c = c.withColumns({"_cell": F.lit(0), "_block": _salt("_cid", n_blocks)})
+        q = q.withColumns({"_cell": F.lit(0), "_chunk": _salt("_qid", chunks)})
         return _named(_best(_search(q, c, blocks, k, id_type), k), id_col)
 
+    c = _to_cells(c, pivots)
+    q = _to_cells(q, pivots).withColumn("_chunk", _salt("_qid", chunks))
     # One row per pivot, at most MAX_PIVOTS.
     stats = c.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("_dist").alias("radius")
