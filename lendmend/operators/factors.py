@@ -86,8 +86,10 @@ def to_ratings(
 def als_fit(
     ratings: Ratings, rank: int = 50, reg: float = 0.1, iterations: int = 10, seed: int = 7
 ) -> ALSModel:
+    spark = ratings.cells.sparkSession
+    blocks = max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return ALS(
-        rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="user", itemCol="item",
+        numUserBlocks=blocks, rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="user", itemCol="item",
         ratingCol="rating", coldStartStrategy="drop", nonnegative=False,
     ).fit(ratings.cells)
 

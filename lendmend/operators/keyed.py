@@ -2,8 +2,8 @@
 
 ``row_number() <= k`` needs no special care: Spark prunes each map task to the first k rows
 of a key before the shuffle. Frames do: all rows of a key meet in one task. Keys above
-``hot_rows`` therefore take another route, where a key is cut by day and the days are tied
-together with running totals.
+``hot_rows`` therefore take another route, where time is cut into ranges of about equal numbers
+of rows and the ranges of a key are tied together with running totals.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lendmend.operators.ranked import default_ranges, in_ranges, range_edges
+
 HOT_ROWS = 5_000_000
 
 
@@ -32,12 +34,11 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS):
     """(rows of normal keys, rows of hot keys or None)."""
-    hot = hot_keys(df, key, hot_rows)
-    if hot.isEmpty():
-        return df, None
     from lendmend.sources.zones import written
 
-    hot = written(hot, "hot-keys")
+    hot = written(hot_keys(df, key, hot_rows), "hot-keys")
+    if hot.isEmpty():
+        return df, None
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
@@ -84,15 +85,18 @@ def _trailing_frames(df, key, ts, spans, amount, include_current):
 
 
 def _trailing_prefix(df, key, ts, spans, amount, include_current):
-    """Trailing sums as differences of running totals, cut by (key, day).
+    """Trailing sums as differences of running totals, cut by (key, time range).
 
     Instants are pre-aggregated. Every instant asks for the running total before its own time
-    and before each window start; the questions join the facts of their day.
+    and before each window start; the questions join the facts of their time range.
     """
+    from lendmend.sources.zones import written
+
     amt = F.col(amount) if amount else F.lit(0.0)
     instants = df.groupBy(key, ts).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(amt, F.lit(0.0))).alias("_a")
     )
+    instants = written(instants, "instants")
     probes = [F.struct(F.lit("_end").alias("w"), F.col(ts).alias("t"))] + [
         F.struct(F.lit(name).alias("w"), F.expr(f"`{ts}` - INTERVAL {span}").alias("t"))
         for name, span in spans.items()
@@ -119,17 +123,18 @@ def _trailing_prefix(df, key, ts, spans, amount, include_current):
         "_n",
         "_a",
     )
-    line = facts.unionByName(asked).withColumn("_day", F.to_date("_t"))
-    days = line.groupBy(key, "_day").agg(F.sum("_n").alias("_dn"), F.sum("_a").alias("_da"))
-    before = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select(
+    line = _by_time(facts.unionByName(asked), "_t", _time_edges(instants, ts))
+    parts = line.groupBy(key, "_range").agg(F.sum("_n").alias("_dn"), F.sum("_a").alias("_da"))
+    # A key has at most MAX_RANGES parts.
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(
         key,
-        "_day",
+        "_range",
         F.coalesce(F.sum("_dn").over(before), F.lit(0)).alias("_pn"),
         F.coalesce(F.sum("_da").over(before), F.lit(0.0)).alias("_pa"),
     )
     within = (
-        W.partitionBy(key, "_day").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(key, "_range").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, -1)
     )
     told = (
         line.withColumns(
@@ -139,7 +144,7 @@ def _trailing_prefix(df, key, ts, spans, amount, include_current):
             }
         )
         .where(F.col("_w").isNotNull())
-        .join(days, [key, "_day"])
+        .join(parts, [key, "_range"])
         .withColumns({"_cn": F.col("_rn") + F.col("_pn"), "_ca": F.col("_ra") + F.col("_pa")})
     )
 
@@ -163,7 +168,7 @@ def previous_instant(
     """The key's latest earlier instant, null for the first."""
     normal, hot = split_hot(df, key, hot_rows)
     plain = _previous_frame(normal, key, ts, out)
-    return plain if hot is None else plain.unionByName(_previous_by_day(hot, key, ts, out))
+    return plain if hot is None else plain.unionByName(_previous_by_range(hot, key, ts, out))
 
 
 def _previous_frame(df, key, ts, out):
@@ -176,17 +181,33 @@ def _previous_frame(df, key, ts, out):
     )
 
 
-def _previous_by_day(df, key, ts, out):
-    """Inside a day the instant before; for a day's first instant the last one of earlier days."""
-    instants = df.select(key, ts).distinct().withColumn("_day", F.to_date(ts))
-    days = instants.groupBy(key, "_day").agg(F.max(ts).alias("_last"))
-    days = days.select(
-        key, "_day", F.lag("_last").over(W.partitionBy(key).orderBy("_day")).alias("_carry")
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+
+
+def _time_edges(instants: DataFrame, ts: str) -> list[float]:
+    spark = instants.sparkSession
+    return range_edges(instants.select(_micros(ts).alias("_us")), "_us", default_ranges(spark))
+
+
+def _by_time(df: DataFrame, ts: str, edges: list[float]) -> DataFrame:
+    return in_ranges(df.withColumn("_us", _micros(ts)), "_us", edges).drop("_us")
+
+
+def _previous_by_range(df, key, ts, out):
+    """Inside a time range the instant before; for its first instant the last earlier one."""
+    from lendmend.sources.zones import written
+
+    instants = written(df.select(key, ts).distinct(), "instants")
+    instants = _by_time(instants, ts, _time_edges(instants, ts))
+    parts = instants.groupBy(key, "_range").agg(F.max(ts).alias("_last"))
+    parts = parts.select(
+        key, "_range", F.lag("_last").over(W.partitionBy(key).orderBy("_range")).alias("_carry")
     )
-    lag = F.lag(ts).over(W.partitionBy(key, "_day").orderBy(ts))
+    lag = F.lag(ts).over(W.partitionBy(key, "_range").orderBy(ts))
     tied = (
         instants.withColumn("_lag", lag)
-        .join(days, [key, "_day"])
+        .join(parts, [key, "_range"])
         .select(key, ts, F.coalesce("_lag", "_carry").alias(out))
     )
     return df.join(tied, [key, ts])
@@ -205,5 +226,5 @@ def trailing_with_previous(
     plain = _previous_frame(_trailing_frames(normal, key, ts, spans, None, True), key, ts, out)
     if hot is None:
         return plain
-    cut = _trailing_prefix(_previous_by_day(hot, key, ts, out), key, ts, spans, None, True)
+    cut = _trailing_prefix(_previous_by_range(hot, key, ts, out), key, ts, spans, None, True)
     return plain.unionByName(cut)

@@ -7,13 +7,31 @@ of distinct values; ranges run in parallel and are tied together by their totals
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
 
 
+def default_ranges(spark: SparkSession) -> int:
+    return min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def range_edges(df: DataFrame, col: str, ranges: int) -> list[float]:
+    """Edges that cut ``df`` into about equal parts by ``col`` (a double).
+
+    They only steer the split: any increasing edges give the same results.
+    """
+    cuts = df.approxQuantile(col, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+
+
+def in_ranges(df: DataFrame, col: str, edges: list[float]) -> DataFrame:
+    """Adds ``_range``, the number of the part that ``col`` falls into."""
+    return Bucketizer(splits=edges, inputCol=col, outputCol="_range").transform(df)
+
+
 def running_by_value(
     df: DataFrame,
     value: str,
@@ -25,9 +43,6 @@ def running_by_value(
 
     ``measures`` are sum-like aggregates.
     """
-    spark = df.sparkSession
-    if ranges is None:
-        ranges = min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     from lendmend.sources.zones import written
 
     signed = -F.col(value).cast("double") if descending else F.col(value).cast("double")
@@ -38,10 +53,8 @@ def running_by_value(
     )
     # Read twice below: for the edges and for the counts.
     per_value = written(per_value, "per-value")
-    # Edges only steer the split: any increasing edges give the same result.
-    cuts = per_value.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="_v", outputCol="_range").transform(per_value)
+    edges = range_edges(per_value, "_v", ranges or default_ranges(df.sparkSession))
+    cut = in_ranges(per_value, "_v", edges)
     totals = cut.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures])
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # <= MAX_RANGES rows
     whole = W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -161,7 +161,7 @@ def repair_by_rule(
     Cells without an applicable rule do not appear: they stay missing.
     """
     cells = missing_cells(df, cols, targets, key)
-    if len(rule_table.take(max_rules + 1)) <= max_rules:
+    if rule_table.limit(max_rules + 1).count() <= max_rules:
         best = _best_by_array(cells, rule_table, key)
     else:
         best = best_rule(match_rules(cells, rule_table), key)

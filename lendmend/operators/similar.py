@@ -149,8 +149,10 @@ def similar(
         q = q.withColumns({"_cell": F.lit(0), "_chunk": _salt("_qid", chunks)})
         return _named(_best(_search(q, c, blocks, k, id_type), k), id_col)
 
-    c = _to_cells(c, pivots)
+    # Both are read by either search.
+    c = written(_to_cells(c, pivots), "similar-candidates")
     q = _to_cells(q, pivots).withColumn("_chunk", _salt("_qid", chunks))
+    q = written(q, "similar-queries")
     # One row per pivot, at most MAX_PIVOTS.
     stats = c.groupBy("_cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("_dist").alias("radius")

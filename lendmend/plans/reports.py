@@ -71,15 +71,20 @@ def area_stats(customers: DataFrame, loans: DataFrame) -> DataFrame:
 def drill(df: DataFrame, dims: tuple[str, ...] = ("area_id", "product", "customer_type")) -> DataFrame:
     """Loans, amount and default rate at every level of the roll-up; ``level`` counts the
     dimensions still open (0 = grand total)."""
-    out = df.rollup(*dims).agg(
+    # Combine to the finest level first, so the roll-up multiplies groups and not rows.
+    finest = df.groupBy(*dims).agg(
         _n().alias("loans"),
         F.sum("disbursed_amount").alias("loan_amount"),
-        F.avg(F.col("loan_default").cast("double")).alias("default_rate"),
+        F.sum("loan_default").alias("bad"),
+        F.count("loan_default").alias("known"),
+    )
+    out = finest.rollup(*dims).agg(
+        F.sum("loans").alias("loans"),
+        F.sum("loan_amount").alias("loan_amount"),
+        F.try_divide(F.sum("bad").cast("double"), F.sum("known")).alias("default_rate"),
         F.grouping_id().alias("_gid"),
     )
-    return out.withColumn(
-        "level", F.lit(len(dims)) - F.bit_count("_gid")
-    ).drop("_gid")
+    return out.withColumn("level", F.lit(len(dims)) - F.bit_count("_gid")).drop("_gid")
 
 
 def monthly_overdue_rate(loans: DataFrame, ts: str = "disbursed_date") -> DataFrame:
