@@ -46,12 +46,15 @@ def main() -> None:
         except Exception as e:  # a failure must show up, not end the run
             took[name] = None
             print(f"{name}: {type(e).__name__}: {str(e)[:300]}", file=sys.stderr)
+    live = took.get("stream_decisions")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     total = round(sum(t for t in took.values() if t is not None), 3)
     print(
         json.dumps(
             {
                 "metric": "total_query_seconds", "value": total, "unit": "sec", "queries": took,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
+                "stream_rows_per_second": round(events / live, 1) if live else None,
             }
         )
     )

@@ -109,7 +109,10 @@ def fit_segments(
     df: DataFrame, k: int = 5, cols: tuple[str, ...] = ("score", "amount", "overdue_rate"),
     seed: int = 7,
 ) -> SegmentModel:
-    return SegmentModel(segment(k, cols, seed).fit(df), cols)
+    from lendmend.sources.zones import written
+
+    points = written(df.select(*cols), "segment-points")  # scanned once per iteration
+    return SegmentModel(segment(k, cols, seed).fit(points), cols)
 
 
 def scatter_points(clustered: DataFrame, fraction: float, seed: int = 7) -> DataFrame:

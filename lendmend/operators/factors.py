@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -13,7 +14,7 @@ from lendmend.operators.encode import Scaler, ScalerModel
 from lendmend.operators.similar import similar
 
 KEY = "customer_id"
-INT_MAX = 2**31 - 1
+CELLS_PER_BLOCK = 2_000_000
 
 
 def dense_ids(df: DataFrame, key: str = KEY, buckets: int = 4096) -> DataFrame:
@@ -86,8 +87,7 @@ def to_ratings(
 def als_fit(
     ratings: Ratings, rank: int = 50, reg: float = 0.1, iterations: int = 10, seed: int = 7
 ) -> ALSModel:
-    spark = ratings.cells.sparkSession
-    blocks = max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(10, math.ceil(ratings.cells.count() / CELLS_PER_BLOCK))
     return ALS(
         numUserBlocks=blocks, rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="user", itemCol="item",
         ratingCol="rating", coldStartStrategy="drop", nonnegative=False,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -317,14 +317,18 @@ def amount_quantiles(
     fitted = Pipeline(stages=[assembler(features), forest]).fit(train)
     probs = [i / bins for i in range(1, bins + 1)]
     edges = sorted(set(train.approxQuantile(label, probs, 0.2 / bins)))
-    y = F.col(label).cast("double")
-    ends = F.array(*[F.lit(e) for e in edges])
-    bin_of = F.least(
-        F.size(F.filter(ends, lambda e: e < y)), F.lit(len(edges) - 1)
+    # Bin = number of edges below the target. On negated values the binary search counts the
+    # edges at or above it.
+    n = len(edges)
+    splits = [float("-inf"), *sorted(-e for e in edges), float("inf")]
+    binned = Bucketizer(splits=splits, inputCol="_minus", outputCol="_above").transform(
+        train.withColumn("_minus", -F.col(label).cast("double"))
     )
+    bin_of = F.least(F.lit(n) - F.col("_above").cast("int"), F.lit(n - 1))
     counts = (
-        fitted.transform(train)
-        .select(bin_of.alias("bin"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+        fitted.transform(binned)
+        .select(bin_of.alias("bin"), vector_to_array("leaf").alias("leaf"))
+        .select("bin", F.posexplode("leaf").alias("tree", "leaf"))
         .groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "bin")
         .agg(F.count(F.lit(1)).alias("n"))
         .toPandas()

@@ -189,6 +189,7 @@ def fit_repair(
     """
     from lendmend.sources.zones import written
 
+    train = written(train, "repair-train")  # mined per target and factorised
     table = written(rules(train, item_cols, categorical, min_support, min_confidence), "rules")
     als = ratings = None
     confidence: dict[str, float] = {}

@@ -404,7 +404,7 @@ def repaired_customers(d):
 
 @query("R14")
 def method_comparison(d):
-    rows = repair_input(d)
+    rows = written(repair_input(d), "complete")
     features_ = [*TARGETS, *NUMERIC]
     masked, hidden = repair.mask(rows, features_)
     truth = repair.to_cells(rows, features_)
