@@ -20,7 +20,6 @@ TABLES = (
 ).split()
 
 AS_OF = "2001-08-01"
-EVENTS_AS_OF = "2024-01-30"
 
 PROXY = {
     # Untyped text as it would land, with cells that do not convert.
@@ -140,7 +139,7 @@ PROXY = {
             FROM {orders}
             UNION ALL
             SELECT MAX(o_orderdate) - INTERVAL '700' DAY, 'system upgrade' FROM {orders}) e""",
-    # The date of each customer's second signup-like event stands in for a life event.
+    # Each customer's first urgent order stands in for a life event.
     "life_events": """
         SELECT o_custkey AS customer_id, CAST(MIN(o_orderdate) AS TIMESTAMP) AS event_ts,
                'house purchase' AS event_type

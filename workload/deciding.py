@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lendmend.functions.scorecard import score
 from lendmend.operators import customers as K
 from lendmend.operators import encode, explain, features, models, repair
-from lendmend.operators.scoring import scorecard
 from lendmend.schema import FraudRules
 from lendmend.sources import messages
 from lendmend.sources.zones import ModelStore, shared_dir, written
@@ -500,8 +499,18 @@ def live_rows(events):
     return apps.withColumn("customer_id", F.col("customer_id").cast("bigint"))
 
 
+_streams: dict = {}
+
+
 def run_stream(d):
-    """All events through the live flow; (decisions, metrics, alerts, query progress)."""
+    """All events through the live flow, once per table set: (output folder, finished query)."""
+    at = (d.spark.sparkContext.applicationId, d.dir)
+    if at not in _streams:
+        _streams[at] = _run_stream(d)
+    return _streams[at]
+
+
+def _run_stream(d):
     root = f"{shared_dir(d.spark)}/stream-{uuid4().hex}"
     source = (
         d.spark.readStream.schema(d.events.schema)
@@ -558,6 +567,3 @@ def stream_throughput(d):
 def batch_decisions(d):
     """The decision flow on the events as one batch."""
     return decisions.decide(live_rows(d.events), live_models(d))
-
-
-__all__ = ["scorecard"]

@@ -9,7 +9,7 @@ from lendmend.operators import features as X
 from lendmend.operators.customers import improvement_trend, timeline, timeline_order
 from lendmend.operators.keyed import latest_per_key
 from lendmend.operators.similar import similar, top_k_similar
-from workload.base import AS_OF, EVENTS_AS_OF, query
+from workload.base import AS_OF, query
 
 
 @query(
@@ -90,7 +90,6 @@ def loans_near_events(d):
 
 
 def _trail(months):
-    n = "_".join(str(m) for m in months)
     cols = []
     for m in months:
         w = f"PARTITION BY customer_id ORDER BY disbursed_date RANGE BETWEEN INTERVAL {m} MONTH PRECEDING AND CURRENT ROW"
@@ -99,7 +98,7 @@ def _trail(months):
         cols.append(
             f"sum(disbursed_amount) OVER ({w}) - sum(disbursed_amount) OVER ({p}) AS amt_{m}m"
         )
-    return f"SELECT loan_id, {', '.join(cols)} FROM {{loans}}" if n else ""
+    return f"SELECT loan_id, {', '.join(cols)} FROM {{loans}}"
 
 
 @query("J6", _trail((9,)).replace("cnt_9m", "prior_cnt").replace("amt_9m", "prior_amount"), r2="prior_amount")
@@ -264,6 +263,3 @@ def history_and_live(d):
     return J.combined(batch, live).groupBy("origin").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.count("term").alias("with_term")
     )
-
-
-__all__ = ["EVENTS_AS_OF", "loan_events"]
