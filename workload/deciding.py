@@ -5,6 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -212,6 +213,21 @@ def amount_quantiles(d):
     return forest.transform(test).select("loan_id", "disbursed_amount", "q10", "q50", "q90")
 
 
+@query(
+    "M12",
+    """SELECT count(*) AS loans, CAST(0 AS BIGINT) AS crossed FROM {loans}
+       WHERE ('0x' || substr(md5(loan_id || '|13'), 1, 8))::BIGINT % 100 >= 80""",
+)
+def quantile_order(d):
+    """Test loans, and how many have limits out of order."""
+    train, test = amount_split(amount_rows(d))
+    out = models.amount_quantiles(train, AMOUNT_COLS, trees=5, depth=4).transform(test)
+    ordered = (F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))
+    return out.agg(
+        F.count(F.lit(1)).alias("loans"), F.count_if(~ordered).alias("crossed")
+    )
+
+
 @query("M15 S12")
 def prediction_answers(d):
     imputer, model, weight = default_parts(d)
@@ -244,6 +260,20 @@ def shap_values(d):
     return explained(d)
 
 
+TEST_DRAW = "('0x' || substr(md5(customer_id || '|11'), 1, 8))::BIGINT % 100 >= 80"
+
+
+@query("M16", f"SELECT count(*) AS customers, CAST(0 AS BIGINT) AS broken FROM {{customers}} WHERE {TEST_DRAW}")
+def shap_adds_up(d):
+    """Test customers, and how many have contributions that miss their margin."""
+    margin = scored_test(d).select("customer_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    total = explained(d).groupBy("customer_id").agg((F.sum("shap") + F.max("base")).alias("told"))
+    return margin.join(total, "customer_id", "left").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(F.coalesce(F.abs(F.col("told") - F.col("margin")) > 1e-6, F.lit(True))).alias("broken"),
+    )
+
+
 @query("M17 W10")
 def shap_importance(d):
     return explain.shap_importance(explained(d))
@@ -345,6 +375,13 @@ def segments(d):
     )
 
 
+@query("C4", "SELECT CAST(5 AS BIGINT) AS clusters, count(disbursed) AS customers FROM {scored}")
+def segment_sizes(d):
+    """Every customer with an amount is in one of the five clusters."""
+    per = clustered(d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count("cluster").alias("clusters"), F.sum("n").alias("customers"))
+
+
 @query("C5 A13")
 def segment_profiles(d):
     from lendmend.plans.reports import cluster_profile
@@ -527,16 +564,19 @@ def _run_stream(d):
     return root, q
 
 
-@query(
-    "S3 T1 T2 S1 S11",
-    "SELECT CAST(event_id AS VARCHAR) AS application_id, user_id AS customer_id, value AS amount, true AS decided FROM {events}",
-    r2="amount",
-)
+DECIDED = """SELECT CAST(event_id AS VARCHAR) AS application_id, user_id AS customer_id, value AS amount,
+    true AS decided FROM {events}"""
+
+
+def decided(out):
+    ok = F.col("score").between(300, 850) & F.col("grade").isNotNull() & F.col("policy").isNotNull()
+    return out.select("application_id", "customer_id", "amount", ok.alias("decided"))
+
+
+@query("S3 T1 T2 S1 S11", DECIDED, r2="amount")
 def stream_decisions(d):
     root, _ = run_stream(d)
-    out = d.spark.read.parquet(f"{root}/decisions")
-    decided = F.col("score").between(300, 850) & F.col("grade").isNotNull()
-    return out.select("application_id", "customer_id", "amount", decided.alias("decided"))
+    return decided(d.spark.read.parquet(f"{root}/decisions"))
 
 
 @query("T3", "SELECT count(*) AS decided, CAST(0 AS BIGINT) AS different FROM {events}")
@@ -563,7 +603,7 @@ def stream_throughput(d):
     return monitoring.progress_rows(d.spark, q.recentProgress)
 
 
-@query("T2 M13")
+@query("T2 M13", DECIDED, r2="amount")
 def batch_decisions(d):
     """The decision flow on the events as one batch."""
-    return decisions.decide(live_rows(d.events), live_models(d))
+    return decided(decisions.decide(live_rows(d.events), live_models(d)))

@@ -347,6 +347,22 @@ def factor_repair(d):
     return factors.als_repair(model, factors.empty_cells(rows, r), r)
 
 
+@query(
+    "R8",
+    """SELECT 'age' AS feature, count(*) AS cells FROM {customers} WHERE age IS NULL
+       UNION ALL SELECT 'credit_score', count(*) FROM {customers} WHERE credit_score IS NULL
+       UNION ALL SELECT feature, count(*) FROM (SELECT unnest(['loan_cnt', 'outstanding', 'disbursed']) AS feature
+                 FROM {customers} WHERE loan_cnt IS NULL) x GROUP BY 1""",
+)
+def factor_repair_coverage(d):
+    """Every missing number of a customer known to the model gets a value."""
+    rows = d.customers.select("customer_id", *NUMERIC)
+    r = factors.to_ratings(rows, NUMERIC)
+    model = factors.als_fit(r, rank=4, iterations=2)
+    got = factors.als_repair(model, factors.empty_cells(rows, r), r)
+    return got.where("value IS NOT NULL").groupBy("feature").agg(F.count(F.lit(1)).alias("cells"))
+
+
 @query("R9")
 def neighbour_repair(d):
     rows = d.customers.select("customer_id", *NUMERIC)
