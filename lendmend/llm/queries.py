@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmend.llm import simhash
+from lendmend.llm import decontaminate, html_text, line_dedup, pii, sharding, simhash, topk
 from lendmend.llm.common import table
 
+SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -18,5 +20,60 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    return placed.select("doc_id", "slot", "shard")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    of_kind = [
+        F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)
+    ]
+    return found.select(
+        F.col("id").alias("doc_id"), *of_kind,
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_simhash, op3_sharding, op5_html_text, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
+}
+
+ORACLES = {
+    # The lookup table is part of the text; what it checks is every key's slot and shard.
+    "op3_sharding": f"""
+        WITH owners AS (SELECT string_split('{",".join(map(str, sharding.lookup(SHARDS)))}', ',') AS owner),
+        keyed AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % {sharding.SLOTS} AS INT) AS slot
+                  FROM documents)
+        SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1], 2, '0') AS shard FROM keyed, owners""",
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
