@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmend.llm import decontaminate, html_text, line_dedup, pii, sharding, simhash, topk
+from lendmend.llm import decontaminate, html_text, line_dedup, pii, sharding, simhash, suffix_dedup, topk
 from lendmend.llm.common import table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -20,6 +20,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
     return placed.select("doc_id", "slot", "shard")
@@ -56,7 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_simhash, op3_sharding, op5_html_text, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
+    for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op5_html_text, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
 }
 
 ORACLES = {
