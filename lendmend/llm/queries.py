@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmend.llm import decontaminate, html_text, line_dedup, pii, sharding, simhash, suffix_dedup, topk
+from lendmend.llm import decontaminate, html_text, line_dedup, packing, pii, sharding, simhash, suffix_dedup, topk
 from lendmend.llm.common import table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -32,6 +32,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -63,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op5_html_text, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
+    for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op4_packing, op5_html_text, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
 }
 
 ORACLES = {
