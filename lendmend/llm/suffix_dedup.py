@@ -312,7 +312,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH, ho
     again = picks.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
     shared = picks.join(again, "head").groupBy("row").agg(F.collect_list(F.struct("at", "near", "far", "head", "n")).alias("picks"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    given = rows.join(shared, "row").select("row", "text", "picks")
+    given = rows.join(shared.hint("merge"), "row").select("row", "text", "picks")
     runs = written(given.mapInArrow(_sorted_runs(length, reach, buckets, hot), _RUNS), "suffix-runs")
     dealt = runs.where("bucket >= 0").drop("places")
     found = dealt.groupBy("bucket").applyInArrow(_merge_runs(length, reach), "run long, entry long, low long, high long")
@@ -356,6 +356,6 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.col(id_col).alias("id")
     )
     spans = written(repeated_spans(rows.select("row", "text"), length, reach, hot), "spans")
-    joined = rows.join(spans, "row", "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
+    joined = rows.join(spans.hint("merge"), "row", "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
     kind = joined.schema["id"].dataType.simpleString()
     return joined.mapInArrow(_without, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
