@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmend.llm import decontaminate, html_text, line_dedup, packing, pii, sharding, simhash, suffix_dedup, topk
+from lendmend.llm import decontaminate, html_text, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup, topk
 from lendmend.llm.common import table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -43,6 +43,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select(F.col("id").alias("doc_id"), "p_text", "p_meta", "p_bad", "keep")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -70,7 +75,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op4_packing, op5_html_text, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
+    for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op4_packing, op5_html_text, op6_quality, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
 }
 
 ORACLES = {
