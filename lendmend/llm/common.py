@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmend.sources.zones import written
+from lendmend.sources.zones import shared_dir
+
+_folders: list[str] = []
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the copy, which survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _folders.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in the list of copies; see ``since`` and ``remove``."""
+    return len(_folders)
+
+
+def since(point: int) -> list[str]:
+    return _folders[point:]
+
 
-__all__ = ["components", "local_roots", "table", "written"]
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete copies that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -219,4 +219,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     """``docs`` without the documents that hold a copied passage; rows with a null id stay."""
     found = contaminated_passages(docs, benchmark, **options).select("doc_id").distinct()
     key = options.get("id_col", "doc_id")
-    return docs.join(found.withColumnRenamed("doc_id", key), key, "left_anti").select(*docs.columns)
+    return docs.join(found.withColumnRenamed("doc_id", key).hint("merge"), key, "left_anti").select(*docs.columns)

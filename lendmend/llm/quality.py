@@ -291,4 +291,5 @@ def score_documents(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those rejected. ``docs`` must give the same rows each time, as a table does."""
     good = written(score_documents(docs, labels, id_col, **options).where("keep").select("row"), "good")
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(good, "row").select(*docs.columns)
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(good.withColumnRenamed("row", "_row").hint("merge"), "_row").select(*docs.columns)

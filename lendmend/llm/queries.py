@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op4_packing, op5_html_text, op6_quality, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     # The lookup table is part of the text; what it checks is every key's slot and shard.

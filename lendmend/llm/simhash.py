@@ -11,6 +11,7 @@ variants are dealt again by more bits, so no bucket grows with the data.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb, log2
 
@@ -174,3 +175,100 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     of = rooted.join(lowest, "root").select("fp", "component")
     return own.join(of, "fp").select("id", "fp", "component")
+
+
+SEEDS = 4  # fingerprints of a text's word set; each finds most near copies, together nearly all
+SIMILARITY = 0.8  # least Jaccard similarity of the shingle sets of near copies
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [[] for _ in range(SEEDS + 1)]
+        for x in batch.column("text"):
+            words = (x.as_py() or b"").lower().split()
+            distinct = set(words)
+            columns[0].append(xxhash.xxh128_digest(b" ".join(words)))
+            for seed in range(SEEDS):
+                hashes = [xxhash.xxh64_intdigest(w, seed) for w in distinct]
+                columns[seed + 1].append(majority(np.array(hashes, np.uint64)))
+        arrays = [pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["id", "row", "same", *[f"f{k}" for k in range(SEEDS)]])
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py() or b"", size)).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], ["row", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(id, row, group, keep): near copies in groups; one row of each group, with the smallest id, is kept.
+
+    Texts with the same words (ASCII letters lower-cased) are copies. Other texts are proposed where
+    one of ``SEEDS`` fingerprints of their word sets is at most four bits apart, by ball hashing,
+    and linked if the Jaccard similarity of their sets of ``size``-word shingles is at least
+    ``similarity``. Fingerprints of word sets are used for proposals because a changed word alters
+    five shingles but one word: at a similarity of 0.8 four bits of 64 still find most pairs.
+    ``row`` is ``monotonically_increasing_id`` of ``docs``, which must give the same rows each time,
+    as a table does. Null texts count as empty and are copies of each other; null ids come first.
+    An empty table gives no rows.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    given = docs.select(
+        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text")
+    )
+    names = [f"f{k}" for k in range(SEEDS)]
+    sketched = written(given.mapInArrow(_sketches, f"id {kind}, row long, same binary, " + ", ".join(f"{n} long" for n in names)), "sketches")
+    # One entry for each different text, led by its first row.
+    texts = sketched.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), *[F.min(n).alias(n) for n in names])
+    texts = written(texts.select("same", "first", F.col("first.row").alias("lead"), *names), "texts")
+    proposed = []
+    for n in names:
+        led = texts.groupBy(F.col(n).alias("fp")).agg(F.min("lead").alias("of"))
+        led = written(led, "distinct-fingerprints")
+        links = written(ball_links(led.select("fp")), "ball-links")
+        named = links.join(led.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(
+            led.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b"
+        )
+        proposed.append(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        same = texts.join(led, texts[n] == led.fp).where("lead <> of")
+        proposed.append(same.select(F.least("lead", "of").alias("a"), F.greatest("lead", "of").alias("b")))
+    pairs = written(reduce(DataFrame.unionByName, proposed).distinct(), "proposals")
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = given.select("row", "text").join(asked.hint("merge"), "row", "left_semi").mapInArrow(_shingle_sets(size), "row long, shingles binary")
+    sets = written(sets, "shingle-sets")
+    met = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    roots = components(written(met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar"))
+    grouped = texts.join(roots, texts.lead == roots.node, "left").select("same", "first", F.coalesce("root", "lead").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
+    of = grouped.join(kept, "root").select("same", "kept")
+    return sketched.join(of, "same").select(
+        "id", "row", F.col("kept.id").alias("group"), (F.col("row") == F.col("kept.row")).alias("keep")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies; see ``near_duplicates``."""
+    gone = written(near_duplicates(docs, id_col, text_col, **options).where("not keep").select(F.col("row").alias("_row")), "copies")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
