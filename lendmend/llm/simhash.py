@@ -269,6 +269,6 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near copies; see ``near_duplicates``."""
-    gone = written(near_duplicates(docs, id_col, text_col, **options).where("not keep").select(F.col("row").alias("_row")), "copies")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
+    gone = written(near_duplicates(docs, id_col, text_col, **options).where("not keep").select(F.col("row").alias("__row")), "copies")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    return rows.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)

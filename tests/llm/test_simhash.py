@@ -2,6 +2,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lendmend.llm import queries, simhash
 
@@ -24,29 +25,19 @@ def brute(texts):
     return fps, root
 
 
-@pytest.fixture(scope="module")
-def saved(spark, tmp_path_factory):
-    def save(name, rows, schema):
-        path = tmp_path_factory.mktemp("tables")
-        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
-        return str(path)
-
-    return save
-
-
 def test_query_equals_brute_force(spark, saved):
     base = " ".join(f"word{i}" for i in range(90))
     texts = [base, base + " x", base.upper(), None, "", " \t\n", "one", "One", "été ÉTÉ", "a b c d", base * 3, base + " y z"]
     texts += [base.replace(f"word{i} ", "") for i in (3, 40, 77)] + ["z" * 50_000, "q w " * 20_000]
-    got = queries.op1_simhash(spark, saved("documents", [(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
+    got = queries.op1_simhash(spark, saved(documents=([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)))
     fps, root = brute(texts)
     assert sorted(map(tuple, got.collect())) == [(i, f"{fps[i]:016x}", root[i]) for i in range(len(texts))]
 
 
 def test_empty_table_and_null_ids(spark, saved):
-    assert queries.op1_simhash(spark, saved("documents", [], DOCS)).count() == 0
+    assert queries.op1_simhash(spark, saved(documents=([], DOCS))).count() == 0
     rows = [(None, "a b", None, None, None), (4, "a b", None, None, None), (4, "a b", None, None, None)]
-    got = queries.op1_simhash(spark, saved("documents", rows, DOCS)).collect()
+    got = queries.op1_simhash(spark, saved(documents=(rows, DOCS))).collect()
     assert len(got) == 3 and {r.component_id for r in got} == {4}
 
 
@@ -69,3 +60,39 @@ def test_links_of_near_fingerprints(spark, monkeypatch, most):
     same = lambda xs: {got.get(x - (x >> 63 << 64)) for x in xs}
     assert len(same(chain)) == len(same(ball)) == 1 and same(chain) != same(ball)
     assert len(got) == len({*chain, *ball})
+
+
+def edited(rng, text, words):
+    out = text.split()
+    for i in rng.sample(range(len(out)), words):
+        out[i] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+def test_near_duplicates_equal_brute_force(docs):
+    """Near copies at a similarity of 0.8 and more are grouped, others are not."""
+    import random
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(12)]
+    texts += [edited(rng, texts[k % 4], 1 + k % 4) for k in range(16)]
+    texts += [edited(rng, texts[5], 60), texts[6].upper(), texts[6].replace(" ", "\n"), None, "", "short text", "short text two"]
+    got = {r.id: r for r in simhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(shingles):
+            for j, y in enumerate(shingles):
+                if len(x & y) >= 0.8 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {i: r.group for i, r in got.items()} == dict(enumerate(root))
+    assert {i for i, r in got.items() if r.keep} == set(root)
+
+
+def test_near_duplicates_edge_cases(spark, docs):
+    rows = [(None, "a b c"), (3, "a b c"), (3, "A b  c"), (1, None), (2, "")]
+    got = simhash.near_duplicates(docs(rows)).collect()
+    assert sorted((str(r.id), r.keep) for r in got) == [("1", True), ("2", False), ("3", False), ("3", False), ("None", True)]
+    assert simhash.near_duplicates(docs([])).count() == 0
+    kept = simhash.drop_near_duplicates(docs(rows).withColumn("row", F.lit(1)).withColumn("fp", F.lit("x")).withColumn("keep", F.lit(0)))
+    assert kept.count() == 2 and kept.columns[-3:] == ["row", "fp", "keep"]
