@@ -84,12 +84,12 @@ def near_events(
     )
 
 
-def prior_loans(loans: DataFrame, months: int, **kw) -> DataFrame:
+def prior_loans(loans: DataFrame, months: int) -> DataFrame:
     """Per loan: how many earlier loans of the customer fall in the last ``months``, and their
     sum. Pairs are never formed."""
     name = f"{months}m"
     return trailing(
-        loans, KEY, "disbursed_date", {name: f"{months} MONTH"}, "disbursed_amount", **kw
+        loans, KEY, "disbursed_date", {name: f"{months} MONTH"}, "disbursed_amount"
     ).withColumnsRenamed({f"cnt_{name}": "prior_cnt", f"amt_{name}": "prior_amount"})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lendmend.functions import ratios as R
 from lendmend.functions.dates import date_parts
-from lendmend.operators.keyed import trailing, trailing_with_previous
+from lendmend.operators.keyed import trailing
 
 KEY = "customer_id"
 WINDOWS = (3, 6, 12)
@@ -30,10 +30,10 @@ def derive(df: DataFrame, income: Column | None = None) -> DataFrame:
     )
 
 
-def trailing_loans(loans: DataFrame, months: tuple[int, ...] = WINDOWS, **kw) -> DataFrame:
+def trailing_loans(loans: DataFrame, months: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Number and amount of the customer's loans in the last 3, 6 and 12 months."""
     spans = {f"{m}m": f"{m} MONTH" for m in months}
-    return trailing(loans, KEY, "disbursed_date", spans, "disbursed_amount", **kw)
+    return trailing(loans, KEY, "disbursed_date", spans, "disbursed_amount")
 
 
 def first_loan_age(loans: DataFrame, as_of: str) -> DataFrame:
@@ -46,10 +46,10 @@ def first_loan_age(loans: DataFrame, as_of: str) -> DataFrame:
 
 
 def application_burst(
-    apps: DataFrame, ts: str = "apply_time", n: int = 3, days: int = 7, key: str = KEY, **kw
+    apps: DataFrame, ts: str = "apply_time", n: int = 3, days: int = 7, key: str = KEY
 ) -> DataFrame:
     """At least ``n`` applications within ``days`` up to now; with the gap to the one before."""
-    seen = trailing_with_previous(apps, key, ts, {"burst": f"{days} DAY"}, "_prev", **kw)
+    seen = trailing(apps, key, ts, {"burst": f"{days} DAY"}, include_current=True, previous="_prev")
     return seen.withColumns(
         {
             "burst": F.col("cnt_burst") >= n,
@@ -58,10 +58,10 @@ def application_burst(
     ).drop("_prev")
 
 
-def time_features(loans: DataFrame, as_of: str, **kw) -> DataFrame:
+def time_features(loans: DataFrame, as_of: str) -> DataFrame:
     """Calendar parts, trailing windows and customer age for every loan."""
     first = first_loan_age(loans, as_of)
-    windows = trailing_loans(loans, **kw)
+    windows = trailing_loans(loans)
     return windows.select("*", *date_parts("disbursed_date")).join(first, KEY, "left")
 
 

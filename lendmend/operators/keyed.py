@@ -1,9 +1,9 @@
 """Per-key newest rows and trailing sums that hold up when one key has a third of all rows.
 
 ``row_number() <= k`` needs no special care: Spark prunes each map task to the first k rows
-of a key before the shuffle. Frames do: all rows of a key meet in one task. Keys above
-``hot_rows`` therefore take another route, where time is cut into ranges of about equal numbers
-of rows and the ranges of a key are tied together with running totals.
+of a key before the shuffle. Trailing sums are differences of running totals: time is cut into
+ranges of about equal numbers of instants, the ranges of a key run in parallel, and their totals
+tie them together. The work grows with the rows, however many of them lie inside one window.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lendmend.operators.ranked import default_ranges, in_ranges, range_edges
 
-HOT_ROWS = 5_000_000
+MONEY = "decimal(38,6)"  # exact sums: differences of large totals lose no cents
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -27,21 +27,6 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return top_per_key(df, keys, order, 1)
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; at most rows / hot_rows of them."""
-    return df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-
-
-def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS):
-    """(rows of normal keys, rows of hot keys or None)."""
-    from lendmend.sources.zones import written
-
-    hot = written(hot_keys(df, key, hot_rows), "hot-keys")
-    if hot.isEmpty():
-        return df, None
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
-
-
 def trailing(
     df: DataFrame,
     key: str,
@@ -49,103 +34,67 @@ def trailing(
     spans: dict[str, str],
     amount: str | None = None,
     include_current: bool = False,
-    hot_rows: int = HOT_ROWS,
+    previous: str | None = None,
 ) -> DataFrame:
     """Count (and sum of ``amount``) of the key's rows in [ts - span, ts).
 
     ``spans`` maps a suffix to an interval such as ``{"3m": "3 MONTH"}``; months are calendar
     months. Rows of the same instant do not count, unless ``include_current`` is set, which
-    counts all of them. Adds ``cnt_<suffix>`` and ``amt_<suffix>``.
-    """
-    normal, hot = split_hot(df, key, hot_rows)
-    out = _trailing_frames(normal, key, ts, spans, amount, include_current)
-    if hot is None:
-        return out
-    return out.unionByName(_trailing_prefix(hot, key, ts, spans, amount, include_current))
-
-
-def _trailing_frames(df, key, ts, spans, amount, include_current):
-    base = f"PARTITION BY `{key}` ORDER BY `{ts}` RANGE BETWEEN"
-    cols = {}
-    for name, span in spans.items():
-        frames = [f"{base} INTERVAL {span} PRECEDING AND CURRENT ROW"]
-        if not include_current:
-            frames.append(f"{base} CURRENT ROW AND CURRENT ROW")
-        cnt = [F.expr(f"count(1) OVER ({f})") for f in frames]
-        cols[f"cnt_{name}"] = cnt[0] if include_current else cnt[0] - cnt[1]
-        if amount:
-            total = [F.expr(f"coalesce(sum(`{amount}`) OVER ({f}), 0D)") for f in frames]
-            # Leave no rounding residue where the window is empty.
-            cols[f"amt_{name}"] = (
-                total[0]
-                if include_current
-                else F.when(cols[f"cnt_{name}"] == 0, F.lit(0.0)).otherwise(total[0] - total[1])
-            )
-    return df.withColumns(cols)
-
-
-def _trailing_prefix(df, key, ts, spans, amount, include_current):
-    """Trailing sums as differences of running totals, cut by (key, time range).
-
-    Instants are pre-aggregated. Every instant asks for the running total before its own time
-    and before each window start; the questions join the facts of their time range.
+    counts all of them. Adds ``cnt_<suffix>`` and ``amt_<suffix>``, and as ``previous`` the key's
+    latest earlier instant (null for the first). Amounts are summed to six decimals. A row with a
+    null key or a null time has no history: its counts and amounts are 0.
     """
     from lendmend.sources.zones import written
 
-    amt = F.col(amount) if amount else F.lit(0.0)
-    instants = df.groupBy(key, ts).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(amt, F.lit(0.0))).alias("_a")
-    )
+    amt = F.coalesce(F.col(amount) if amount else F.lit(0.0), F.lit(0.0)).cast(MONEY)
+    known = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    instants = known.groupBy(key, ts).agg(F.count(F.lit(1)).alias("_n"), F.sum(amt).cast(MONEY).alias("_a"))
     instants = written(instants, "instants")
-    probes = [F.struct(F.lit("_end").alias("w"), F.col(ts).alias("t"))] + [
-        F.struct(F.lit(name).alias("w"), F.expr(f"`{ts}` - INTERVAL {span}").alias("t"))
-        for name, span in spans.items()
-    ]
     # kind 0 = question, 1 = fact: a question sees only facts strictly before it, except that
     # the question for the end of an inclusive window comes after its own instant.
-    end_kind = 2 if include_current else 0
-    asked = instants.select(key, F.col(ts).alias("_own"), F.explode(F.array(*probes)).alias("p"))
-    asked = asked.select(
+    probes = [("_end", F.col(ts), 2 if include_current else 0)]
+    probes += [(name, F.expr(f"`{ts}` - INTERVAL {span}"), 0) for name, span in spans.items()]
+    if previous:
+        probes.append(("_previous", F.col(ts), 0))
+    asked = instants.select(
         key,
-        F.col("p.t").alias("_t"),
-        F.when(F.col("p.w") == "_end", end_kind).otherwise(0).alias("_kind"),
-        F.col("p.w").alias("_w"),
-        "_own",
-        F.lit(0).cast("bigint").alias("_n"),
-        F.lit(0.0).alias("_a"),
+        F.col(ts).alias("_own"),
+        F.explode(
+            F.array(*[F.struct(F.lit(w).alias("w"), t.alias("t"), F.lit(k).alias("k")) for w, t, k in probes])
+        ).alias("p"),
+    ).select(
+        key, F.col("p.t").alias("_t"), F.col("p.k").alias("_kind"), F.col("p.w").alias("_w"), "_own",
+        F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast(MONEY).alias("_a"),
     )
     facts = instants.select(
-        key,
-        F.col(ts).alias("_t"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast("string").alias("_w"),
-        F.col(ts).alias("_own"),
-        "_n",
-        "_a",
+        key, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_w"),
+        F.col(ts).alias("_own"), "_n", "_a",
     )
     line = _by_time(facts.unionByName(asked), "_t", _time_edges(instants, ts))
-    parts = line.groupBy(key, "_range").agg(F.sum("_n").alias("_dn"), F.sum("_a").alias("_da"))
+    line = line.withColumn("_last", F.when(F.col("_kind") == 1, F.col("_t")))
+    parts = line.groupBy(key, "_range").agg(
+        F.sum("_n").alias("_dn"), F.sum("_a").alias("_da"), F.max("_last").alias("_dl")
+    )
     # A key has at most MAX_RANGES parts.
     before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(
-        key,
-        "_range",
-        F.coalesce(F.sum("_dn").over(before), F.lit(0)).alias("_pn"),
-        F.coalesce(F.sum("_da").over(before), F.lit(0.0)).alias("_pa"),
-    )
-    within = (
-        W.partitionBy(key, "_range").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, -1)
+        key, "_range", F.sum("_dn").over(before).alias("_pn"), F.sum("_da").over(before).alias("_pa"),
+        F.max("_dl").over(before).alias("_pl"),
     )
+    within = W.partitionBy(key, "_range").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, -1)
+    total = lambda own, part: F.coalesce(own, F.lit(0)) + F.coalesce(part, F.lit(0))
     told = (
         line.withColumns(
-            {
-                "_rn": F.coalesce(F.sum("_n").over(within), F.lit(0)),
-                "_ra": F.coalesce(F.sum("_a").over(within), F.lit(0.0)),
-            }
+            {"_rn": F.sum("_n").over(within), "_ra": F.sum("_a").over(within), "_rl": F.max("_last").over(within)}
         )
         .where(F.col("_w").isNotNull())
         .join(parts, [key, "_range"])
-        .withColumns({"_cn": F.col("_rn") + F.col("_pn"), "_ca": F.col("_ra") + F.col("_pa")})
+        .withColumns(
+            {
+                "_cn": total(F.col("_rn"), F.col("_pn")), "_ca": total(F.col("_ra"), F.col("_pa")),
+                "_cl": F.coalesce("_rl", "_pl"),
+            }
+        )
     )
 
     def at(w, c):
@@ -153,32 +102,23 @@ def _trailing_prefix(df, key, ts, spans, amount, include_current):
 
     cols = []
     for name in spans:
-        cnt = at("_end", "_cn") - at(name, "_cn")
-        cols.append(cnt.alias(f"cnt_{name}"))
+        cols.append((at("_end", "_cn") - at(name, "_cn")).alias(f"cnt_{name}"))
         if amount:
-            gap = at("_end", "_ca") - at(name, "_ca")
-            cols.append(F.when(cnt == 0, F.lit(0.0)).otherwise(gap).alias(f"amt_{name}"))
+            cols.append((at("_end", "_ca") - at(name, "_ca")).cast("double").alias(f"amt_{name}"))
+    if previous:
+        cols.append(at("_previous", "_cl").alias(previous))
     per_instant = told.groupBy(key, F.col("_own").alias(ts)).agg(*cols)
-    return df.join(per_instant, [key, ts])
+    out = df.join(per_instant, [key, ts], "left")
+    # A sum of doubles, as before, where a row has no history.
+    filled = {f"cnt_{n}": F.coalesce(f"cnt_{n}", F.lit(0)) for n in spans}
+    filled |= {f"amt_{n}": F.coalesce(f"amt_{n}", F.lit(0.0)) for n in spans if amount}
+    added = [c for c in out.columns if c not in df.columns]
+    return out.withColumns(filled).select(*df.columns, *added)
 
 
-def previous_instant(
-    df: DataFrame, key: str, ts: str, out: str = "previous_ts", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """The key's latest earlier instant, null for the first."""
-    normal, hot = split_hot(df, key, hot_rows)
-    plain = _previous_frame(normal, key, ts, out)
-    return plain if hot is None else plain.unionByName(_previous_by_range(hot, key, ts, out))
-
-
-def _previous_frame(df, key, ts, out):
-    return df.withColumn(
-        out,
-        F.expr(
-            f"max(`{ts}`) OVER (PARTITION BY `{key}` ORDER BY `{ts}` RANGE BETWEEN "
-            "UNBOUNDED PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING)"
-        ),
-    )
+def previous_instant(df: DataFrame, key: str, ts: str, out: str = "previous_ts") -> DataFrame:
+    """The key's latest earlier instant, null for the first and where the key or the time is null."""
+    return trailing(df, key, ts, {}, previous=out)
 
 
 def _micros(ts: str) -> Column:
@@ -192,39 +132,3 @@ def _time_edges(instants: DataFrame, ts: str) -> list[float]:
 
 def _by_time(df: DataFrame, ts: str, edges: list[float]) -> DataFrame:
     return in_ranges(df.withColumn("_us", _micros(ts)), "_us", edges).drop("_us")
-
-
-def _previous_by_range(df, key, ts, out):
-    """Inside a time range the instant before; for its first instant the last earlier one."""
-    from lendmend.sources.zones import written
-
-    instants = written(df.select(key, ts).distinct(), "instants")
-    instants = _by_time(instants, ts, _time_edges(instants, ts))
-    parts = instants.groupBy(key, "_range").agg(F.max(ts).alias("_last"))
-    parts = parts.select(
-        key, "_range", F.lag("_last").over(W.partitionBy(key).orderBy("_range")).alias("_carry")
-    )
-    lag = F.lag(ts).over(W.partitionBy(key, "_range").orderBy(ts))
-    tied = (
-        instants.withColumn("_lag", lag)
-        .join(parts, [key, "_range"])
-        .select(key, ts, F.coalesce("_lag", "_carry").alias(out))
-    )
-    return df.join(tied, [key, ts])
-
-
-def trailing_with_previous(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    spans: dict[str, str],
-    out: str = "previous_ts",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``trailing`` (current instant included) and ``previous_instant`` over one shuffle."""
-    normal, hot = split_hot(df, key, hot_rows)
-    plain = _previous_frame(_trailing_frames(normal, key, ts, spans, None, True), key, ts, out)
-    if hot is None:
-        return plain
-    cut = _trailing_prefix(_previous_by_range(hot, key, ts, out), key, ts, spans, None, True)
-    return plain.unionByName(cut)

@@ -1,12 +1,11 @@
 import datetime as dt
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lendmend.operators import features
-from lendmend.operators.keyed import hot_keys, previous_instant, trailing
+from lendmend.operators.keyed import previous_instant, trailing
 from lendmend.operators.ranked import running_by_value, share_cuts
 from lendmend.operators.scoring import risk_tier
 
@@ -21,37 +20,62 @@ def loans(spark, dates):
     return spark.createDataFrame([("c", day(d), 10.0) for d in dates], LOANS)
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 1])
-def test_trailing_three_months(spark, hot_rows):
+def test_trailing_three_months(spark):
     df = loans(spark, ["2024-01-01", "2024-03-31", "2024-04-01", "2024-04-01", "2024-07-01"])
-    out = features.trailing_loans(df, (3,), hot_rows=hot_rows)
+    out = features.trailing_loans(df, (3,))
     got = sorted((r["disbursed_date"], r["cnt_3m"], r["amt_3m"]) for r in out.collect())
     assert [c for _, c, _ in got] == [0, 1, 2, 2, 2]
     assert [a for _, _, a in got] == [0.0, 10.0, 20.0, 20.0, 20.0]
 
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "customer_id string")
-    assert [r[0] for r in hot_keys(df, "customer_id", 4).collect()] == ["a"]
+def plain_frames(df, spans, current):
+    """The definition, by Spark's own sliding frames."""
+    for name, span in spans.items():
+        w = "PARTITION BY customer_id ORDER BY disbursed_date RANGE BETWEEN"
+        own = f"({w} CURRENT ROW AND CURRENT ROW)"
+        all_ = f"({w} INTERVAL {span} PRECEDING AND CURRENT ROW)"
+        less = lambda f: "" if current else f" - {f} OVER {own}"  # noqa: B023, E731
+        df = df.withColumn(f"cnt_{name}", F.expr(f"count(1) OVER {all_}{less('count(1)')}"))
+        df = df.withColumn(f"amt_{name}", F.expr(f"sum(disbursed_amount) OVER {all_}{less('sum(disbursed_amount)')}"))
+    return df
 
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 400), st.integers(0, 3)), min_size=1, max_size=40))
-def test_hot_route_equals_plain_route(spark, rows, picks):
+def test_trailing_equals_sliding_frames(spark, rows, picks):
     start = day("2023-01-29")
-    data = [
-        (f"c{c}", start + dt.timedelta(days=d, hours=6 * h), float(d)) for c, d, h in picks
-    ]
+    data = [(f"c{c}", start + dt.timedelta(days=d, hours=6 * h), float(d)) for c, d, h in picks]
     df = spark.createDataFrame(data, LOANS)
     spans = {"2m": "2 MONTH", "9d": "9 DAY"}
     args = ("customer_id", "disbursed_date", spans, "disbursed_amount")
     for current in (False, True):
-        plain = trailing(df, *args, include_current=current)
-        cut = trailing(df, *args, include_current=current, hot_rows=1)
-        assert rows(plain) == rows(cut.select(plain.columns))
-    a = previous_instant(df, "customer_id", "disbursed_date")
-    b = previous_instant(df, "customer_id", "disbursed_date", hot_rows=1)
-    assert rows(a) == rows(b.select(a.columns))
+        plain = plain_frames(df, spans, current)
+        assert rows(plain) == rows(trailing(df, *args, include_current=current).select(plain.columns))
+    got = {(r[0], r[1]): r[3] for r in previous_instant(df, "customer_id", "disbursed_date").collect()}
+    for c, t in got:
+        assert got[c, t] == max((u for k, u, _ in data if k == c and u < t), default=None)
+
+
+def test_null_keys_and_times_stay(spark):
+    rows = [("a", day("2024-01-01"), 1.0), ("a", None, 2.0), (None, day("2024-01-02"), 3.0), (None, None, 4.0),
+            ("a", day("2024-01-05"), None), (None, day("2024-01-02"), 3.0)]
+    df = spark.createDataFrame(rows, LOANS)
+    out = trailing(df, "customer_id", "disbursed_date", {"9d": "9 DAY"}, "disbursed_amount", previous="before")
+    got = [(r[0], r[1], r[3], r[4], r[5]) for r in out.collect()]
+    assert len(got) == 6 and ("a", day("2024-01-05"), 1, 1.0, day("2024-01-01")) in got
+    assert all((n, a, b) == (0, 0.0, None) for k, t, n, a, b in got if k is None or t is None)
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    """Every row's window holds most of the key: sliding frames would be quadratic here."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id"))).alias("customer_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("disbursed_date"),
+        F.lit(0.1).alias("disbursed_amount"),
+    )
+    out = features.trailing_loans(df, (12,)).where("customer_id = 'hot'")
+    got = out.agg(F.count("*"), F.max("cnt_12m"), F.sum("cnt_12m"), F.max("amt_12m")).first()
+    assert tuple(got) == (20_000, 19_999, 19_999 * 10_000, 1999.9)
 
 
 def test_burst(spark):

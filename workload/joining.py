@@ -112,10 +112,17 @@ def trailing_windows(d):
     return out.select("loan_id", *[f"{k}_{m}m" for m in (3, 6, 12) for k in ("cnt", "amt")])
 
 
-@query("W1", _trail((3, 12)), r2="amt_3m amt_12m")
+HOT = "CASE WHEN customer_id % 3 = 0 THEN 0 ELSE customer_id END"
+
+
+@query(
+    "W1",
+    _trail((3, 12)).replace("{loans}", f"(SELECT * EXCLUDE (customer_id), {HOT} AS customer_id FROM {{loans}})"),
+    r2="amt_3m amt_12m",
+)
 def trailing_windows_hot_keys(d):
-    """The route of hot customers, forced for all of them."""
-    out = X.trailing_loans(d.loans, (3, 12), hot_rows=1)
+    """One customer has a third of all loans."""
+    out = X.trailing_loans(d.loans.withColumn("customer_id", F.expr(HOT)), (3, 12))
     return out.select("loan_id", *[f"{k}_{m}m" for m in (3, 12) for k in ("cnt", "amt")])
 
 
@@ -194,10 +201,15 @@ def application_bursts(d):
     return out.select("application_id", "cnt_burst", "burst", "gap_seconds")
 
 
-@query("W3", BURST, r6="gap_seconds")
+@query(
+    "W3",
+    BURST.replace("{applications}", f"(SELECT * EXCLUDE (customer_id), {HOT} AS customer_id FROM {{applications}})"),
+    r6="gap_seconds",
+)
 def application_bursts_hot_keys(d):
-    """The route of hot customers, forced for all of them."""
-    out = X.application_burst(d.applications, "apply_time", 4, 1, hot_rows=1)
+    """One customer has a third of all applications."""
+    apps = d.applications.withColumn("customer_id", F.expr(HOT))
+    out = X.application_burst(apps, "apply_time", 4, 1)
     return out.select("application_id", "cnt_burst", "burst", "gap_seconds")
 
 
