@@ -101,10 +101,12 @@ def snapshot_at(table: DataFrame, ts: datetime | str) -> DataFrame:
     return seen.join(newest, "snapshot_ts", "left_semi")
 
 
-def latest_snapshot_per_key(table: DataFrame, keys: list[str], ts: datetime | str) -> DataFrame:
-    """As-of lookup per key: its newest row at or before ``ts``."""
+def latest_snapshot_per_key(
+    table: DataFrame, keys: list[str], ts: datetime | str, ties: tuple[Column, ...] = ()
+) -> DataFrame:
+    """As-of lookup per key: its newest row at or before ``ts``; ``ties`` orders rows of one instant."""
     seen = table.where(F.col("snapshot_ts") <= F.lit(ts).cast("timestamp"))
-    return latest_per_key(seen, keys, [F.col("snapshot_ts").desc()])
+    return latest_per_key(seen, keys, [F.col("snapshot_ts").desc(), *ties])
 
 
 def members(df: DataFrame, selected: DataFrame, on: str | list[str]) -> DataFrame:

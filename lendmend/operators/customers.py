@@ -79,7 +79,7 @@ def segment(k: int = 5, cols: tuple[str, ...] = ("score", "amount", "overdue_rat
     """Unfitted pipeline: assemble, standardise, K-Means. Use ``fit_segments`` for named clusters."""
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip"),
+            VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="error"),
             StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
             KMeans(featuresCol="_std", predictionCol="_cluster", k=k, seed=seed),
         ]
@@ -100,9 +100,17 @@ class SegmentModel:
         self.rank = {old: new + 1 for new, old in enumerate(order)}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.pipeline.transform(df)
+        """Adds ``cluster``; customers that lack one of the columns stay, with a null cluster."""
+        held = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in self.cols])
+        # A stand-in lets incomplete rows through the assembler; their cluster is then blanked.
+        safe = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.cols}
+        out = self.pipeline.transform(
+            df.withColumns({f"_was_{c}": F.col(c) for c in self.cols}).withColumns(safe)
+        )
+        out = out.withColumns({c: F.col(f"_was_{c}") for c in self.cols})
         names = F.create_map(*[F.lit(x) for kv in self.rank.items() for x in kv])
-        return out.withColumn("cluster", names[F.col("_cluster")]).drop("_raw", "_std", "_cluster")
+        out = out.withColumn("cluster", F.when(held, names[F.col("_cluster")]))
+        return out.drop("_raw", "_std", "_cluster", *[f"_was_{c}" for c in self.cols])
 
 
 def fit_segments(
@@ -111,13 +119,23 @@ def fit_segments(
 ) -> SegmentModel:
     from lendmend.sources.zones import written
 
-    points = written(df.select(*cols), "segment-points")  # scanned once per iteration
+    points = written(df.select(*cols).dropna(), "segment-points")  # scanned once per iteration
     return SegmentModel(segment(k, cols, seed).fit(points), cols)
 
 
 def scatter_points(clustered: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
-    """A drawn share of (score, amount, cluster) points for plotting; sampling is the feature."""
-    return clustered.sample(fraction, seed=seed).select(KEY, "score", "amount", "cluster")
+    """A drawn share of each cluster's (score, amount) points for plotting; sampling is the feature.
+
+    The draw depends on the customer alone, so any partitioning gives the same points; of every
+    cluster at least the customer with the least draw is shown.
+    """
+    draw = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(1_000_000))
+    drawn = clustered.withColumn("_draw", draw)
+    least = drawn.groupBy("cluster").agg(F.min(F.struct("_draw", KEY)).alias("_least"))
+    points = drawn.join(F.broadcast(least), drawn.cluster.eqNullSafe(least.cluster)).where(  # a row per cluster
+        (F.col("_draw") < fraction * 1_000_000) | (F.col(KEY) == F.col(f"_least.{KEY}"))
+    )
+    return points.select(KEY, "score", "amount", drawn.cluster)
 
 
 def segment_members(clustered: DataFrame, cluster) -> DataFrame:

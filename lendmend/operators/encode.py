@@ -26,6 +26,8 @@ def frequency(df: DataFrame, col: str) -> DataFrame:
 
 @dataclass
 class FrequencyModel:
+    """Shares counted once, when fitted; Spark broadcasts a table that is small enough."""
+
     tables: dict[str, DataFrame]
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -43,9 +45,11 @@ class FrequencyEncoder:
     cols: list[str]
 
     def fit(self, train: DataFrame) -> FrequencyModel:
+        from lendmend.sources.zones import written
+
         return FrequencyModel(
             {
-                c: frequency(train, c).select(c, F.col("share").alias(f"{c}_freq"))
+                c: written(frequency(train, c).select(c, F.col("share").alias(f"{c}_freq")), "shares")
                 for c in self.cols
             }
         )

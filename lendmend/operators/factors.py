@@ -20,8 +20,10 @@ CELLS_PER_BLOCK = 2_000_000
 def dense_ids(df: DataFrame, key: str = KEY, buckets: int = 4096) -> DataFrame:
     """(key, user): consecutive integers from 0, numbered in parallel.
 
-    Keys are numbered inside hash buckets; a bucket starts where the one before ended.
+    Keys are numbered inside hash buckets; a bucket starts where the one before ended. Null keys
+    are left out. The factorisation takes 32-bit ids: more than 2^31 - 1 keys are refused.
     """
+    df = df.where(F.col(key).isNotNull())
     keys = df.select(key).distinct().withColumn(
         "_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     )
@@ -30,7 +32,10 @@ def dense_ids(df: DataFrame, key: str = KEY, buckets: int = 4096) -> DataFrame:
     starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     nth = F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1
     return keys.join(F.broadcast(starts), "_b").select(
-        key, (nth + F.col("_start")).cast("int").alias("user")
+        key,
+        F.when(nth + F.col("_start") < 2**31, (nth + F.col("_start")).try_cast("int"))
+        .otherwise(F.raise_error("more than 2^31 - 1 users").cast("int"))
+        .alias("user"),
     )
 
 
@@ -94,14 +99,21 @@ def als_fit(
     ).fit(ratings.cells)
 
 
-def empty_cells(df: DataFrame, ratings: Ratings, key: str = KEY) -> DataFrame:
-    """(key, feature, user, item) of the missing numeric cells."""
+def empty_cells(
+    df: DataFrame, ratings: Ratings, key: str = KEY, user_key: str | None = None
+) -> DataFrame:
+    """(key, feature, user, item) of the missing numeric cells.
+
+    ``user_key`` names the customer where ``key`` names something else, such as an application.
+    """
+    user_key = user_key or key
     gaps = F.array_compact(
         F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in ratings.features])
     )
     return (
-        df.select(key, F.explode(gaps).alias("feature"))
-        .join(ratings.users, key)
+        df.select(*dict.fromkeys([key, user_key]), F.explode(gaps).alias("feature"))
+        .join(ratings.users, user_key)
+        .select(key, "feature", "user")
         .withColumn("item", ratings.item_of(F.col("feature")))
     )
 

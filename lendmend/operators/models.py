@@ -43,17 +43,10 @@ def default_model(
     kind: str = "gbt",
     seed: int = 7,
 ):
-    """Unfitted classifier: boosted trees by default, ``forest``, or ``xgb`` where installed.
+    """Unfitted classifier: boosted trees by default, or ``forest``.
 
     With ``valid_flag`` (a boolean column) boosting stops when the flagged rows stop improving.
     """
-    if kind == "xgb":
-        from xgboost.spark import SparkXGBClassifier  # optional dependency
-
-        return SparkXGBClassifier(
-            features_col=features_col, label_col=label, max_depth=depth, learning_rate=rate,
-            n_estimators=rounds, weight_col=weight_col, validation_indicator_col=valid_flag,
-        )
     if kind == "forest":
         model = RandomForestClassifier(
             featuresCol=features_col, labelCol=label, maxDepth=depth, numTrees=rounds, seed=seed

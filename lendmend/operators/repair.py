@@ -18,7 +18,7 @@ from lendmend.operators.factors import (
     empty_cells,
     to_ratings,
 )
-from lendmend.operators.rules import repair_by_rule, rules
+from lendmend.operators.rules import RULE_SCHEMA, repair_by_rule, rules
 
 KEY = "customer_id"
 
@@ -122,18 +122,26 @@ class RepairModel:
     ratings: Ratings | None
     confidence: dict[str, float] = field(default_factory=dict)
 
-    def cells(self, df: DataFrame, key: str = KEY) -> DataFrame:
-        """Repaired cells in long form: value as text, method, confidence, evidence."""
+    def cells(self, df: DataFrame, key: str = KEY, customer: str | None = None) -> DataFrame:
+        """Repaired cells in long form: value as text, method, confidence, evidence.
+
+        ``key`` identifies a row, ``customer`` (by default the same) its customer. Confidence is
+        null where it was not measured.
+        """
         parts = []
         if self.categorical:
             parts.append(
                 repair_by_rule(df, self.rule_table, self.categorical, self.item_cols, key)
             )
         if self.als is not None and self.numeric:
-            gaps = empty_cells(df, self.ratings, key)
+            gaps = empty_cells(df, self.ratings, key, customer)
             filled = als_repair(self.als, gaps, self.ratings, key)
             conf = F.create_map(
-                *[F.lit(x) for f in self.numeric for x in (f, self.confidence.get(f, 0.0))]
+                *[
+                    x
+                    for f in self.numeric
+                    for x in (F.lit(f), F.lit(self.confidence.get(f)).cast("double"))
+                ]
             )
             parts.append(
                 filled.select(
@@ -147,10 +155,10 @@ class RepairModel:
             )
         return reduce(DataFrame.unionByName, parts)
 
-    def repair(self, df: DataFrame, key: str = KEY) -> DataFrame:
+    def repair(self, df: DataFrame, key: str = KEY, customer: str | None = None) -> DataFrame:
         """The table with gaps filled; ``repairs`` tells per filled cell how and how surely."""
         features = [*self.categorical, *self.numeric]
-        per_row = self.cells(df, key).groupBy(key).agg(
+        per_row = self.cells(df, key, customer).groupBy(key).agg(
             *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"_r_{f}") for f in features],
             F.sort_array(
                 F.collect_list(F.struct("feature", "method", "confidence", "evidence"))
@@ -190,7 +198,9 @@ def fit_repair(
     from lendmend.sources.zones import written
 
     train = written(train, "repair-train")  # mined per target and factorised
-    table = written(rules(train, item_cols, categorical, min_support, min_confidence), "rules")
+    table = train.sparkSession.createDataFrame([], RULE_SCHEMA)
+    if categorical:
+        table = written(rules(train, item_cols, categorical, min_support, min_confidence), "rules")
     als = ratings = None
     confidence: dict[str, float] = {}
     if numeric:
@@ -201,8 +211,9 @@ def fit_repair(
             got = als_repair(m, empty_cells(hidden, r, key), r, key)
             seen = als_metrics(masked_truth(got, to_cells(train, numeric, key), cells, key))
             confidence = {
-                x["feature"]: max(0.0, 1.0 - (x["rmse_sd"] if x["rmse_sd"] is not None else 1.0))
+                x["feature"]: max(0.0, 1.0 - x["rmse_sd"])
                 for x in seen.collect()  # one row per feature
+                if x["rmse_sd"] is not None
             }
         ratings = to_ratings(train, numeric, key)
         als = als_fit(ratings, rank, iterations=iterations)

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from lendmend.functions.bands import age_group, grade
 from lendmend.functions.items import item_attr, item_value, items
-from lendmend.operators.keyed import top_per_key
 
 KEY = "customer_id"
-MAX_RULES = 20_000  # above it rules are joined rather than held as one array per target
 RULE_SCHEMA = (
     "target string, antecedent array<string>, value string, confidence double, lift double, "
     "support double"
@@ -92,10 +90,15 @@ def match_rules(cells: DataFrame, rule_table: DataFrame) -> DataFrame:
     """All rules that apply to each missing cell.
 
     A rule must conclude the cell's target, and its antecedent must be part of the items. The
-    join runs on the target and the first antecedent item, so no rule meets a record that lacks
-    that item.
+    join runs on the target and the antecedent's rarest item among the cells, so a frequent item
+    brings no rule to a record that lacks the others.
     """
-    led = rule_table.withColumn("_lead", F.col("antecedent")[0])
+    often = cells.select(F.explode("items").alias("_lead")).groupBy("_lead").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    numbered = rule_table.withColumn("_lead", F.explode("antecedent")).join(often, "_lead", "left")
+    rarest = F.min_by("_lead", F.struct(F.coalesce("_n", F.lit(0)), "_lead"))
+    led = numbered.groupBy(*rule_table.columns).agg(rarest.alias("_lead"))
     known = cells.withColumn("_lead", F.explode("items"))
     return (
         known.join(led, ["target", "_lead"])
@@ -104,67 +107,29 @@ def match_rules(cells: DataFrame, rule_table: DataFrame) -> DataFrame:
     )
 
 
-def rule_order() -> list[Column]:
-    return [
-        F.col("confidence").desc(),
-        F.col("lift").desc(),
-        F.col("support").desc(),
-        F.array_join("antecedent", "|"),
-        F.col("value"),
-    ]
-
-
 def best_rule(candidates: DataFrame, key: str = KEY) -> DataFrame:
-    return top_per_key(candidates, [key, "target"], rule_order(), 1)
-
-
-def _best_by_array(cells: DataFrame, rule_table: DataFrame, key: str) -> DataFrame:
-    """First applicable rule from a best-first array per target: narrow, no candidate rows."""
-    ranked = rule_table.select(
-        "target",
-        F.struct(
-            (-F.col("confidence")).alias("c"),
-            (-F.col("lift")).alias("l"),
-            (-F.col("support")).alias("s"),
-            F.array_join("antecedent", "|").alias("a"),
-            F.col("value").alias("v"),
-            F.col("antecedent").alias("needs"),
-        ).alias("r"),
+    """The best applicable rule of each cell: confidence, lift, support, then text.
+
+    A minimum, so candidates are combined before they are shuffled and never ranked.
+    """
+    rank = F.struct(
+        (-F.col("confidence")).alias("c"), (-F.col("lift")).alias("l"), (-F.col("support")).alias("s"),
+        F.array_join("antecedent", "|").alias("a"), F.col("value").alias("v"), F.col("antecedent").alias("needs"),
     )
-    per_target = ranked.groupBy("target").agg(F.sort_array(F.collect_list("r")).alias("_rules"))
-    hit = F.filter(
-        "_rules", lambda r: F.forall(r["needs"], lambda a: F.array_contains("items", a))
-    )
-    return (
-        cells.join(F.broadcast(per_target), "target")  # <= MAX_RULES rules, counted
-        .withColumn("_hit", F.get(hit, 0))
-        .where(F.col("_hit").isNotNull())
-        .select(
-            key, "items", "target",
-            F.col("_hit.needs").alias("antecedent"),
-            F.col("_hit.v").alias("value"),
-            (-F.col("_hit.c")).alias("confidence"),
-        )
+    return candidates.groupBy(key, "target").agg(F.min(rank).alias("r")).select(
+        key, "target", F.col("r.needs").alias("antecedent"), F.col("r.v").alias("value"),
+        (-F.col("r.c")).alias("confidence"),
     )
 
 
 def repair_by_rule(
-    df: DataFrame,
-    rule_table: DataFrame,
-    targets: list[str],
-    cols: list[str],
-    key: str = KEY,
-    max_rules: int = MAX_RULES,
+    df: DataFrame, rule_table: DataFrame, targets: list[str], cols: list[str], key: str = KEY
 ) -> DataFrame:
     """(key, feature, value, method, confidence, evidence) of every cell a rule could fill.
 
     Cells without an applicable rule do not appear: they stay missing.
     """
-    cells = missing_cells(df, cols, targets, key)
-    if rule_table.limit(max_rules + 1).count() <= max_rules:
-        best = _best_by_array(cells, rule_table, key)
-    else:
-        best = best_rule(match_rules(cells, rule_table), key)
+    best = best_rule(match_rules(missing_cells(df, cols, targets, key), rule_table), key)
     return best.select(
         key,
         F.col("target").alias("feature"),

@@ -128,7 +128,7 @@ def select_features(
 ) -> Selection:
     """Variance, correlation, recursive elimination to ``target``, Lasso.
 
-    Input columns are unscaled; a step that would drop everything is skipped.
+    Input columns are unscaled; a step that would drop everything raises.
     """
     kept, dropped = list(features), {}
     rows = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
@@ -140,8 +140,9 @@ def select_features(
             LassoSelector(label, reg),
         ):
             got = selector.fit(rows, kept)
-            if got.kept:
-                kept, dropped = got.kept, {**dropped, **got.dropped}
+            if not got.kept:
+                raise ValueError(f"{type(selector).__name__} would drop all of {kept}")
+            kept, dropped = got.kept, {**dropped, **got.dropped}
     finally:
         rows.unpersist()
     return Selection(kept, dropped)

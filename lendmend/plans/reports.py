@@ -302,7 +302,7 @@ def snapshot(reports: dict[str, DataFrame], root: str, ts: datetime | str) -> No
     for name, df in reports.items():
         (
             df.withColumn("snapshot_ts", F.lit(str(ts)).cast("timestamp"))
-            .coalesce(1)  # reports are small
+            .repartition(1)  # moves the finished rows only; reports are small
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("snapshot_ts")

@@ -64,7 +64,8 @@ def read_csv(
 
 def _fingerprint(df: DataFrame, file_col: str, columns: list[str], side: str) -> DataFrame:
     # XOR and sum of row hashes do not depend on row order, and combine map-side.
-    row_hash = F.xxhash64(*[F.col(c) for c in columns])
+    # The hash skips nulls, so where they stand is hashed as well.
+    row_hash = F.xxhash64(*[F.col(c).isNull() for c in columns], *[F.col(c) for c in columns])
     return df.groupBy(file_col).agg(
         F.count(F.lit(1)).alias(f"{side}_rows"),
         F.bit_xor(row_hash).alias(f"{side}_xor"),

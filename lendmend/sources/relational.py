@@ -38,7 +38,8 @@ def jdbc_write(
     properties: dict[str, str] | None = None,
 ) -> None:
     """Write with at most ``connections`` open connections."""
-    df.coalesce(connections).write.option("truncate", "true").jdbc(
+    # Not coalesce: that would also run the stage before the write in so few tasks.
+    df.repartition(connections).write.option("truncate", "true").jdbc(
         url, table, mode=mode, properties={"batchsize": "10000", **(properties or {})}
     )
 

@@ -20,10 +20,11 @@ DICTIONARY = {"customer_id": "bigint", "age": "int", "amount": "double", "work_t
     WITH sent AS (SELECT 'loans_' || year(o_orderdate) || '.csv' AS source_file, * FROM {orders}),
     landed AS (SELECT * FROM sent WHERE NOT (o_orderdate >= TIMESTAMP '1998-06-01'
                  AND o_orderdate < TIMESTAMP '1998-07-01' AND o_orderstatus = 'P')),
-    s AS (SELECT source_file, count(*) AS n FROM sent GROUP BY 1),
+    s AS (SELECT source_file, count(*) AS n, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1999-03-01'
+            AND o_orderdate < TIMESTAMP '1999-03-08') AS changed FROM sent GROUP BY 1),
     l AS (SELECT source_file, count(*) AS n FROM landed GROUP BY 1)
     SELECT s.source_file, s.n AS sent_rows, coalesce(l.n, 0) AS landed_rows,
-           s.n = coalesce(l.n, 0) AS complete
+           s.n = coalesce(l.n, 0) AND s.changed = 0 AS complete
     FROM s LEFT JOIN l USING (source_file)""",
 )
 def ingest_check(d):
@@ -36,7 +37,16 @@ def ingest_check(d):
         & (F.col("o_orderdate") < "1998-07-01")
         & (F.col("o_orderstatus") == "P")
     )
-    return landing.ingest_check(sent, sent.where(~lost))
+    # A change in transit: in one week a text moved to the column beside it.
+    late = (F.col("o_orderdate") >= "1999-03-01") & (F.col("o_orderdate") < "1999-03-08")
+    sent = sent.withColumn("note", F.lit(None).cast("string"))
+    landed = sent.where(~lost).withColumns(
+        {
+            "note": F.when(late, F.col("o_orderpriority")),
+            "o_orderpriority": F.when(~late, F.col("o_orderpriority")),
+        }
+    )
+    return landing.ingest_check(sent, landed)
 
 
 @query(

@@ -375,11 +375,16 @@ def segments(d):
     )
 
 
-@query("C4", "SELECT CAST(5 AS BIGINT) AS clusters, count(disbursed) AS customers FROM {scored}")
+@query(
+    "C4",
+    """SELECT CAST(5 AS BIGINT) AS clusters, count(disbursed) AS customers, count(*) - count(disbursed) AS without
+       FROM {scored}""",
+)
 def segment_sizes(d):
-    """Every customer with an amount is in one of the five clusters."""
+    """Every customer with an amount is in one of the five clusters, the others in none."""
     per = clustered(d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.count("cluster").alias("clusters"), F.sum("n").alias("customers"))
+    n = lambda known: F.coalesce(F.sum(F.when(F.col("cluster").isNotNull() == known, F.col("n"))), F.lit(0))
+    return per.agg(F.count("cluster").alias("clusters"), n(True).alias("customers"), n(False).alias("without"))
 
 
 @query("C5 A13")

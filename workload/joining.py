@@ -151,9 +151,9 @@ def snapshot_lookup(d):
       FROM {loans} WHERE disbursed_date <= TIMESTAMP '1999-06-30') x WHERE rn = 1""",
 )
 def as_of_lookup(d):
-    seen = d.loans.where(F.col("disbursed_date") <= F.lit("1999-06-30").cast("timestamp"))
-    order = [F.col("disbursed_date").desc(), F.col("loan_id").desc()]
-    return latest_per_key(seen, ["customer_id"], order).select("customer_id", "loan_id")
+    table = d.loans.withColumnRenamed("disbursed_date", "snapshot_ts")
+    newest = J.latest_snapshot_per_key(table, ["customer_id"], "1999-06-30", (F.col("loan_id").desc(),))
+    return newest.select("customer_id", "loan_id")
 
 
 @query(
