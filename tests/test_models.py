@@ -133,6 +133,21 @@ def test_contributions_equal_brute_force(spark):
             assert got[(row["customer_id"], f)] == pytest.approx(phi, abs=1e-9)
 
 
+def test_deep_paths_add_up(spark):
+    """Paths that test up to 15 features: contributions and base give the forest's probability."""
+    names = [f"z{i}" for i in range(16)]
+    df = spark.range(3000).select(
+        F.col("id").alias("customer_id"), *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000.0).alias(n) for i, n in enumerate(names)]
+    )
+    df = df.withColumn("loan_default", (sum((F.col(n) for n in names), start=F.lit(0.0)) > 8).cast("int"))
+    model = models.train_default(df, names, kind="forest", depth=15, rounds=2)
+    rows = model.stages[0].transform(df.where("customer_id < 200"))
+    told = explain.shap_values(model.stages[-1], rows, names).groupBy("customer_id").agg((F.sum("shap") + F.max("base")).alias("told"))
+    off = models.probability(model.stages[-1].transform(rows)).join(told, "customer_id").where(F.abs(F.col("p") - F.col("told")) > 1e-9)
+    _, paths = explain._paths(explain.saved_nodes(model.stages[-1], spark), [0.5, 0.5], True)
+    assert off.isEmpty() and max(len(seen) for _, seen in paths) > 12
+
+
 def test_amount_models_and_quantiles(spark):
     df = planted.amounts(spark, 4000).cache()
     train, test = df.where("loan_id % 5 < 4"), df.where("loan_id % 5 = 4").cache()
