@@ -92,13 +92,13 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``n_lines`` and ``n_removed`` are replaced, all others kept.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = written(docs.select(*names, F.monotonically_increasing_id().alias("_row")), "rows")
-    cuts = written(repeated_runs(rows, id_col, "_row", text_col, least), "cuts").withColumnRenamed("row", "_row")
-    joined = rows.join(cuts, "_row", "left")
+    rows = written(docs.select(*names, F.monotonically_increasing_id().alias("__row")), "rows")
+    cuts = written(repeated_runs(rows, id_col, "__row", text_col, least), "cuts").select(F.col("row").alias("__row"), F.col("cuts").alias("__cuts"))
+    joined = rows.join(cuts.hint("merge"), "__row", "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    inside = lambda i: F.exists("cuts", lambda c: (c.start <= i) & (i < c.end))
-    kept = F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
+    inside = lambda i: F.exists("__cuts", lambda c: (c.start <= i) & (i < c.end))
+    kept = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    gone = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), inside))).cast("long")
-    out = joined.select(*[F.col(c) for c in names], n_lines.alias("n_lines"), gone.alias("n_removed"), kept.alias("_kept"))
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in [*names, "n_lines", "n_removed"]])
+    gone = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), inside))).cast("long")
+    out = joined.select(*[F.col(c) for c in names], n_lines.alias("n_lines"), gone.alias("n_removed"), kept.alias("__kept"))
+    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in [*names, "n_lines", "n_removed"]])
