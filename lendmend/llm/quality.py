@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lendmend.llm.common import written
 
-SAMPLE = 16_000  # labelled documents that the classifiers are fitted on, drawn by hash
+SAMPLE = 10_000  # labelled documents that the classifiers are fitted on, drawn by hash
 ROUNDS = 2
 PER_ROUND = 500  # pseudo-labels of each class that a view hands over in a round
 SURE = 0.95  # least calibrated probability of a pseudo-label
@@ -238,6 +238,7 @@ def score_documents(
     vocabularies = [selected(h, y, ~held, z) for h, z in zip(hashes, (ASSOCIATION, 0.0), strict=True)]
     model = CoTrained(*vocabularies)
     text, meta = ([model.numbers(v, h) for h in hashes[v]] for v in (0, 1))
+    del fitted, hashes
     extra: list[list] = [[], []]
     _fitted(text, meta, y, held, model, extra, True)
 
@@ -266,10 +267,11 @@ def score_documents(
 
         return rows.mapInArrow(run, f"id {kind}, row long, words binary, page binary, p_text double, p_meta double, p_bad double")
 
-    unlabelled = features.join(known.select("id"), "id", "left_anti").select(*features.columns)
+    unlabelled = features.join(known.select("id").hint("merge"), "id", "left_anti").select(*features.columns)
+    unlabelled = written(unlabelled, "unlabelled") if rounds else unlabelled
     used: set[int] = set()
     for _ in range(rounds):
-        found = scored(model, unlabelled)
+        found = written(scored(model, unlabelled), "round")
         handed = 0
         for view, p, other in ((0, "p_text", "page"), (1, "p_meta", "words")):
             for label, order in ((1, F.desc(p)), (0, F.asc(p))):
@@ -291,5 +293,5 @@ def score_documents(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those rejected. ``docs`` must give the same rows each time, as a table does."""
     good = written(score_documents(docs, labels, id_col, **options).where("keep").select("row"), "good")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(good.withColumnRenamed("row", "_row").hint("merge"), "_row").select(*docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    return rows.join(good.withColumnRenamed("row", "__row").hint("merge"), "__row").select(*docs.columns)
