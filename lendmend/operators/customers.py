@@ -131,11 +131,11 @@ def scatter_points(clustered: DataFrame, fraction: float, seed: int = 7) -> Data
     """
     draw = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(1_000_000))
     drawn = clustered.withColumn("_draw", draw)
-    least = drawn.groupBy("cluster").agg(F.min(F.struct("_draw", KEY)).alias("_least"))
-    points = drawn.join(F.broadcast(least), drawn.cluster.eqNullSafe(least.cluster)).where(  # a row per cluster
+    least = drawn.groupBy(F.col("cluster").alias("_of")).agg(F.min(F.struct("_draw", KEY)).alias("_least"))
+    points = drawn.join(F.broadcast(least), F.col("cluster").eqNullSafe(F.col("_of"))).where(  # a row per cluster
         (F.col("_draw") < fraction * 1_000_000) | (F.col(KEY) == F.col(f"_least.{KEY}"))
     )
-    return points.select(KEY, "score", "amount", drawn.cluster)
+    return points.select(KEY, "score", "amount", "cluster")
 
 
 def segment_members(clustered: DataFrame, cluster) -> DataFrame:

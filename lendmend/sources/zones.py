@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 import tempfile
 import uuid
+from typing import Any
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +48,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*copies: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in copies:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def zone_path(root: str, zone: str, name: str) -> str:
     if zone not in ZONES:
         raise ValueError(f"unknown zone {zone!r}, expected one of {ZONES}")
@@ -164,3 +177,71 @@ class ModelStore:
 
     def load(self, name: str, version: int) -> PipelineModel:
         return PipelineModel.load(self.path(name, version))
+
+    def save_fitted(self, spark: SparkSession, fitted: Any, name: str, version: int) -> str:
+        """Any fitted object of this library: its tables, MLlib models, arrays and plain values."""
+        path = self.path(name, version)
+        spec = json.dumps(_stored(spark, fitted, f"{path}/state"))
+        spark.createDataFrame([(spec,)], "value string").write.mode("overwrite").text(f"{path}/spec")
+        return path
+
+    def load_fitted(self, spark: SparkSession, name: str, version: int) -> Any:
+        path = self.path(name, version)
+        spec = spark.read.option("wholetext", True).text(f"{path}/spec").first()[0]
+        return _restored(spark, json.loads(spec), f"{path}/state")
+
+    def has(self, spark: SparkSession, name: str, version: int) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name, version)}/spec/_SUCCESS")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _stored(spark: SparkSession, value: Any, path: str) -> dict:
+    """Writes what JSON cannot hold below ``path`` and describes the value."""
+    if value is None or isinstance(value, (str, int, float, bool)):
+        return {"plain": value}
+    if isinstance(value, (list, tuple)):
+        parts = [_stored(spark, v, f"{path}/{i}") for i, v in enumerate(value)]
+        return {"tuple" if isinstance(value, tuple) else "list": parts}
+    if isinstance(value, dict):
+        return {"dict": [[_stored(spark, k, path), _stored(spark, v, f"{path}/{i}")] for i, (k, v) in enumerate(value.items())]}
+    if isinstance(value, np.ndarray):
+        spark.createDataFrame(
+            [(list(value.shape), value.astype(float).ravel().tolist())], "shape array<int>, cells array<double>"
+        ).write.mode("overwrite").parquet(path)
+        return {"array": True}
+    if isinstance(value, DataFrame):
+        value.write.mode("overwrite").parquet(path)
+        return {"table": True}
+    kind = type(value)
+    if hasattr(value, "write") and kind.__module__.startswith("pyspark.ml"):
+        value.write().overwrite().save(path)
+        return {"model": [kind.__module__, kind.__qualname__]}
+    if kind.__module__.split(".")[0] != __name__.split(".")[0]:
+        raise TypeError(f"cannot store a {kind.__name__}")
+    fields = {k: _stored(spark, v, f"{path}/{k}") for k, v in vars(value).items()}
+    return {"object": [kind.__module__, kind.__qualname__], "fields": fields}
+
+
+def _restored(spark: SparkSession, spec: dict, path: str) -> Any:
+    if "plain" in spec:
+        return spec["plain"]
+    for kind in ("list", "tuple"):
+        if kind in spec:
+            parts = [_restored(spark, s, f"{path}/{i}") for i, s in enumerate(spec[kind])]
+            return parts if kind == "list" else tuple(parts)
+    if "dict" in spec:
+        return {_restored(spark, k, path): _restored(spark, v, f"{path}/{i}") for i, (k, v) in enumerate(spec["dict"])}
+    if "array" in spec:
+        row = spark.read.parquet(path).first()
+        return np.array(row["cells"]).reshape(row["shape"])
+    if "table" in spec:
+        return spark.read.parquet(path)
+    module, name = spec.get("model") or spec["object"]
+    if module.split(".")[0] not in ("pyspark", __name__.split(".")[0]):
+        raise TypeError(f"cannot load a {module}.{name}")
+    kind = getattr(importlib.import_module(module), name)
+    if "model" in spec:
+        return kind.load(path)
+    out = kind.__new__(kind)
+    out.__dict__.update({k: _restored(spark, s, f"{path}/{k}") for k, s in spec["fields"].items()})
+    return out

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +16,7 @@ from lendmend.operators.features import derive
 from lendmend.operators.models import probability
 from lendmend.operators.repair import RepairModel
 from lendmend.operators.scoring import scorecard
+from lendmend.streaming.intake import Intake
 
 
 @dataclass
@@ -49,7 +51,7 @@ def decide(batch_df: DataFrame, models: Models) -> DataFrame:
         extra = {c: F.try_element_at("features", F.lit(c)) for c in wanted if c not in rows.columns}
         rows = rows.withColumns(extra).drop("features")
     if models.repair is not None:
-        rows = models.repair.repair(rows, models.key)
+        rows = models.repair.repair(rows, models.key, "customer_id")
     if {"outstanding", "disbursed", "approved", "installment"} <= set(rows.columns):
         rows = derive(rows)
     if models.imputer is not None:
@@ -102,15 +104,29 @@ def batch_step(
     models: Models,
     sink: Callable[[DataFrame, int], None],
     monitor: Callable[[DataFrame, int], None] | None = None,
+    intake: Intake | None = None,
+    record: Callable[[SparkSession, int, int, float], None] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """What runs per micro-batch. Decisions are written once and monitored from the copy."""
-    from lendmend.sources.zones import written
+    """What runs per micro-batch. Decisions are written once, monitored from the copy, and the copy
+    is deleted when the batch is done.
+
+    ``intake`` sets aside what must not be decided; ``record`` is told batch, rows and seconds.
+    """
+    from lendmend.sources.zones import discard, written
 
     def step(batch_df: DataFrame, batch_id: int) -> None:
-        decisions = written(decide(batch_df, models), "decisions")
+        began = time.monotonic()
+        fresh = batch_df if intake is None else intake.sort_out(batch_df, batch_id)
+        decisions = written(decide(fresh, models), "decisions")
         sink(decisions, batch_id)
         if monitor is not None:
             monitor(decisions, batch_id)
+        if record is not None:
+            rows = decisions.count() if intake is None else intake.rows
+            record(decisions.sparkSession, batch_id, rows, time.monotonic() - began)
+        discard(decisions)
+        if intake is not None:
+            discard(fresh)
 
     return step
 

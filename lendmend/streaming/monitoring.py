@@ -62,6 +62,34 @@ def monitor(
     return observe
 
 
+def record_progress(path: str) -> Callable[[SparkSession, int, int, float], None]:
+    """Keeps rows and time of every batch in a table; a repeated batch replaces its own row."""
+
+    def record(spark: SparkSession, batch_id: int, rows: int, seconds: float) -> None:
+        (
+            spark.createDataFrame([(batch_id, rows, int(seconds * 1000))], "batch_id bigint, rows bigint, took_ms bigint")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(path)
+        )
+
+    return record
+
+
+def throughput(
+    spark: SparkSession, path: str, min_rows_per_second: float = 1000.0, max_ms_per_row: float = 100.0
+) -> DataFrame:
+    """Throughput of every batch that ``record_progress`` has seen, against the targets."""
+    rate = F.try_divide(F.col("rows") * 1000.0, "took_ms")
+    per_row = F.try_divide(F.col("took_ms").cast("double"), "rows")
+    return spark.read.parquet(path).select(
+        F.col("batch_id").cast("bigint").alias("batch_id"), "rows", "took_ms",
+        rate.alias("rows_per_second"), per_row.alias("ms_per_row"),
+        ((rate >= min_rows_per_second) & (per_row <= max_ms_per_row)).alias("on_target"),
+    )
+
+
 def progress_rows(
     spark: SparkSession, progress: list, min_rows_per_second: float = 1000.0,
     max_ms_per_row: float = 100.0,

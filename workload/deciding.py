@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendmend.functions.scorecard import score
@@ -22,9 +23,7 @@ from workload.reporting import AUC_SQL, SCORE_SQL, graded
 
 RAW = ["age", "credit_score", "inquiry_cnt", "balance", "loan_cnt", "active_cnt", "outstanding", "debt_ratio", "account_util"]
 LABEL = "loan_default"
-_fitted: dict = {}
-
-
+ROUNDS = 30  # at most; boosting stops when the validation rows stop improving
 def modelling_rows(d):
     return features.derive(d.customers)
 
@@ -35,21 +34,34 @@ def split(df):
     return df.where(draw < 80), df.where(draw >= 80)
 
 
+def model_zone(d):
+    return ModelStore(f"{shared_dir(d.spark)}/zone")
+
+
+def version_of(df) -> int:
+    """Names a table by its content: a changed table gives another model version."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return (int(total or 0) * 31 + n) % (2**31)
+
+
 def default_parts(d):
-    """Imputer, fitted default model and class weight; fitted once per table set."""
-    at = (d.spark.sparkContext.applicationId, d.dir)
-    if at not in _fitted:
-        train = written(split(modelling_rows(d))[0], "train")
+    """Imputer, default model and class weight: loaded from the model zone by the version of the
+    training rows, or fitted on them and saved there."""
+    train = written(split(modelling_rows(d))[0], "train")
+    store, version = model_zone(d), version_of(train)
+    if not store.has(d.spark, "default", version):
         imputer = encode.impute_with_flags(RAW).fit(train)
         weighted = models.class_weight(imputer.transform(train), LABEL)
         weight = weighted.agg(F.max("class_weight")).first()[0]
         flagged = weighted.withColumn("valid", repair.percent_draw("customer_id", seed=12) < 15)
         model = models.train_default(
-            flagged, imputer.output_cols, LABEL, depth=4, rounds=10, weight_col="class_weight",
-            valid_flag="valid",
+            flagged, imputer.output_cols, LABEL, depth=6, rate=0.1, rounds=ROUNDS,
+            weight_col="class_weight", valid_flag="valid",
         )
-        _fitted[at] = (imputer, model, float(weight))
-    return _fitted[at]
+        fitted = decisions.Models(default=model, imputer=imputer, class_weight=float(weight))
+        store.save_fitted(d.spark, fitted, "default", version)
+    got = store.load_fitted(d.spark, "default", version)
+    return got.imputer, got.default, got.class_weight
 
 
 def scored_test(d):
@@ -57,9 +69,17 @@ def scored_test(d):
     return models.probability(model.transform(imputer.transform(split(modelling_rows(d))[1])))
 
 
-@query("M1 M2 M5")
+def in_unit(c):
+    return F.coalesce(F.col(c).between(0, 1), F.lit(False))
+
+
+TEST_DRAW = "('0x' || substr(md5(customer_id || '|11'), 1, 8))::BIGINT % 100 >= 80"
+
+
+@query("M1 M2 M5", f"SELECT customer_id, loan_default, true AS valid FROM {{customers}} WHERE {TEST_DRAW}")
 def default_predictions(d):
-    return scored_test(d).select("customer_id", LABEL, "p")
+    """Held-out customers and their label; the probability is one."""
+    return scored_test(d).select("customer_id", LABEL, in_unit("p").alias("valid"))
 
 
 @query(
@@ -84,16 +104,16 @@ def cost_threshold(d):
     return models.cost_threshold(d.scored, LABEL, "p", 9.0, 1.0)
 
 
-@query("M6")
+@query("M6", "SELECT unnest([3, 6]) AS depth, true AS valid")
 def cross_validation(d):
     imputer, _, _ = default_parts(d)
     train = imputer.transform(written(split(modelling_rows(d))[0], "train"))
-    learner = models.default_model(LABEL, depth=3, rounds=5, kind="forest")
+    learner = models.default_model(LABEL, rounds=8)
     est = Pipeline(stages=[models.assembler(imputer.output_cols), learner])
-    grid = ParamGridBuilder().addGrid(learner.maxDepth, [2, 4]).build()
+    grid = ParamGridBuilder().addGrid(learner.maxDepth, [3, 6]).build()
     got = models.cross_validate(est, grid=grid, train=train, label=LABEL)
-    rows = [(int(g[learner.maxDepth]), float(a)) for g, a in zip(grid, got.avgMetrics)]
-    return d.spark.createDataFrame(rows, "depth int, auc double")
+    rows = [(int(g[learner.maxDepth]), bool(0.0 <= a <= 1.0)) for g, a in zip(grid, got.avgMetrics)]
+    return d.spark.createDataFrame(rows, "depth int, valid boolean")
 
 
 @query(
@@ -125,11 +145,25 @@ def roc_points(d):
     return models.roc_points(d.scored, LABEL)
 
 
-@query("M8 W10")
+@query(
+    "M8 W10",
+    "SELECT CAST(18 AS BIGINT) AS features, CAST(171 AS BIGINT) AS rank_sum, CAST(18 AS BIGINT) AS ranks, CAST(1 AS DOUBLE) AS gain, true AS ordered",
+    r6="gain",
+)
 def feature_importance(d):
+    """Every feature has one rank, gains add up to one and fall with the rank."""
     imputer, model, _ = default_parts(d)
     gains = models.importance(model.stages[-1], imputer.output_cols, d.spark)
-    return explain.importance_rank(gains, "gain")
+    return ranks_hold(explain.importance_rank(gains, "gain"), "gain")
+
+
+def ranks_hold(ranked, value):
+    """One row per feature, so an unpartitioned window is small."""
+    falls = F.lag(value).over(W.orderBy("rank"))
+    return ranked.withColumn("_falls", F.coalesce(falls >= F.col(value), F.lit(True))).agg(
+        F.count("feature").alias("features"), F.sum("rank").cast("bigint").alias("rank_sum"),
+        F.count_distinct("rank").alias("ranks"), F.sum(value).alias("gain"), F.every("_falls").alias("ordered"),
+    )
 
 
 FRAUD = FraudRules(burst_count=4, burst_days=1, max_inquiries=70, min_credit_start_age=20, max_distance_km=9000.0, max_absent_documents=1)
@@ -166,9 +200,14 @@ def fraud_features(d):
     )
 
 
-@query("M10")
+@query(
+    "M10",
+    """SELECT count(*) AS applications, true AS valid, true AS ordered FROM {applications}
+       WHERE ('0x' || substr(md5(application_id || '|14'), 1, 8))::BIGINT % 100 >= 70""",
+)
 def fraud_predictions(d):
-    """Fraud labels do not exist in the tables; two or more signs stand in for them."""
+    """Fitted on some applications, judged on others. Fraud labels do not exist in the tables; two or
+    more signs stand in for them, and the model sees only what the signs are drawn from."""
     signs = ["many_inquiries", "age_conflict", "far_away", "documents_absent"]
     n = sum((F.col(s).cast("int") for s in signs), start=F.lit(0))
     rows = fraud_rows(d).select(
@@ -176,12 +215,17 @@ def fraud_predictions(d):
         F.col("cnt_burst").cast("double").alias("cnt_burst"),
         F.coalesce("inquiry_cnt", F.lit(0)).cast("double").alias("inquiry_cnt"),
         F.col("absent_documents").cast("double").alias("absent_documents"),
-        (n >= 2).cast("int").alias("fraud"),
+        F.coalesce((n >= 2).cast("int"), F.lit(0)).alias("fraud"),
     )
     rows = written(rows, "fraud")
+    draw = repair.percent_draw("application_id", seed=14)
     cols = ["distance_km", "cnt_burst", "inquiry_cnt", "absent_documents"]
-    model = models.fraud_model(rows, cols, "fraud", depth=4, rounds=5)
-    return models.probability(model.transform(rows)).select("application_id", "fraud", "p")
+    model = models.fraud_model(rows.where(draw < 70), cols, "fraud", depth=6, rounds=15)
+    held = models.probability(model.transform(rows.where(draw >= 70)))
+    mean = lambda y: F.coalesce(F.avg(F.when(F.col("fraud") == y, F.col("p"))), F.lit(float(y)))
+    return held.agg(
+        F.count(F.lit(1)).alias("applications"), F.every(in_unit("p")).alias("valid"), (mean(1) > mean(0)).alias("ordered")
+    )
 
 
 AMOUNT_COLS = ["asset", "overdue_cnt", "term", "area_id", "rate"]
@@ -200,17 +244,30 @@ def amount_split(rows):
     return rows.where(draw < 80), rows.where(draw >= 80)
 
 
-@query("M11")
+@query("M11", "SELECT unnest(['forest', 'gbt']) AS learner, true AS valid, CAST(1 AS BIGINT) AS chosen, true AS best_has_least")
 def amount_model_comparison(d):
+    """One learner is chosen, and it is the one with the least error."""
     train, test = amount_split(amount_rows(d))
-    return models.amount_models(train, test, AMOUNT_COLS, rounds=5, depth=4).report
+    report = models.amount_models(train, test, AMOUNT_COLS, rounds=15, depth=6).report
+    all_ = W.partitionBy()  # a row per learner
+    least = F.max(F.when(F.col("best"), F.col("rmse"))).over(all_) == F.min("rmse").over(all_)
+    return report.select(
+        "learner", ((F.col("rmse") > 0) & (F.col("mape") > 0)).alias("valid"),
+        F.sum(F.col("best").cast("int")).over(all_).alias("chosen"), least.alias("best_has_least"),
+    )
 
 
-@query("M12")
+@query(
+    "M12",
+    """SELECT loan_id, disbursed_amount, true AS ordered FROM {loans}
+       WHERE ('0x' || substr(md5(loan_id || '|13'), 1, 8))::BIGINT % 100 >= 80""",
+    r2="disbursed_amount",
+)
 def amount_quantiles(d):
     train, test = amount_split(amount_rows(d))
-    forest = models.amount_quantiles(train, AMOUNT_COLS, trees=10, depth=5)
-    return forest.transform(test).select("loan_id", "disbursed_amount", "q10", "q50", "q90")
+    forest = models.amount_quantiles(train, AMOUNT_COLS, trees=20, depth=6)
+    ordered = (F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))
+    return forest.transform(test).select("loan_id", "disbursed_amount", ordered.alias("ordered"))
 
 
 @query(
@@ -221,52 +278,93 @@ def amount_quantiles(d):
 def quantile_order(d):
     """Test loans, and how many have limits out of order."""
     train, test = amount_split(amount_rows(d))
-    out = models.amount_quantiles(train, AMOUNT_COLS, trees=5, depth=4).transform(test)
+    out = models.amount_quantiles(train, AMOUNT_COLS, trees=20, depth=6).transform(test)
     ordered = (F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))
     return out.agg(
         F.count(F.lit(1)).alias("loans"), F.count_if(~ordered).alias("crossed")
     )
 
 
-@query("M15 S12")
+@query(
+    "M15 S12",
+    "SELECT customer_id, true AS in_range, true AS answered FROM {customers}",
+)
 def prediction_answers(d):
+    """Every customer's answer, read back from its payload."""
     imputer, model, weight = default_parts(d)
-    asked = imputer.transform(split(modelling_rows(d))[1]).select("customer_id", *imputer.output_cols)
+    asked = imputer.transform(modelling_rows(d)).select("customer_id", *imputer.output_cols)
     out = models.predict_request(model, asked, weight).select("customer_id", "p", "score", "grade", "policy")
-    return out.select("customer_id", F.to_json(F.struct("*")).alias("payload"))
+    payload = out.select("customer_id", F.to_json(F.struct("*")).alias("payload"))
+    kind = "customer_id bigint, p double, score double, grade string, policy string"
+    told = payload.select("customer_id", F.from_json("payload", kind).alias("r"))
+    return told.select(
+        "customer_id", (F.col("r.p").between(0, 1) & F.col("r.score").between(300, 850)).alias("in_range"),
+        ((F.col("r.customer_id") == F.col("customer_id")) & F.col("r.grade").isNotNull() & F.col("r.policy").isNotNull()).alias("answered"),
+    )
 
 
-@query("S9")
+@query("S9", "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS different FROM {customers}")
 def stored_model_predictions(d):
-    """The model goes through the model zone; predictions come from the loaded copy."""
+    """The model goes through the model zone; the loaded copy predicts the same for every customer."""
     imputer, model, _ = default_parts(d)
     store = ModelStore(f"{shared_dir(d.spark)}/store-{uuid4().hex}")
     store.save(model, "default", 1)
-    again = store.load("default", 1)
-    rows = imputer.transform(split(modelling_rows(d))[1])
-    return models.probability(again.transform(rows)).select("customer_id", "p")
+    rows = imputer.transform(modelling_rows(d))
+    p = lambda m, name: models.probability(m.transform(rows), name).select("customer_id", name)
+    both = p(model, "p").join(p(store.load("default", 1), "again"), "customer_id", "full_outer")
+    return both.agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(~F.col("p").eqNullSafe(F.col("again"))).alias("different")
+    )
+
+
+@query("S9 E3 E6 M12 R13 C4", "SELECT unnest(['frequency', 'imputer', 'quantiles', 'repair', 'scaler', 'segments']) AS fitted, true AS same")
+def stored_state(d):
+    """Every fitted object goes through the model zone; the loaded copy gives the same rows."""
+    from functools import reduce
+
+    rows = written(d.customers, "customers")
+    amounts = amount_rows(d)
+    points = graded(d).drop("cluster")
+    made = {
+        "frequency": (encode.FrequencyEncoder(["area_id"]).fit(rows), rows),
+        "imputer": (encode.impute_with_flags(["age", "balance"]).fit(rows), rows),
+        "scaler": (encode.Scaler(["age", "balance"]).fit(rows), rows),
+        "segments": (K.fit_segments(points), points),
+        "quantiles": (models.amount_quantiles(amounts, AMOUNT_COLS, trees=4, depth=4), amounts),
+        "repair": (repair.fit_repair(rows, [], ["age", "credit_score", "balance"], [], rank=4, iterations=3), rows),
+    }
+    store, parts = ModelStore(f"{shared_dir(d.spark)}/store-{uuid4().hex}"), []
+    for name, (fitted, given) in made.items():
+        store.save_fitted(d.spark, fitted, name, 1)
+        again = store.load_fitted(d.spark, name, 1)
+        outs = [(m.repair if name == "repair" else m.transform)(given) for m in (fitted, again)]
+        total = [o.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(o.columns)))).cast("decimal(38,0)")).alias("h")) for o in outs]
+        parts.append(total[0].join(total[1], ["n", "h"]).agg(F.count(F.lit(1)) == 1).toDF("same").select(F.lit(name).alias("fitted"), "same"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def explained(d):
     imputer, model, _ = default_parts(d)
-    rows = models.assembler(imputer.output_cols).transform(
-        imputer.transform(split(modelling_rows(d))[1])
-    )
+    rows = models.assembler(imputer.output_cols).transform(imputer.transform(modelling_rows(d)))
     return explain.shap_values(model.stages[-1], rows, imputer.output_cols)
 
 
-@query("M16")
+@query("M16", "SELECT customer_id, CAST(18 AS BIGINT) AS features, true AS finite FROM {customers}")
 def shap_values(d):
-    return explained(d)
-
-
-TEST_DRAW = "('0x' || substr(md5(customer_id || '|11'), 1, 8))::BIGINT % 100 >= 80"
+    """Every customer has a contribution for each of the features."""
+    finite = F.col("shap").isNotNull() & ~F.isnan("shap") & (F.abs("shap") < 100)
+    return explained(d).groupBy("customer_id").agg(
+        F.count_distinct("feature").alias("features"), F.every(finite).alias("finite")
+    )
 
 
-@query("M16", f"SELECT count(*) AS customers, CAST(0 AS BIGINT) AS broken FROM {{customers}} WHERE {TEST_DRAW}")
+@query("M16", "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS broken FROM {customers}")
 def shap_adds_up(d):
-    """Test customers, and how many have contributions that miss their margin."""
-    margin = scored_test(d).select("customer_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    """All customers, and how many have contributions that miss their margin."""
+    imputer, model, _ = default_parts(d)
+    margin = model.transform(imputer.transform(modelling_rows(d))).select(
+        "customer_id", vector_to_array("rawPrediction")[1].alias("margin")
+    )
     total = explained(d).groupBy("customer_id").agg((F.sum("shap") + F.max("base")).alias("told"))
     return margin.join(total, "customer_id", "left").agg(
         F.count(F.lit(1)).alias("customers"),
@@ -274,22 +372,31 @@ def shap_adds_up(d):
     )
 
 
-@query("M17 W10")
+@query(
+    "M17 W10",
+    "SELECT CAST(18 AS BIGINT) AS features, CAST(171 AS BIGINT) AS rank_sum, CAST(18 AS BIGINT) AS ranks, true AS ordered",
+)
 def shap_importance(d):
-    return explain.shap_importance(explained(d))
+    ranked = explain.shap_importance(explained(d))
+    return ranks_hold(ranked, "mean_abs_shap").drop("gain")
 
 
-@query("M18")
+@query("M18", "SELECT customer_id, CAST(3 AS BIGINT) AS reasons, true AS largest FROM {customers}")
 def force_reasons(d):
-    """The three largest contributions of every customer, by size and direction."""
-    return explain.top_reasons(explained(d), 3).withColumn(
-        "direction", F.when(F.col("shap") >= 0, "raises risk").otherwise("lowers risk")
-    )
+    """Three reasons for every customer, none smaller than a contribution left out."""
+    told = written(explained(d).select("customer_id", "feature", "shap"), "told")
+    reasons = explain.top_reasons(told, 3)
+    kept = reasons.groupBy("customer_id").agg(F.count(F.lit(1)).alias("reasons"), F.min(F.abs("shap")).alias("least"))
+    rest = told.join(reasons, ["customer_id", "feature"], "left_anti")
+    most = rest.groupBy("customer_id").agg(F.max(F.abs("shap")).alias("most"))
+    return kept.join(most, "customer_id").select("customer_id", "reasons", (F.col("least") >= F.col("most")).alias("largest"))
 
 
-@query("M19")
+@query("M19", "SELECT unnest(['age_filled', 'credit_score_filled', 'debt_ratio_filled']) AS feature, unnest([-1, -1, 1]) AS expected, true AS consistent")
 def shap_sanity(d):
-    return explain.shap_sanity(explained(d), {"age_filled": -1, "credit_score_filled": -1, "debt_ratio_filled": 1})
+    got = explain.shap_sanity(explained(d), {"age_filled": -1, "credit_score_filled": -1, "debt_ratio_filled": 1})
+    against = F.coalesce(F.signum("r") * F.col("expected") < 0, F.lit(False))
+    return got.select("feature", F.col("expected").cast("int").alias("expected"), (F.col("contradicts") == against).alias("consistent"))
 
 
 # ---- customers ----
@@ -368,11 +475,15 @@ def clustered(d):
     return K.fit_segments(rows).transform(rows)
 
 
-@query("C4 C7")
+@query("C4 C7", "SELECT customer_id, disbursed IS NOT NULL AS has_cluster, true AS policy_fits FROM {scored}")
 def segments(d):
-    return K.segment_policy(clustered(d)).select(
-        "customer_id", "score", "amount", "cluster", "segment_policy"
-    )
+    """Who has a cluster; and each cluster's policy is that of the table."""
+    from lendmend.schema import SEGMENT_POLICY
+
+    rows = K.segment_policy(clustered(d))
+    wanted = F.create_map(*[F.lit(x) for kv in SEGMENT_POLICY.items() for x in kv])
+    fits = F.col("segment_policy").eqNullSafe(F.when(F.col("cluster").isNotNull(), wanted[F.col("cluster")]))
+    return rows.select("customer_id", F.col("cluster").isNotNull().alias("has_cluster"), fits.alias("policy_fits"))
 
 
 @query(
@@ -387,21 +498,42 @@ def segment_sizes(d):
     return per.agg(F.count("cluster").alias("clusters"), n(True).alias("customers"), n(False).alias("without"))
 
 
-@query("C5 A13")
+@query("C5 A13", "SELECT CAST(5 AS BIGINT) AS clusters, count(disbursed) AS customers, true AS best_first FROM {scored}")
 def segment_profiles(d):
+    """The profiles cover every customer with an amount; cluster 1 has the highest mean score."""
     from lendmend.plans.reports import cluster_profile
 
-    return cluster_profile(clustered(d))
+    rows = written(clustered(d).where("cluster IS NOT NULL"), "clustered")
+    profile = cluster_profile(rows)
+    means = rows.groupBy("cluster").agg(F.avg("score").alias("s"))
+    best = means.agg(F.max_by("cluster", "s").alias("best"))
+    n = next(c for c in profile.columns if c in ("customers", "n", "count", "members"))
+    return profile.agg(F.count_distinct("cluster").alias("clusters"), F.sum(n).alias("customers")).withColumn(
+        "best_first", F.lit(best.first()[0] == 1)
+    )
 
 
-@query("C5")
+@query("C5", "SELECT CAST(5 AS BIGINT) AS clusters, true AS share_near, CAST(0 AS BIGINT) AS strangers")
 def segment_scatter(d):
-    return K.scatter_points(clustered(d), 0.2)
+    """Every cluster is drawn, about the asked share is, and every point is a customer's."""
+    rows = written(clustered(d).where("cluster IS NOT NULL"), "clustered")
+    points = written(K.scatter_points(rows, 0.2), "points")
+    got = points.agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.lit(rows.count())
+    strangers = points.join(rows, ["customer_id", "score", "amount", "cluster"], "left_anti").count()
+    return got.select("clusters", share.between(0.1, 0.3).alias("share_near"), F.lit(strangers).cast("bigint").alias("strangers"))
 
 
-@query("C6 J8")
+@query("C6 J8", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS strangers")
 def segment_members(d):
-    return K.segment_members(clustered(d), 5).select("customer_id", "score", "amount")
+    """The drill-down holds the members of its cluster, all of them and no other."""
+    rows = written(clustered(d), "clustered")
+    got = K.segment_members(rows, 5).select("customer_id")
+    own = rows.where("cluster = 5").select("customer_id")
+    n = lambda a, b: a.join(b, "customer_id", "left_anti").agg(F.count(F.lit(1)))
+    return n(own, got).toDF("missing").withColumn("k", F.lit(1)).join(
+        n(got, own).toDF("strangers").withColumn("k", F.lit(1)), "k"
+    ).drop("k")
 
 
 @query(
@@ -517,98 +649,180 @@ def lookalikes(d):
 
 # ---- live flow ----
 
+SERVED = ["age", "credit_score", "inquiry_cnt", "balance", "loan_cnt", "active_cnt", "overdue_cnt",
+          "outstanding", "disbursed", "approved", "installment"]
+REPAIRED = ["age", "credit_score", "balance", "loan_cnt", "outstanding"]
+
 
 def live_models(d):
+    """All that the live flow needs, loaded from the model zone; fitted and saved there if the
+    tables have no version yet."""
     imputer, model, weight = default_parts(d)
-    featured = written(
-        features.derive(d.customers).select("customer_id", LABEL, *RAW), "featured"
-    )
-    return decisions.Models(
-        default=model, imputer=imputer, class_weight=weight, featured=featured,
-        keep=("customer_id", "apply_time", "amount"),
-    )
+    rows = written(d.customers, "customers")
+    store, version = model_zone(d), version_of(rows)
+    if not store.has(d.spark, "live", version):
+        train = split(features.derive(rows))[0]
+        amounts = imputer.transform(train).withColumn("disbursed_amount", F.try_divide("disbursed", "loan_cnt"))
+        amounts = written(amounts.where("disbursed_amount IS NOT NULL"), "amounts")
+        amount = models.amount_models(
+            amounts, amounts, imputer.output_cols, rounds=15, depth=5, learners=("forest",)
+        ).best
+        # The factors of every customer, from the cells that are known of them.
+        fixes = repair.fit_repair(rows, [], REPAIRED, [], rank=10, iterations=10, check_share=0.2)
+        live = decisions.Models(
+            default=model, amount=amount, imputer=imputer, repair=fixes, class_weight=weight,
+            featured=rows.select("customer_id", *SERVED), keep=("customer_id", "apply_time", "amount"),
+        )
+        store.save_fitted(d.spark, live, "live", version)
+    return store.load_fitted(d.spark, "live", version)
 
 
-def live_rows(events):
-    """Raw events -> application messages -> typed applications."""
+def event_messages(events):
+    """Raw events -> application messages."""
     message = F.struct(
         F.col("event_id").cast("string").alias("application_id"),
         F.col("user_id").cast("string").alias("customer_id"),
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("apply_time"),
         F.col("value").alias("amount"), F.col("event_type").alias("purpose"),
     )
-    apps = messages.decoded(events.select(F.to_json(message).alias("value")))
+    return events.select("event_id", "ts", F.to_json(message).alias("value"))
+
+
+def typed(apps):
     return apps.withColumn("customer_id", F.col("customer_id").cast("bigint"))
 
 
-_streams: dict = {}
+def live_rows(events):
+    """Raw events -> application messages -> typed applications."""
+    return typed(messages.decoded(event_messages(events).select("value")))
 
 
-def run_stream(d):
-    """All events through the live flow, once per table set: (output folder, finished query)."""
-    at = (d.spark.sparkContext.applicationId, d.dir)
-    if at not in _streams:
-        _streams[at] = _run_stream(d)
-    return _streams[at]
+SPLIT_DAY = "2024-01-05"
 
 
-def _run_stream(d):
-    root = f"{shared_dir(d.spark)}/stream-{uuid4().hex}"
-    source = (
-        d.spark.readStream.schema(d.events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(d.dir)
+def waves(d):
+    """Two deliveries. Some messages are cut short (malformed), some come twice, and the second
+    delivery brings old first-time applications (late) and repeats of the first one."""
+    text = event_messages(d.events).withColumn(
+        "value", F.when(F.col("event_id") % 40 == 7, F.substring("value", 1, 25)).otherwise(F.col("value"))
     )
+    twice = lambda df: df.unionByName(df.where("event_id % 25 = 3"))
+    new = F.col("ts") >= F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    first, old = text.where(new), text.where(~new)
+    return twice(first), twice(old).unionByName(first.where("event_id % 30 = 1"))
+
+
+def run_stream(d):
+    """Both deliveries through the live flow, the second after a restart: (output folder, intake)."""
+    root = f"{shared_dir(d.spark)}/stream-{uuid4().hex}"
+    intake = decisions.Intake(root)
     step = decisions.batch_step(
         live_models(d),
         decisions.write_batch_files(f"{root}/decisions"),
         monitoring.monitor(f"{root}/metrics", f"{root}/alerts", max_default_rate=0.05),
+        intake,
+        monitoring.record_progress(f"{root}/progress"),
     )
-    q = decisions.run(messages.once_per_application(live_rows(source)), step, f"{root}/checkpoint", every=None)
-    q.awaitTermination()
-    return root, q
+    for number, wave in enumerate(waves(d)):
+        wave.select("value").write.mode("append").text(f"{root}/inbox")
+        apps = typed(messages.application_stream(d.spark, directory=f"{root}/inbox", files_per_trigger=1000))
+        q = decisions.run(apps, step, f"{root}/checkpoint", every=None if number else "10 seconds")
+        if number:
+            q.awaitTermination()
+        else:
+            q.processAllAvailable()
+            q.stop()
+    return root, intake
 
 
-DECIDED = """SELECT CAST(event_id AS VARCHAR) AS application_id, user_id AS customer_id, value AS amount,
-    true AS decided FROM {events}"""
+FRESH = f"event_id % 40 <> 7 AND ts >= TIMESTAMP '{SPLIT_DAY}'"
+DECIDED = f"""SELECT CAST(event_id AS VARCHAR) AS application_id, user_id AS customer_id, value AS amount,
+    true AS decided FROM {{events}} WHERE {FRESH}"""
 
 
 def decided(out):
     ok = F.col("score").between(300, 850) & F.col("grade").isNotNull() & F.col("policy").isNotNull()
-    return out.select("application_id", "customer_id", "amount", ok.alias("decided"))
+    return out.select("application_id", "customer_id", "amount", (ok & F.col("suggested_amount").isNotNull()).alias("decided"))
 
 
-@query("S3 T1 T2 S1 S11", DECIDED, r2="amount")
+@query("S3 T1 T2", DECIDED, r2="amount")
 def stream_decisions(d):
     root, _ = run_stream(d)
     return decided(d.spark.read.parquet(f"{root}/decisions"))
 
 
-@query("T3", "SELECT count(*) AS decided, CAST(0 AS BIGINT) AS different FROM {events}")
+@query(
+    "S3 T1",
+    f"""WITH e AS (SELECT event_id % 40 = 7 AS bad, ts >= TIMESTAMP '{SPLIT_DAY}' AS new,
+                     (event_id % 25 = 3)::INT AS twice, (event_id % 30 = 1 AND ts >= TIMESTAMP '{SPLIT_DAY}')::INT AS again FROM {{events}})
+        SELECT 'decided' AS outcome, count(*) AS messages FROM e WHERE NOT bad AND new
+        UNION ALL SELECT 'late', count(*) FROM e WHERE NOT bad AND NOT new
+        UNION ALL SELECT 'malformed', CAST(sum(1 + twice + again) AS BIGINT) FROM e WHERE bad
+        UNION ALL SELECT 'repeated', CAST(sum(twice + again) AS BIGINT) FROM e WHERE NOT bad""",
+)
+def intake_outcomes(d):
+    """Every message that arrived has one outcome."""
+    _, intake = run_stream(d)
+    return intake.outcomes(d.spark)
+
+
+@query("T3", f"SELECT count(*) AS decided, CAST(0 AS BIGINT) AS different FROM {{events}} WHERE {FRESH}")
 def stream_batch_parity(d):
-    """Applications decided by the stream, and how many of them the batch decides differently."""
+    """Applications decided by the stream, and how many of them the batch decides differently:
+    probability, score, grade, policy, suggested amount or repaired cells."""
     root, _ = run_stream(d)
-    live = d.spark.read.parquet(f"{root}/decisions")
-    off = decisions.check_parity(live, decisions.decide(live_rows(d.events), live_models(d)))
-    per_side = live.select(F.lit(1).alias("decided"), F.lit(0).alias("different")).unionByName(
-        off.select(F.lit(0).alias("decided"), F.lit(1).alias("different"))
-    )
-    return per_side.agg(F.sum("decided").alias("decided"), F.sum("different").alias("different"))
+    live = d.spark.read.parquet(f"{root}/decisions").drop("batch_id")
+    batch = decisions.decide(live_rows(d.events.where(FRESH)), live_models(d))
+    both = live.join(batch.select(*[F.col(c).alias(f"b_{c}") for c in batch.columns]), F.col("application_id") == F.col("b_application_id"), "full_outer")
+    near = lambda c, n: F.round(c, n).eqNullSafe(F.round(f"b_{c}", n))
+    same = near("p", 9) & near("score", 6) & near("suggested_amount", 6)
+    same &= F.col("grade").eqNullSafe(F.col("b_grade")) & F.col("policy").eqNullSafe(F.col("b_policy"))
+    same &= F.to_json("repairs").eqNullSafe(F.to_json("b_repairs"))
+    return both.agg(F.count("application_id").alias("decided"), F.count_if(~same).alias("different"))
+
+
+@query(
+    "T2 R13",
+    f"""SELECT CAST(event_id AS VARCHAR) AS application_id, CAST((age IS NULL)::INT + (credit_score IS NULL)::INT + (balance IS NULL)::INT
+               + (loan_cnt IS NULL)::INT + (outstanding IS NULL)::INT AS BIGINT) AS repaired
+        FROM {{events}} JOIN {{customers}} c ON c.customer_id = user_id
+        WHERE {FRESH} AND (age IS NULL OR credit_score IS NULL OR balance IS NULL OR loan_cnt IS NULL OR outstanding IS NULL)
+          AND NOT (age IS NULL AND credit_score IS NULL AND balance IS NULL AND loan_cnt IS NULL AND outstanding IS NULL)""",
+)
+def live_repairs(d):
+    """Applications whose customer lacks values, and how many of them the live flow repaired."""
+    out = decisions.decide(live_rows(d.events.where(FRESH)), live_models(d))
+    return out.where("repairs IS NOT NULL").select("application_id", F.size("repairs").cast("bigint").alias("repaired"))
 
 
-@query("T4 A17", "SELECT count(*) AS rows FROM {events}")
+@query("T4 A17", f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS off FROM {{events}} WHERE {FRESH}")
 def stream_metrics(d):
+    """Rows measured, and batches whose measures differ from those of their decisions."""
     root, _ = run_stream(d)
-    return d.spark.read.parquet(f"{root}/metrics").agg(F.sum("rows").alias("rows"))
+    told = d.spark.read.parquet(f"{root}/metrics")
+    out = d.spark.read.parquet(f"{root}/decisions").groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("p") >= 0.5).cast("double")).alias("rate"), F.avg("suggested_amount").alias("mean")
+    )
+    close = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 1e-6, F.lit(False))
+    fits = (F.col("rows") == F.col("n")) & close("default_rate", "rate") & close("mean_amount", "mean")
+    # A batch that decided nothing has a row of measures and no decisions.
+    both = told.join(out, "batch_id", "left").withColumn("off", ~F.when(F.col("n").isNull(), F.col("rows") == 0).otherwise(fits))
+    return both.agg(F.sum("rows").alias("rows"), F.count_if("off").alias("off"))
 
 
-@query("T8")
+@query(
+    "T8",
+    """SELECT CAST(sum(1 + (event_id % 25 = 3)::INT) + count(*) FILTER (WHERE event_id % 30 = 1 AND ts >= TIMESTAMP '2024-01-05') AS BIGINT) AS rows,
+              true AS timed FROM {events}""",
+)
 def stream_throughput(d):
-    _, q = run_stream(d)
-    return monitoring.progress_rows(d.spark, q.recentProgress)
+    """Every message is in the record of some batch, and every batch was timed."""
+    root, _ = run_stream(d)
+    told = monitoring.throughput(d.spark, f"{root}/progress")
+    return told.agg(F.sum("rows").alias("rows"), F.every((F.col("took_ms") > 0) & F.col("on_target").isNotNull()).alias("timed"))
 
 
-@query("T2 M13", DECIDED, r2="amount")
+@query("T2 M13", DECIDED.replace(f" WHERE {FRESH}", ""), r2="amount")
 def batch_decisions(d):
     """The decision flow on the events as one batch."""
     return decided(decisions.decide(live_rows(d.events), live_models(d)))

@@ -140,22 +140,41 @@ def low_variance_filter(d):
     return select.selection_report(d.spark, got)
 
 
-@query("E10")
+def _names(names):
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def outcomes_fit(d, got, allowed):
+    """Every feature has one outcome, and it is a known one."""
+    report = select.selection_report(d.spark, got)
+    return report.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("outcomes"), F.every(F.col("outcome").isin(["kept", *allowed])).alias("known")
+    )
+
+
+@query(
+    "E10",
+    f"SELECT unnest([{_names(CANDIDATES)}]) AS feature, CAST(1 AS BIGINT) AS outcomes, true AS known, CAST(5 AS BIGINT) AS kept",
+)
 def recursive_elimination(d):
-    got = select.RFE("loan_default", 5, step=3, trees=10).fit(training_rows(d), CANDIDATES)
-    return select.selection_report(d.spark, got)
+    got = select.RFE("loan_default", 5, step=3, trees=50).fit(training_rows(d), CANDIDATES)
+    return outcomes_fit(d, got, set(got.dropped.values())).withColumn("kept", F.lit(len(got.kept)).cast("bigint"))
 
 
-@query("E11")
+@query("E11", f"SELECT unnest([{_names(CANDIDATES)}]) AS feature, CAST(1 AS BIGINT) AS outcomes, true AS known, true AS fewer")
 def lasso_selection(d):
-    got = select.LassoSelector("loan_default", 0.005).fit(training_rows(d), CANDIDATES)
-    return select.selection_report(d.spark, got)
+    """Every feature has an outcome; a stronger penalty keeps no more features."""
+    rows = written(training_rows(d), "training")
+    got = select.LassoSelector("loan_default", 0.005).fit(rows, CANDIDATES)
+    strong = select.LassoSelector("loan_default", 0.05).fit(rows, CANDIDATES)
+    return outcomes_fit(d, got, ["lasso"]).withColumn("fewer", F.lit(len(strong.kept) <= len(got.kept)))
 
 
-@query("E12")
+@query("E12", f"SELECT unnest([{_names(SELECTABLE)}]) AS feature, CAST(1 AS BIGINT) AS outcomes, true AS known, true AS bounded")
 def feature_selection(d):
+    """Each dropped feature is recorded once with its step; at most the asked number stays."""
     got = select.select_features(training_rows(d), SELECTABLE, "loan_default", target=6, step=3)
-    return select.selection_report(d.spark, got)
+    return outcomes_fit(d, got, set(got.dropped.values())).withColumn("bounded", F.lit(0 < len(got.kept) <= 6))
 
 
 # ---- association rules ----
@@ -344,12 +363,28 @@ def rating_cells(d):
     ).withColumn("users", F.lit(ids).cast("bigint"))
 
 
-@query("R7 R8")
+GAPS = """SELECT customer_id, 'age' AS feature, true AS plausible FROM {customers} WHERE age IS NULL
+    UNION ALL SELECT customer_id, 'credit_score', true FROM {customers} WHERE credit_score IS NULL
+    UNION ALL SELECT customer_id, unnest(['loan_cnt', 'outstanding', 'disbursed']), true FROM {customers} WHERE loan_cnt IS NULL"""
+
+
+def plausible(d, got):
+    """Whether repaired numbers lie within the spread of the known ones, widened by its half."""
+    bounds = d.customers.agg(*[F.struct(F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")).alias(f) for f in NUMERIC]).first()
+    ok = F.lit(False)
+    for f in NUMERIC:
+        half = (bounds[f]["hi"] - bounds[f]["lo"]) / 2
+        ok = F.when(F.col("feature") == f, F.col("value").between(bounds[f]["lo"] - half, bounds[f]["hi"] + half)).otherwise(ok)
+    return got.select("customer_id", "feature", F.coalesce(ok, F.lit(False)).alias("plausible"))
+
+
+@query("R7 R8", GAPS)
 def factor_repair(d):
+    """Each missing number of each customer, repaired by the factors."""
     rows = d.customers.select("customer_id", *NUMERIC)
     r = factors.to_ratings(rows, NUMERIC)
-    model = factors.als_fit(r, rank=8, iterations=5)
-    return factors.als_repair(model, factors.empty_cells(rows, r), r)
+    model = factors.als_fit(r, rank=50, iterations=10)
+    return plausible(d, factors.als_repair(model, factors.empty_cells(rows, r), r))
 
 
 @query(
@@ -363,17 +398,27 @@ def factor_repair_coverage(d):
     """Every missing number of a customer known to the model gets a value."""
     rows = d.customers.select("customer_id", *NUMERIC)
     r = factors.to_ratings(rows, NUMERIC)
-    model = factors.als_fit(r, rank=4, iterations=2)
+    model = factors.als_fit(r, rank=50, iterations=10)
     got = factors.als_repair(model, factors.empty_cells(rows, r), r)
     return got.where("value IS NOT NULL").groupBy("feature").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("R9")
+@query(
+    "R9",
+    """SELECT CAST(0 AS BIGINT) AS strangers, true AS most_filled, true AS plausible""",
+)
 def neighbour_repair(d):
+    """Only missing cells are repaired, nearly all of them, within the spread of the known values."""
     rows = d.customers.select("customer_id", *NUMERIC)
     r = factors.to_ratings(rows, NUMERIC)
-    model = factors.als_fit(r, rank=8, iterations=5)
-    return factors.knn_repair(model, factors.empty_cells(rows, r), r, k=10)
+    model = factors.als_fit(r, rank=8, iterations=10)
+    gaps = written(factors.empty_cells(rows, r), "gaps")
+    got = written(plausible(d, factors.knn_repair(model, gaps, r, k=10)), "repaired")
+    strangers = got.join(gaps, ["customer_id", "feature"], "left_anti").count()
+    return got.agg(
+        F.lit(strangers).cast("bigint").alias("strangers"),
+        (F.count(F.lit(1)) >= 0.9 * gaps.count()).alias("most_filled"), F.every("plausible").alias("plausible"),
+    )
 
 
 @query(
@@ -412,19 +457,36 @@ def repair_input(d):
 
 def fitted_repair(d, check_share=0.0):
     return repair.fit_repair(
-        repair_input(d), TARGETS, NUMERIC, ITEM_COLS, 0.1, 0.4, rank=8, iterations=5,
+        repair_input(d), TARGETS, NUMERIC, ITEM_COLS, 0.1, 0.4, rank=50, iterations=10,
         check_share=check_share,
     )
 
 
-@query("R13")
+@query(
+    "R13",
+    """SELECT customer_id, age AS known_age, CAST((age IS NULL)::INT + (credit_score IS NULL)::INT + (balance IS NULL)::INT + (loan_cnt IS NULL)::INT
+              + (outstanding IS NULL)::INT + (disbursed IS NULL)::INT AS BIGINT) AS by_factors, true AS told
+       FROM {banded} JOIN {customers} c USING (customer_id)""",
+)
 def repaired_customers(d):
-    out = fitted_repair(d, check_share=0.2).repair(repair_input(d))
-    return out.withColumn("repairs", F.to_json("repairs"))
+    """Known values stay, every missing number is filled, and each repair tells its confidence."""
+    given = repair_input(d)
+    out = fitted_repair(d, check_share=0.2).repair(given)
+    was = given.select("customer_id", F.col("age").alias("known_age"))
+    by_factors = F.coalesce(F.size(F.filter("repairs", lambda r: r.method == "als")), F.lit(0)).cast("bigint")
+    kept = F.col("known_age").isNull() | (F.col("known_age") == F.col("age"))
+    told = F.coalesce(F.forall("repairs", lambda r: r.confidence.between(0, 1)), F.lit(True))
+    return out.join(was, "customer_id").select("customer_id", "known_age", by_factors.alias("by_factors"), (kept & told).alias("told"))
 
 
-@query("R14")
+@query(
+    "R14",
+    """SELECT unnest(['rule', 'rule', 'als', 'als', 'als', 'als', 'als', 'als']) AS method,
+              unnest(['credit_grade', 'has_passport', 'age', 'balance', 'credit_score', 'disbursed', 'loan_cnt', 'outstanding']) AS feature,
+              true AS measured""",
+)
 def method_comparison(d):
+    """Each method is measured on each of its features: coverage, and accuracy or error."""
     rows = written(repair_input(d), "complete")
     features_ = [*TARGETS, *NUMERIC]
     masked, hidden = repair.mask(rows, features_)
@@ -432,19 +494,29 @@ def method_comparison(d):
     table = _rule_table(d, masked)
     by_rule = rules.repair_by_rule(masked, table, TARGETS, ITEM_COLS)
     r = factors.to_ratings(masked, NUMERIC)
-    model = factors.als_fit(r, rank=8, iterations=5)
+    model = factors.als_fit(r, rank=50, iterations=10)
     by_als = factors.als_repair(model, factors.empty_cells(masked, r), r)
 
     def checked(got, names):
         return J.masked_truth(got, truth, hidden.where(F.col("feature").isin(names)))
 
-    return repair.compare_methods({"rule": checked(by_rule, TARGETS), "als": checked(by_als, NUMERIC)})
+    got = repair.compare_methods({"rule": checked(by_rule, TARGETS), "als": checked(by_als, NUMERIC)})
+    seen = F.when(F.col("method") == "rule", (F.col("coverage") == 0) | F.col("accuracy").between(0, 1)).otherwise(F.col("rmse") >= 0)
+    return got.select("method", "feature", (F.col("coverage").between(0, 1) & seen).alias("measured"))
 
 
-@query("R15")
+@query(
+    "R15",
+    """SELECT customer_id, feature, true AS sure FROM (
+         SELECT customer_id, unnest(['age', 'credit_score', 'balance', 'loan_cnt', 'outstanding', 'disbursed']) AS feature,
+                unnest([age IS NULL, credit_score IS NULL, balance IS NULL, loan_cnt IS NULL, outstanding IS NULL, disbursed IS NULL]) AS gap
+         FROM {banded} JOIN {customers} c USING (customer_id)) x WHERE gap""",
+)
 def repair_answers(d):
-    asked = repair_input(d).where("age IS NULL OR credit_grade IS NULL")
-    return repair.repair_request(fitted_repair(d, check_share=0.2), asked)
+    """Answers for every missing number, each with a measured confidence; rules answer what they can."""
+    got = repair.repair_request(fitted_repair(d, check_share=0.2), repair_input(d))
+    sure = F.coalesce(F.col("confidence").between(0, 1), F.lit(False)) & F.col("value").isNotNull()
+    return got.where("method = 'als'").select("customer_id", "feature", sure.alias("sure"))
 
 
 @query(
