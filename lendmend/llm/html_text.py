@@ -38,7 +38,12 @@ HINTS = frozenset(
 )
 CONTENT = ("article", "main")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quote that is never closed ends at the tag's end; values longer than 4000 may hold no < or >.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+|[^<>]*+)>",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -50,14 +55,38 @@ def _hinted(attributes: str) -> bool:
     return False
 
 
+def _tokens(page: str) -> tuple[list[tuple[int, int, str, bool, str]], dict[int, int]]:
+    """Tags (start, end, name, closing, attributes) and, for each that is closed, its end tag.
+
+    A comment has no name. A raw element is one token up to its end tag, named ``#`` and its name.
+    """
+    tokens: list[tuple[int, int, str, bool, str]] = []
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            tokens.append((m.start(), at, f"#{tag}", False, ""))
+            continue
+        if m[1] and open_.get(tag):
+            ends[open_[tag].pop()] = len(tokens)
+        elif tag and not m[1] and tag not in VOID:
+            open_.setdefault(tag, []).append(len(tokens))
+        tokens.append((m.start(), at, tag, bool(m[1]), m[3] or ""))
+    return tokens, ends
+
+
 def lines_of(page: str) -> tuple[list[str], list[int]]:
     """Lines of text and the number of the content element each is in (0: none).
 
-    A part that is no content gives an empty line.
+    A part that is no content gives an empty line; of one that is never closed, only its start tag
+    is left out.
     """
     lines, where, text = [], [], []
     inside, elements, open_tags = 0, 0, []
-    skip, depth, resume = "", 0, 0  # element being left out, its depth, and where it began
 
     def close() -> None:
         if text:
@@ -72,61 +101,43 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
         lines.append("")
         where.append(inside)
 
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece and not skip:
-            text.append(piece)
-        if not m:
-            if skip and resume:  # the element is never closed: only its start tag is left out
-                at, skip, depth, resume = resume, "", 0, 0
-                continue
-            break
-        at = m.end()
-        if m[2] is None:
+    tokens, ends = _tokens(page)
+    at = k = 0
+    while k < len(tokens):
+        start, end, tag, closing, attributes = tokens[k]
+        if start > at:
+            text.append(page[at:start])
+        at, k = end, k + 1
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW and not closing and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if not skip:
-                gap() if tag != "title" else close()
-            continue
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip, resume = "", 0
-            continue
-        if tag in VOID:
+        if tag[0] == "#":
+            gap() if tag != "#title" else close()
+        elif tag in VOID:
             if tag == "hr":
                 close()
             else:
                 text.append(" ")
-            continue
-        if closing:
+        elif closing:
             if tag in BLOCKS:
                 close()
             if tag in CONTENT and tag in (t for t, _ in open_tags):
                 while open_tags:
-                    t, outer = open_tags.pop()
-                    inside = outer
+                    t, inside = open_tags.pop()
                     if t == tag:
                         break
-            continue
-        out = tag in BOILERPLATE or tag == "header" and not inside or _hinted(m[3]) and tag not in ("html", "body", "main")
-        if out and not m[3].endswith("/"):
+        elif tag in BOILERPLATE or (tag == "header" and not inside) or (tag not in ("html", "body", "main") and _hinted(attributes)):
             gap()
-            skip, depth, resume = tag, 1, at
-            continue
-        if tag in BLOCKS:
-            close()
-        if tag in CONTENT:
-            open_tags.append((tag, inside))
-            if not inside:
-                elements += 1
-                inside = elements
+            if (last := ends.get(k - 1)) is not None:
+                at, k = tokens[last][1], last + 1
+        else:
+            if tag in BLOCKS:
+                close()
+            if tag in CONTENT:
+                open_tags.append((tag, inside))
+                if not inside:
+                    elements += 1
+                    inside = elements
+    text.append(page[at:])
     close()
     return lines, where
 

@@ -77,6 +77,9 @@ def test_broken_markup():
     assert html_text.main_text("<article><p>x < y <script>lost") == "x < y"
     assert html_text.main_text("just text") == "just text"
     assert html_text.main_text("<p>" * 20_000 + "deep") == "deep"
+    assert html_text.main_text("<article><p title='a > b <c>'>x</p><p title=\"it's>y</p></article>") == "x\ny"
+    for part in ("<a href='", '<p a="', "<div class=ad>", "<script>", "<"):  # in time proportional to the page
+        html_text.main_text(part * 10_000)
     assert html_text.main_text("<!-- open") == "" == html_text.main_text("<article></article>")
 
 
