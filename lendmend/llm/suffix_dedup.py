@@ -309,7 +309,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH, ho
         raise ValueError("asks for 8 < reach < length - 8 and length <= 255")
     spark = rows.sparkSession
     picks = rows.mapInArrow(_picks(length, reach), "row long, at int, near short, far short, head long")
-    again = picks.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join below meets two plain exchanges, whose hot keys Spark can split.
+    again = written(picks.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"), "repeated-heads")
     shared = picks.join(again, "head").groupBy("row").agg(F.collect_list(F.struct("at", "near", "far", "head", "n")).alias("picks"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = rows.join(shared.hint("merge"), "row").select("row", "text", "picks")
