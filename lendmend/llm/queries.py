@@ -60,11 +60,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    of_kind = [
-        F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)
-    ]
+
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x.kind == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        F.col("id").alias("doc_id"), *of_kind,
+        F.col("id").alias("doc_id"), *[count(kind) for kind in pii.BASE],
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
     )
