@@ -81,6 +81,32 @@ def application_batch(spark, inbox):
     return decoded(spark.read.text(str(inbox))).dropDuplicates(["application_id"])
 
 
+def test_every_message_has_one_outcome(spark, tmp_path, live):
+    """Three malformed messages stay three and are never scored; late and repeated ones are recorded."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    intake = decisions.Intake(str(tmp_path))
+    step = decisions.batch_step(
+        live, decisions.write_batch_files(f"{tmp_path}/out"), None, intake, monitoring.record_progress(f"{tmp_path}/progress")
+    )
+
+    def deliver(name, lines):
+        (inbox / name).write_text("\n".join(lines) + "\n")
+        q = decisions.run(application_stream(spark, directory=str(inbox)), step, f"{tmp_path}/mark", every=None)
+        q.awaitTermination()
+
+    deliver("1", [message(1), message(2), message(2), "{broken", "{broken", "nothing", '{"amount": 1}'])
+    old = message(8).replace("2024-01-01", "2023-11-01")
+    deliver("2", [old, message(1), message(5), old])
+    got = {r["outcome"]: r["messages"] for r in intake.outcomes(spark).collect()}
+    assert got == {"decided": 3, "malformed": 4, "late": 1, "repeated": 3}
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r["application_id"] for r in out.collect()) == ["a1", "a2", "a5"]
+    assert sum(r["rows"] for r in monitoring.throughput(spark, f"{tmp_path}/progress").collect()) == 11
+    late = spark.read.parquet(f"{tmp_path}/ledger").where("outcome = 'late'").first()
+    assert late["reason"] and json.loads(late["payload"])["application_id"] == "a8"
+
+
 def test_failed_batch_is_not_doubled(spark, tmp_path, live):
     inbox = tmp_path / "in"
     inbox.mkdir()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from lendmend.operators import clean as C
@@ -86,7 +88,42 @@ def incremental_upsert(d):
 
 
 @query(
-    "S6 S7",
+    "S1",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS loan_id, CAST(o_custkey AS VARCHAR) AS customer_id, o_orderstatus AS product, true AS whole FROM {orders}",
+)
+def spooled_files(d):
+    """Orders land as CSV files and are picked up by the spooling stream, each row once."""
+    root = f"{zones.shared_dir(d.spark)}/spool-{uuid4().hex}"
+    names = {"o_orderkey": "loan_id", "o_custkey": "customer_id", "o_orderstatus": "product"}
+    d.orders.select(*names).write.option("header", True).csv(f"{root}/landing")
+    spooled = landing.spool_csv(d.spark, f"{root}/landing", list(names), names)
+    q = (
+        spooled.writeStream.format("parquet").option("path", f"{root}/raw")
+        .option("checkpointLocation", f"{root}/mark").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    whole = F.col(landing.CORRUPT).isNull() & F.col("source_file").isNotNull()
+    return d.spark.read.parquet(f"{root}/raw").select("loan_id", "customer_id", "product", whole.alias("whole"))
+
+
+@query(
+    "S6",
+    """SELECT loan_id, product, CASE WHEN product = 'F' THEN disbursed_amount + 1 ELSE disbursed_amount END AS disbursed_amount
+       FROM {loans}""",
+    r2="disbursed_amount",
+)
+def zone_partitions(d):
+    """A second write replaces only the partitions it brings."""
+    root = f"{zones.shared_dir(d.spark)}/zones-{uuid4().hex}"
+    rows = d.loans.select("loan_id", "disbursed_amount", "product")
+    zones.zone_write(rows, root, "cleaned", "loans", ["product"])
+    newer = rows.where("product = 'F'").withColumn("disbursed_amount", F.col("disbursed_amount") + 1)
+    zones.zone_write(newer, root, "cleaned", "loans", ["product"])
+    return zones.zone_read(d.spark, root, "cleaned", "loans").select("loan_id", "product", "disbursed_amount")
+
+
+@query(
+    "S7",
     """
     SELECT CAST(year(disbursed_date) AS INT) AS year, CAST(quarter(disbursed_date) AS INT) AS quarter,
            count(*) AS loans, sum(disbursed_amount) AS amount
