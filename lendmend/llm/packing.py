@@ -1,7 +1,8 @@
 """Lexical retrieval packing.
 
-Documents become token ids. They are dealt to shards of bounded size by their most telling token,
-so that related documents meet, and every shard holds a BM25 inverted index of its own documents.
+Documents become token ids. They are dealt to shards of bounded size by their rarest token in the
+vocabulary's own order (merges learned later are rarer), so that documents which share it meet, and
+every shard holds a BM25 inverted index of its own documents, weighted by counts over all.
 A seed document asks it for its best unused neighbours, which fill the seed's window one after the
 other; the last one is cut where the window ends, and what remains of it is used later.
 """
@@ -22,14 +23,27 @@ from lendmend.llm.common import written
 
 WINDOW = 2048
 END = 1  # id that ends every document
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75  # usual BM25 constants
-CACHED = 400_000  # words whose ids a task remembers
+CACHED = 250_000  # words of a generation whose ids a task remembers
 
 #: Fixed pattern of the word tokenizer's pre-tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def kind_of(path: str | None) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path or default_path()).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class TokenIds:
     """Token ids of texts. Remembers the ids of words, for tokenizers that split texts into words.
 
@@ -37,13 +51,10 @@ class TokenIds:
     all others go through the tokenizer whole.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
+        path, self.kind = path or default_path(), kind
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             given = json.load(f)
@@ -57,61 +68,82 @@ class TokenIds:
         space = "\t-\r \x85\xa0"
         # I with a dot has a lower case of two characters.
         self.other = re.compile("[^\x00-ɏ]|[İ\x1c-\x1f]")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+        self.words = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+")
         vocabulary = self.tokenizer.get_vocab()
         suffix = given["model"].get("end_of_word_suffix")
         self.by_word &= bool(suffix)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        # Two generations: when one is full, what is asked for again moves on, the rest is forgotten.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+        """Ids as little-endian unsigned numbers of the asked kind."""
         if not self.by_word or self.other.search(text) or self.specials.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self.known) > CACHED:
+            self.before, self.known = self.known, {}
         words = self.words.findall(text.lower())
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        if new:
-            # All new words at once; the last token of each is known by its form.
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            for word, a, b in zip(new, [0, *ends[:-1]], ends, strict=True):
-                known[word] = data[a:b]
-        return b"".join([known[w] for w in words])
-
-
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, row, tokens binary): ids as unsigned 32-bit numbers with ``END`` after them."""
-    end = np.array([END], "<u4").tobytes()
+        parts = [*map(self.known.get, words)]
+        if None in parts:
+            self._learn({w for w, ids in zip(words, parts, strict=True) if ids is None})
+            parts = [*map(self.known.__getitem__, words)]
+        return b"".join(parts)
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words new to this generation, all at once; the last token of each is known by its form."""
+        new = []
+        for w in words:
+            if (ids := self.before.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        data, at = ids.tobytes(), 0
+        for w, end in zip(new, (ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+            self.known[w] = data[at:end]
+            at = end
+
+
+def tokenized(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kind: str = "<u4"
+) -> DataFrame:
+    """(id, row, tokens binary, anchor): ids as unsigned numbers of ``kind`` with ``END`` after them."""
+    end = np.array([END], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TokenIds(path)
+        ids = TokenIds(path, kind)
         for batch in batches:
             tokens = [ids(x.as_py() or "") + end for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(tokens, pa.binary())], ["id", "row", "tokens"])
+            anchors = [int(np.frombuffer(x, kind).max()) for x in tokens]
+            columns = [*batch.columns[:2], pa.array(tokens, pa.binary()), pa.array(anchors, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "tokens", "anchor"])
 
     given = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, row long, tokens binary")
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, row long, tokens binary, anchor long")
 
 
-def _ids(x) -> np.ndarray:
-    return np.frombuffer(x.as_py(), "<u4")
+def _ids(x, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(x.as_py(), kind)
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
+def document_frequencies(tokens: DataFrame, kind: str = "<u4") -> np.ndarray:
     """In how many documents each token id occurs; one number for each id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, held = np.zeros(0, np.int64), np.zeros(0, bool)
         for batch in batches:
             for x in batch.column(0):
-                part = np.bincount(np.unique(_ids(x)))
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-                total[: len(part)] += part
+                ids = _ids(x, kind)
+                if (top := int(ids.max()) + 1) > len(total):
+                    total, held = np.append(total, np.zeros(top - len(total), np.int64)), np.zeros(top, bool)
+                held[ids] = True
+                at = np.flatnonzero(held)
+                total[at] += 1
+                held[at] = False
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"token": at, "n": total[at]})
 
@@ -199,37 +231,17 @@ def packed_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: i
     return sequences
 
 
-def _anchors(shared):
-    """Per document: its most telling token, and its number of tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = shared.value
-        for batch in batches:
-            anchors, sizes = [], []
-            for x in batch.column("tokens"):
-                ids = _ids(x)
-                term, tf = np.unique(ids, return_counts=True)
-                weight = idf[term] * tf / (tf + K1 * (1 - B + B * len(ids) / mean))
-                anchors.append(int(term[weight.argmax()]))
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(anchors, pa.int32()), pa.array(sizes, pa.int64())], [*batch.schema.names, "anchor", "size"]
-            )
-
-    return run
-
-
-def _pack(shared, window: int, id_type):
+def _pack(shared, window: int, kind: str):
     def run(table: pa.Table) -> pa.Table:
         idf, mean = shared.value
         table = table.sort_by("row")
-        docs = [_ids(x) for x in table.column("tokens")]
+        docs = [_ids(x, kind) for x in table.column("tokens")]
         own, shard = table.column("id").to_pylist(), table.column("shard")[0].as_py()
         rows = []
         for k, sequence in enumerate(packed_shard(docs, idf, mean, window)):
             offset = 0
             for doc, start, length in sequence:
-                rows.append((own[doc], start, length, docs[doc][start : start + length].tobytes(), len(docs[doc]), (shard << 32) + k, offset))
+                rows.append((own[doc], start, length, docs[doc][start : start + length].astype("<u4").tobytes(), len(docs[doc]), (shard << 32) + k, offset))
                 offset += length
         kinds = [table.schema.field("id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -250,24 +262,26 @@ def pack(
     tokenizer of the installed package.
     """
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, id_col, text_col, path), "tokens")
-    n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0)).cast("long")).first()
-    df = document_frequencies(tokens)
+    kind = kind_of(path)
+    width = np.dtype(kind).itemsize
+    tokens = written(tokenized(docs, id_col, text_col, path, kind), "tokens")
+    n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens") / width), F.lit(0)).cast("long")).first()
+    df = document_frequencies(tokens, kind)
     idf = np.maximum(0, np.log((n_docs - df + 0.5) / (df + 0.5)))
     shared = spark.sparkContext.broadcast((idf, max(1.0, n_tokens / max(1, n_docs))))  # as long as the vocabulary
-    kind = tokens.schema["id"].dataType.simpleString()
-    anchored = tokens.mapInArrow(_anchors(shared), f"id {kind}, row long, tokens binary, anchor int, size long")
     # Anchors are laid end to end by their tokens and cut at equal lengths: a common anchor spans
     # many shards, and its documents are spread over them by hash.
-    sizes = anchored.groupBy("anchor").agg(F.sum("size").alias("size")).toPandas().sort_values("anchor")
+    size = F.sum(F.octet_length("tokens") / width).cast("long").alias("size")
+    sizes = tokens.groupBy("anchor").agg(size).toPandas().sort_values("anchor")
     ends = sizes["size"].cumsum()
     lookup = spark.createDataFrame(
         list(zip(sizes["anchor"].tolist(), (ends - sizes["size"]).tolist(), sizes["size"].tolist(), strict=True)),
-        "anchor int, begin long, size long",
+        "anchor long, begin long, size long",
     )
     share = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / (1 << 20)
     shard = F.floor((F.col("begin") + share * F.col("total")) / shard_tokens).cast("long")
-    dealt = anchored.drop("size").join(F.broadcast(lookup.withColumnRenamed("size", "total")), "anchor")
+    dealt = tokens.join(F.broadcast(lookup.withColumnRenamed("size", "total")), "anchor")
     dealt = dealt.select("id", "row", "tokens", shard.alias("shard"))
     out = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInArrow(_pack(shared, window, kind), f"id {kind}, {out}")
+    id_kind = tokens.schema["id"].dataType.simpleString()
+    return dealt.groupBy("shard").applyInArrow(_pack(shared, window, kind), f"id {id_kind}, {out}")
