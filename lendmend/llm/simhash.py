@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import components, local_roots, written
+from lendmend.llm.common import batches_of, components, local_roots, written
 
 RADIUS = 4
-BUCKET = 2_000_000  # variants aimed at in one bucket
-MOST = 8_000_000  # variants above which a bucket is dealt again
+BUCKET = 500_000  # variants aimed at in one bucket
+MOST = 2_000_000  # variants above which a bucket is dealt again
 STEP = 8  # bits of one dealing
 
 
@@ -98,20 +98,24 @@ def _colliding(radius: int):
         fps = group.column("fp").to_numpy().view(np.uint64)
         left = group.column("left").to_numpy()
         rest = np.uint64((1 << (64 - bits)) - 1) if bits < 64 else np.uint64(0)
-        values, owners = [], []
-        for flips in range(half + 1):
-            of = np.flatnonzero(left == flips)
-            masks = np.array(
-                [sum(1 << i for i in x) for n in range(flips + 1) for x in combinations(range(64 - bits), n)],
-                np.uint64,
-            )
-            values.append(((fps[of] & rest)[:, None] ^ masks[None, :]).ravel())
-            owners.append(np.repeat(of, len(masks)))
-        values, owners = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], owners[order]
+        masks = [
+            np.array([sum(1 << i for i in x) for n in range(flips + 1) for x in combinations(range(64 - bits), n)], np.uint64)
+            for flips in range(half + 1)
+        ]
+        own = [np.flatnonzero(left == flips) for flips in range(half + 1)]
+        total = sum(len(of) * len(m) for of, m in zip(own, masks, strict=True))
+        values, owners, at = np.empty(total, np.uint64), np.empty(total, np.int32), 0
+        for of, m in zip(own, masks, strict=True):
+            part = slice(at, at := at + len(of) * len(m))
+            np.bitwise_xor((fps[of] & rest)[:, None], m, out=values[part].reshape(len(of), len(m)))
+            owners[part].reshape(len(of), len(m))[:] = of[:, None]
+        order = np.argsort(values)
+        values = values[order]
         met = np.flatnonzero(values[1:] == values[:-1])
-        pairs = np.unique(np.stack([owners[met], owners[met + 1]]), axis=1)
+        del values
+        pairs = np.stack([owners[order[met]], owners[order[met + 1]]]).astype(np.int64)
+        del order, owners
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
         a, b = pairs[:, np.bitwise_count(fps[pairs[0]] ^ fps[pairs[1]]) <= radius]
         # A star for each component of the bucket, around its best linked member: at most one
         # link for each fingerprint, however dense the bucket is.
@@ -217,20 +221,8 @@ def _similar(least: float):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY
-) -> DataFrame:
-    """(id, row, group, keep): near copies in groups; one row of each group, with the smallest id, is kept.
-
-    Texts with the same words (ASCII letters lower-cased) are copies. Other texts are proposed where
-    one of ``SEEDS`` fingerprints of their word sets is at most four bits apart, by ball hashing,
-    and linked if the Jaccard similarity of their sets of ``size``-word shingles is at least
-    ``similarity``. Fingerprints of word sets are used for proposals because a changed word alters
-    five shingles but one word: at a similarity of 0.8 four bits of 64 still find most pairs.
-    ``row`` is ``monotonically_increasing_id`` of ``docs``, which must give the same rows each time,
-    as a table does. Null texts count as empty and are copies of each other; null ids come first.
-    An empty table gives no rows.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sketches, the different texts, and the root of every linked text; all written."""
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text")
@@ -259,6 +251,25 @@ def near_duplicates(
         sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
     )
     roots = components(written(met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar"))
+    return sketched, texts, roots
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(id, row, group, keep): near copies in groups; one row of each group, with the smallest id, is kept.
+
+    Texts with the same words (ASCII letters lower-cased) are copies. Other texts are proposed where
+    one of ``SEEDS`` fingerprints of their word sets is at most four bits apart, by ball hashing,
+    and linked if the Jaccard similarity of their sets of ``size``-word shingles is at least
+    ``similarity``. Fingerprints of word sets are used for proposals because a changed word alters
+    five shingles but one word: at a similarity of 0.8 four bits of 64 still find most pairs.
+    ``row`` is ``monotonically_increasing_id`` of ``docs``, which must give the same rows each time,
+    as a table does. Null texts count as empty and are copies of each other; null ids come first.
+    An empty table gives no rows.
+    """
+    with batches_of(docs.sparkSession, 1000):
+        sketched, texts, roots = _linked(docs, id_col, text_col, size, similarity)
     grouped = texts.join(roots, texts.lead == roots.node, "left").select("same", "first", F.coalesce("root", "lead").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
     of = grouped.join(kept, "root").select("same", "kept")
