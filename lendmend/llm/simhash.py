@@ -11,7 +11,6 @@ variants are dealt again by more bits, so no bucket grows with the data.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb, log2
 
@@ -181,22 +180,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(of, "fp").select("id", "fp", "component")
 
 
-SEEDS = 4  # fingerprints of a text's word set; each finds most near copies, together nearly all
 SIMILARITY = 0.8  # least Jaccard similarity of the shingle sets of near copies
+COUNTED = 5_000  # texts whose shingles are counted, to put frequent ones last
+FREQUENT = 8  # texts of those that hold a frequent shingle
+BINS = 128  # counts of a text's shingles by hash, which bound what two texts share
+CENTRES = 16  # members of a bucket that the others are compared with; as many times more each round
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [[] for _ in range(SEEDS + 1)]
-        for x in batch.column("text"):
-            words = (x.as_py() or b"").lower().split()
-            distinct = set(words)
-            columns[0].append(xxhash.xxh128_digest(b" ".join(words)))
-            for seed in range(SEEDS):
-                hashes = [xxhash.xxh64_intdigest(w, seed) for w in distinct]
-                columns[seed + 1].append(majority(np.array(hashes, np.uint64)))
-        arrays = [pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["id", "row", "same", *[f"f{k}" for k in range(SEEDS)]])
+        same = [xxhash.xxh128_digest(b" ".join((x.as_py() or b"").lower().split())) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.binary())], ["id", "row", "same"])
 
 
 def _shingle_sets(size: int):
@@ -208,6 +202,53 @@ def _shingle_sets(size: int):
     return run
 
 
+def _tokens(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("text"):
+                found = np.unique(shingle_hashes(x.as_py() or b"", size))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["token"])
+
+    return run
+
+
+def _prefixes(size: int, least: float, shared):
+    """The first shingles of each text, so many that two similar texts have one of them in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
+        for batch in batches:
+            tokens, sizes, bins = [], [], []
+            for x in batch.column("text"):
+                own = np.unique(shingle_hashes(x.as_py() or b"", size))
+                weight = np.zeros(len(own), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    weight = np.where(frequent[at] == own, counts[at], 0)
+                first = np.lexsort((own, weight))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
+                tokens.append(own[first].view(np.int64))
+                sizes.append(len(own))
+                bins.append(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), lists], ["row", "size", "bins", "tokens"])
+
+    return run
+
+
+def _possible(least: float):
+    """Pairs that their counts do not rule out: a bin's lesser count bounds what is shared there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64) for c in "xy")
+            both = np.minimum(x, y).sum(axis=1)
+            keep = both >= least * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,37 +262,90 @@ def _similar(least: float):
     return run
 
 
+def _prefix_rows(given: DataFrame, sketched: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(row, size, bins, tokens): the shingles of every different text's prefix, and its counts; written."""
+    every = max(1, -(-texts.count() // COUNTED))
+    some = given.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_tokens(size), "token long")
+    # Any one order of all shingles finds the same pairs; the counts only keep buckets small.
+    counts = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).toPandas()
+    frequent = counts["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    shared = given.sparkSession.sparkContext.broadcast((frequent[order], counts["n"].to_numpy(np.int64)[order]))
+    copies = sketched.join(texts, sketched.row == texts.lead, "left_anti").select("row")
+    copies = written(copies, "same-texts")
+    prefixes = given.select("row", "text").mapInArrow(_prefixes(size, similarity, shared), "row long, size int, bins binary, tokens array<long>")
+    return written(prefixes.join(copies, "row", "left_anti"), "prefixes", compression="zstd")
+
+
+def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar enough; written."""
+    pairs = written(pairs.distinct(), "met")
+    counted = pairs.join(prefixes.select(F.col("row").alias("a"), F.col("bins").alias("x")), "a").join(
+        prefixes.select(F.col("row").alias("b"), F.col("bins").alias("y")), "b"
+    )
+    pairs = written(counted.select("a", "b", "x", "y").mapInArrow(_possible(similarity), "a long, b long"), "proposals")
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    asked = written(asked, "asked")  # of known size, so that few are broadcast
+    sets = given.select("row", "text").join(asked, "row", "left_semi").mapInArrow(_shingle_sets(size), "row long, shingles binary")
+    sets = written(sets, "shingle-sets")
+    met = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    return written(met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows' sketches, the different texts, and the root of every linked text; all written."""
+    """The rows' digests, the different texts, and the root of every linked text; all written.
+
+    Texts whose prefixes share a shingle are in a bucket. In the first round all members meet one
+    centre. Buckets whose members are not all linked by then go on with more centres, chosen by
+    hash, until all are linked or each member has been a centre: so each pair of a bucket is either
+    compared or linked over others, and a bucket of near copies costs one pair for each.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text")
     )
-    names = [f"f{k}" for k in range(SEEDS)]
-    sketched = written(given.mapInArrow(_sketches, f"id {kind}, row long, same binary, " + ", ".join(f"{n} long" for n in names)), "sketches")
+    sketched = written(given.mapInArrow(_digests, f"id {kind}, row long, same binary"), "digests")
     # One entry for each different text, led by its first row.
-    texts = sketched.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), *[F.min(n).alias(n) for n in names])
-    texts = written(texts.select("same", "first", F.col("first.row").alias("lead"), *names), "texts")
-    proposed = []
-    for n in names:
-        led = texts.groupBy(F.col(n).alias("fp")).agg(F.min("lead").alias("of"))
-        led = written(led, "distinct-fingerprints")
-        links = written(ball_links(led.select("fp")), "ball-links")
-        named = links.join(led.select(F.col("fp").alias("a"), F.col("of").alias("x")), "a").join(
-            led.select(F.col("fp").alias("b"), F.col("of").alias("y")), "b"
-        )
-        proposed.append(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        same = texts.join(led, texts[n] == led.fp).where("lead <> of")
-        proposed.append(same.select(F.least("lead", "of").alias("a"), F.greatest("lead", "of").alias("b")))
-    pairs = written(reduce(DataFrame.unionByName, proposed).distinct(), "proposals")
-    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = given.select("row", "text").join(asked.hint("merge"), "row", "left_semi").mapInArrow(_shingle_sets(size), "row long, shingles binary")
-    sets = written(sets, "shingle-sets")
-    met = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
+    texts = sketched.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"))
+    texts = written(texts.select("same", "first", F.col("first.row").alias("lead")), "texts")
+    prefixes = _prefix_rows(given, sketched, texts, size, similarity)
+    tokens = prefixes.select(F.explode("tokens").alias("token"), F.col("row").alias("lead"), "size")
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+    def ordered(a: str, b: str):
+        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+    met = tokens.groupBy("token").agg(
+        F.count("*").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high")
     )
-    roots = components(written(met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar"))
-    return sketched, texts, roots
+    met = written(met.where("n > 1"), "shared-shingles")
+    two = met.where("n = 2").select(*ordered("low", "high"))
+    more = met.where("n > 2").select("token", "n", F.col("low").alias("centre"))
+    # ``turn`` says how many centres there have to be until a member is one.
+    turn = F.shiftrightunsigned(F.xxhash64("lead"), 11) * F.lit(2.0**-53) * F.col("n")
+    buckets = written(tokens.join(more, "token").withColumn("turn", turn), "buckets")
+    stars = buckets.where("lead <> centre").select(*ordered("lead", "centre"))
+    links = _verified(given, prefixes, two.unionByName(stars), size, similarity)
+    buckets = buckets.drop("centre")
+    before, until = 0, CENTRES
+    while True:
+        roots = components(links)
+        rooted = buckets.join(roots, buckets.lead == roots.node, "left").select(*buckets.columns, F.coalesce("root", "lead").alias("root"))
+        rooted = written(rooted, "rooted")
+        open_ = rooted.where(F.col("n") > before).groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = written(open_.where("low <> high").select("token"), "open-buckets")
+        if open_.isEmpty():
+            return sketched, texts, roots
+        rooted = written(rooted.join(open_, "token", "left_semi").where(F.col("turn") >= before), "rooted")
+        new = rooted.where(F.col("turn") < until).select("token", *[F.col(c).alias(f"{c}_b") for c in ("lead", "size", "root")])
+        pairs = rooted.join(new, "token").where("root <> root_b").where(fits("size", "size_b")).select(*ordered("lead", "lead_b"))
+        links = links.unionByName(_verified(given, prefixes, pairs, size, similarity))
+        buckets = rooted.drop("root")
+        before, until = until, until * CENTRES
 
 
 def near_duplicates(
@@ -259,11 +353,10 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, row, group, keep): near copies in groups; one row of each group, with the smallest id, is kept.
 
-    Texts with the same words (ASCII letters lower-cased) are copies. Other texts are proposed where
-    one of ``SEEDS`` fingerprints of their word sets is at most four bits apart, by ball hashing,
-    and linked if the Jaccard similarity of their sets of ``size``-word shingles is at least
-    ``similarity``. Fingerprints of word sets are used for proposals because a changed word alters
-    five shingles but one word: at a similarity of 0.8 four bits of 64 still find most pairs.
+    Texts with the same words (ASCII letters lower-cased) are copies. Other texts are linked if the
+    Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``; groups are
+    what links connect. Candidates come from prefixes: with all shingles in one order, two sets that
+    similar share one of their first ``n - ceil(similarity * n) + 1``. So no pair is missed.
     ``row`` is ``monotonically_increasing_id`` of ``docs``, which must give the same rows each time,
     as a table does. Null texts count as empty and are copies of each other; null ids come first.
     An empty table gives no rows.

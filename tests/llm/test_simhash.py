@@ -89,6 +89,62 @@ def test_near_duplicates_equal_brute_force(docs):
     assert {i for i, r in got.items() if r.keep} == set(root)
 
 
+def groups_by_brute_force(texts):
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, x in enumerate(shingles):
+        for j, y in enumerate(shingles[:i]):
+            if root[i] != root[j] and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_near_copies_behind_an_unlike_text_of_the_same_words(docs):
+    """Equal word sets: the first text is unlike both later ones, which are near copies of each other."""
+    words = [f"w{i}" for i in range(200)]
+    near = [*reversed(words)]
+    moved = [*near[:100], near[101], near[100], *near[102:]]
+    texts = [" ".join(x) for x in (words, near, moved)]
+    got = {r.id: r.group for r in simhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert got == groups_by_brute_force(texts) == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_copies_just_above_the_similarity(docs):
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(words)
+        for i in (20, 70, 120, 170):
+            other[i] = f"new{rng.random()}"
+        texts += [" ".join(words), " ".join(other)]
+    got = {r.id: r.group for r in simhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert got == groups_by_brute_force(texts) and len(set(got.values())) == 150
+
+
+def test_near_copies_among_pages_of_a_template(docs, monkeypatch):
+    """All pages share shingles of their prefixes, and most centres are unlike most members."""
+    import random
+
+    monkeypatch.setattr(simhash, "FREQUENT", 1 << 40)
+    monkeypatch.setattr(simhash, "CENTRES", 2)
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(60)]
+    texts = []
+    for k in range(20):
+        own = [f"p{k}.{i}" for i in range(25)]
+        texts.append(" ".join(template + own))
+        for step in range(k % 4):  # chains: each a near copy of the one before
+            own[4 * step + 2] = f"new{rng.random()}"
+            texts.append(" ".join(template + own))
+    rng.shuffle(texts)
+    got = {r.id: r.group for r in simhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert got == groups_by_brute_force(texts) and len(set(got.values())) == 20
+
+
 def test_near_duplicates_edge_cases(spark, docs):
     rows = [(None, "a b c"), (3, "a b c"), (3, "A b  c"), (1, None), (2, "")]
     got = simhash.near_duplicates(docs(rows)).collect()
