@@ -15,15 +15,24 @@ from lendmend.sources.zones import shared_dir
 _folders: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the copy, which survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A written copy of ``docs`` with a row number ``__row``.
+
+    Numbers made while a table is scanned hold for that scan only: another one may cut the files
+    into other splits. What is joined by row number reads this copy.
+    """
+    return written(docs.select("*", F.monotonically_increasing_id().alias("__row")), "rows", compression="zstd")
+
+
 def mark() -> int:
     """A point in the list of copies; see ``since`` and ``remove``."""
     return len(_folders)

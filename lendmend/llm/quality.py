@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import written
+from lendmend.llm.common import numbered, written
 
 SAMPLE = 10_000  # labelled documents that the classifiers are fitted on, drawn by hash
 ROUNDS = 2
@@ -205,6 +205,7 @@ def score_documents(
     sample: int = SAMPLE,
     rounds: int = ROUNDS,
     per_round: int = PER_ROUND,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, row, p_text, p_meta, p_bad, keep): one row per document.
 
@@ -213,12 +214,13 @@ def score_documents(
     as bad if one is. At most ``sample`` labelled documents are used for fitting, drawn by hash; a
     quarter is held out for calibration. Every document is scored, also labelled ones, repeated
     rows, and those with nulls or an empty text. With no usable label of one of the classes, all
-    documents are kept with a null score. An empty table gives no rows.
+    documents are kept with a null score. An empty table gives no rows. ``row`` is the stored row
+    number ``row_col``; without one it only tells the rows of the result apart.
     """
     spark = docs.sparkSession
     of = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
     given = docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), of("source", "string"), of("lang", "string"),
+        F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), of("source", "string"), of("lang", "string"),
         of("n_chars", "long"), F.col(text_col).cast("binary").alias("text"),
     )
     kind = given.schema["id"].dataType.simpleString()
@@ -291,7 +293,7 @@ def score_documents(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those rejected. ``docs`` must give the same rows each time, as a table does."""
-    good = written(score_documents(docs, labels, id_col, **options).where("keep").select("row"), "good")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    """``docs`` without those rejected."""
+    rows = numbered(docs)
+    good = written(score_documents(rows, labels, id_col, row_col="__row", **options).where("keep").select("row"), "good")
     return rows.join(good.withColumnRenamed("row", "__row").hint("merge"), "__row").select(*docs.columns)

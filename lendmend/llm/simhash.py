@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import batches_of, components, local_roots, written
+from lendmend.llm.common import batches_of, components, local_roots, numbered, written
 
 RADIUS = 4
 BUCKET = 500_000  # variants aimed at in one bucket
@@ -294,7 +294,7 @@ def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int
     return written(met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, row_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows' digests, the different texts, and the root of every linked text; all written.
 
     Texts whose prefixes share a shingle are in a bucket. In the first round all members meet one
@@ -304,7 +304,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text")
+        F.col(id_col).alias("id"), F.col(row_col).alias("row"), F.col(text_col).cast("binary").alias("text")
     )
     sketched = written(given.mapInArrow(_digests, f"id {kind}, row long, same binary"), "digests")
     # One entry for each different text, led by its first row.
@@ -349,7 +349,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = SIMILARITY
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    similarity: float = SIMILARITY,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, row, group, keep): near copies in groups; one row of each group, with the smallest id, is kept.
 
@@ -357,12 +362,13 @@ def near_duplicates(
     Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``; groups are
     what links connect. Candidates come from prefixes: with all shingles in one order, two sets that
     similar share one of their first ``n - ceil(similarity * n) + 1``. So no pair is missed.
-    ``row`` is ``monotonically_increasing_id`` of ``docs``, which must give the same rows each time,
-    as a table does. Null texts count as empty and are copies of each other; null ids come first.
+    ``row`` is the stored row number ``row_col``; without one, rows are numbered in a written copy. Null texts count as empty and are copies of each other; null ids come first.
     An empty table gives no rows.
     """
+    if row_col is None:
+        docs, row_col = numbered(docs.select(*dict.fromkeys([id_col, text_col]))), "__row"
     with batches_of(docs.sparkSession, 1000):
-        sketched, texts, roots = _linked(docs, id_col, text_col, size, similarity)
+        sketched, texts, roots = _linked(docs, id_col, text_col, size, similarity, row_col)
     grouped = texts.join(roots, texts.lead == roots.node, "left").select("same", "first", F.coalesce("root", "lead").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
     of = grouped.join(kept, "root").select("same", "kept")
@@ -373,6 +379,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near copies; see ``near_duplicates``."""
-    gone = written(near_duplicates(docs, id_col, text_col, **options).where("not keep").select(F.col("row").alias("__row")), "copies")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs)
+    found = near_duplicates(rows, id_col, text_col, row_col="__row", **options)
+    gone = written(found.where("not keep").select(F.col("row").alias("__row")), "copies")
     return rows.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)

@@ -350,12 +350,13 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts are taken as UTF-8 bytes, a null text is empty; what remains need not be valid UTF-8.
     Every copy goes, the first as well. Rows stay as often as they are, also with a null id; an
-    empty table gives no rows; other columns are not read. ``docs`` is scanned three times and must
-    give the same rows in the same order each time, as a table does.
+    empty table gives no rows; other columns are not read. Rows are
+    numbered in a written copy, which the later scans read.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.col(id_col).alias("id")
     )
+    rows = written(rows, "rows", compression="zstd")
     spans = written(repeated_spans(rows.select("row", "text"), length, reach, hot), "spans")
     joined = rows.join(spans.hint("merge"), "row", "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
     kind = joined.schema["id"].dataType.simpleString()

@@ -1,7 +1,11 @@
 """Shares the session of the other tests."""
 
+import itertools
+
 import pytest
 
+from lendmend.llm import common
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -27,3 +31,24 @@ def docs(spark, saved):
         return spark.read.parquet(f"{saved(documents=(full, schema))}/documents.parquet")
 
     return make
+
+
+@pytest.fixture
+def shifting(spark, monkeypatch):
+    """Cuts tables into other splits after each copy that a module writes, as after a lost executor."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def shift(*modules):
+        real, sizes = common.written, itertools.cycle(["600", before])
+
+        def write(*args, **options):
+            out = real(*args, **options)
+            spark.conf.set(key, next(sizes))
+            return out
+
+        for module in (common, *modules):
+            monkeypatch.setattr(module, "written", write)
+
+    yield shift
+    spark.conf.set(key, before)

@@ -80,3 +80,12 @@ def test_keep_good_keeps_columns(spark, saved):
     assert kept.columns == [*tables[0].columns, "row"]
     rows = kept.collect()
     assert len({r.doc_id for r in rows} & bad) < 0.05 * len(bad) and {r.row for r in rows} == {"own"}
+
+
+def test_keep_good_where_splits_shift(spark, saved, shifting):
+    docs, labels, bad = corpus()
+    path = saved(documents=(docs, DOCS), labels=(labels, LABELS))
+    tables = [spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels")]
+    shifting(quality)
+    kept = {r.doc_id for r in quality.keep_good(*tables, rounds=0).collect()}
+    assert len(kept & bad) < 0.05 * len(bad) and len(kept - bad) > 0.95 * (len(docs) - len(bad))

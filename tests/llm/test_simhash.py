@@ -152,3 +152,9 @@ def test_near_duplicates_edge_cases(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     kept = simhash.drop_near_duplicates(docs(rows).withColumn("row", F.lit(1)).withColumn("fp", F.lit("x")).withColumn("keep", F.lit(0)))
     assert kept.count() == 2 and kept.columns[-3:] == ["row", "fp", "keep"]
+
+
+def test_copies_are_dropped_where_splits_shift(docs, shifting):
+    shifting(simhash)
+    rows = [(i, " ".join(f"w{i % 20}.{k}" for k in range(30))) for i in range(40)]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(rows)).collect()) == list(range(20))

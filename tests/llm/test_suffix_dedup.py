@@ -74,3 +74,10 @@ def test_merge_is_ordered_and_prefixes_are_right():
     assert [k for *_, k in order[1:]] == [suffix_dedup._common(a, b, 0) for a, b in zip(got, got[1:], strict=False)]
     for p in parts:
         assert suffix_dedup.decoded(*suffix_dedup.front_coded(p)) == p
+
+
+def test_repeats_are_cut_where_splits_shift(docs, shifting):
+    shifting(suffix_dedup)
+    rows = [(i, "".join(f"w{i % 20}.{k} " for k in range(60)) if i % 2 else f"lone {i}") for i in range(40)]
+    got = {r.id: r.n_removed for r in suffix_dedup.drop_repeated_bytes(docs(rows)).collect()}
+    assert got == {i: len(t) if i % 2 else 0 for i, t in rows}
