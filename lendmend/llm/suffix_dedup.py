@@ -24,6 +24,7 @@ from lendmend.llm.common import written
 LENGTH = 200
 REACH = 144  # positions among which a string picks; LENGTH - REACH + 1 bytes follow at least
 HOT = 200_000  # occurrences above which a first part is dealt by string position too
+GROUP_BYTES = 32_000_000  # of suffixes aimed at in one merge group
 RUN_BYTES = 24_000_000  # of suffixes sorted in one run
 CHUNK = 8192  # suffixes compared at once after merging
 PLACE = np.uint64((1 << 28) - 1)
@@ -312,7 +313,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH, ho
     # Written, so that the join below meets two plain exchanges, whose hot keys Spark can split.
     again = written(picks.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"), "repeated-heads")
     shared = picks.join(again, "head").groupBy("row").agg(F.collect_list(F.struct("at", "near", "far", "head", "n")).alias("picks"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many merge groups as the repeated suffixes need, so that none grows with the input.
+    occurrences = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-occurrences * length // GROUP_BYTES))
     given = rows.join(shared.hint("merge"), "row").select("row", "text", "picks")
     runs = written(given.mapInArrow(_sorted_runs(length, reach, buckets, hot), _RUNS), "suffix-runs")
     dealt = runs.where("bucket >= 0").drop("places")

@@ -81,3 +81,14 @@ def test_repeats_are_cut_where_splits_shift(docs, shifting):
     rows = [(i, "".join(f"w{i % 20}.{k} " for k in range(60)) if i % 2 else f"lone {i}") for i in range(40)]
     got = {r.id: r.n_removed for r in suffix_dedup.drop_repeated_bytes(docs(rows)).collect()}
     assert got == {i: len(t) if i % 2 else 0 for i, t in rows}
+
+
+def test_merge_groups_grow_with_the_repeated_suffixes(spark, docs, monkeypatch):
+    asked = []
+    real = suffix_dedup._sorted_runs
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "_sorted_runs", lambda *args: asked.append(args[2]) or real(*args))
+    text = " ".join(f"w{k}" for k in range(2000))
+    got = suffix_dedup.drop_repeated_bytes(docs([(1, text), (2, text), (3, "lone")])).collect()
+    assert {r.id: r.n_removed for r in got} == {1: len(text), 2: len(text), 3: 0}
+    assert asked[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
