@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import written
+from lendmend.llm.common import numbered, written
 
 GRAM = 3
 SEED_BITS = 24.0  # information of a seed's words; half of an item's grams are seeds in any case
@@ -216,7 +216,7 @@ def _scan(shared, least: float):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a copied passage; rows with a null id stay."""
-    found = contaminated_passages(docs, benchmark, **options).select("doc_id").distinct()
-    key = options.get("id_col", "doc_id")
-    return docs.join(found.withColumnRenamed("doc_id", key).hint("merge"), key, "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a copied passage, whatever their ids are."""
+    rows = numbered(docs)
+    found = contaminated_passages(rows, benchmark, **options | {"id_col": "__row"}).select("doc_id").distinct()
+    return rows.join(found.withColumnRenamed("doc_id", "__row").hint("merge"), "__row", "left_anti").select(*docs.columns)

@@ -76,3 +76,11 @@ def test_blocks_and_empty_tables(docs, spark, monkeypatch):
     assert d.contaminated_passages(docs([]), bench).count() == 0
     assert d.contaminated_passages(docs([(1, "x")]), bench.where("false")).count() == 0
     assert d.contaminated_passages(docs([(1, "ab cd")]), spark.createDataFrame([(1, "ab cd"), (2, "!!")], BENCH)).count() == 1
+
+
+def test_rows_are_dropped_by_row_not_by_id(spark, docs):
+    item = " ".join(f"item{i}" for i in range(30))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"a b {item}"), (None, "clean"), (7, f"{item} c"), (7, "also clean"), (8, None)]
+    kept = d.without_contaminated(docs(rows), benchmark).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("7", "also clean"), ("8", "None"), ("None", "clean")]
