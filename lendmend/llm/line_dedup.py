@@ -1,10 +1,10 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of runs of lines.
 
-Every run of consecutive lines with at least ``WORDS`` words is a window; the line with the least
-hash in it is its fingerprint. So any stretch of that many words that occurs twice holds the same
-window, hence a shared fingerprint. Positions that share a fingerprint are joined, and their windows
-compared; windows that reach to both sides of a fingerprint and overlap extend the match line by
-line. A window that occurred before, in document order, is deleted with all its lines.
+Every shortest run of consecutive lines with at least ``WORDS`` words is a window, with the hash of
+all its lines; the least line hash in it is its fingerprint. Windows whose fingerprint stands at one
+place only are left out, the others are compared by their hashes. This takes the place of winnowing
+with extension: a longer repeat is the union of its windows. A window that occurred before, in
+document order, is deleted with all its lines.
 """
 
 from __future__ import annotations
