@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendmend.llm import decontaminate, html_text, line_dedup, packing, pii, quality, sharding, simhash, suffix_dedup, topk
+from lendmend.llm import bpe, conversations, decontaminate, html_text, line_dedup, packing, pii, quality, sharding, simhash, spelling, suffix_dedup, topk
 from lendmend.llm.common import table
 
 SHARDS = tuple(f"shard-{i:02d}" for i in range(64))
@@ -75,9 +75,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.reports(conversations.repair_conversations(conversations.damaged(given)), given)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.decode(tokens, keep_ids=True).select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_simhash, op2_suffix_dedup, op3_sharding, op4_packing, op5_html_text, op6_quality, op7_top_k, op8_line_dedup, op9_pii, op10_decontaminate)
+    for q in (
+        op1_simhash, op2_suffix_dedup, op3_sharding, op4_packing, op5_html_text, op6_quality, op7_top_k, op8_line_dedup, op9_pii,
+        op10_decontaminate, op11_conversations, op12_bpe, op13_spelling,
+    )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
