@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -131,6 +134,81 @@ def als_repair(model: ALSModel, missing: DataFrame, ratings: Ratings, key: str =
     )
 
 
+@dataclass
+class FoldIn:
+    """Repairs rows of users that the factors do not know, from the cells they have.
+
+    With the item factors held fixed, a user's factors are the ridge solution over the known cells,
+    with the penalty of the fit (``reg`` for each known cell). What they predict depends on the inner
+    products of the item factors alone, so a row costs one system of as many equations as features.
+    """
+
+    products: np.ndarray  # feature x feature
+    reg: float
+
+    def predicted(self, cells: np.ndarray) -> np.ndarray:
+        """Scaled numbers (row x feature) of every feature; nan stands for a missing cell, also of a feature
+        without factors, and a row without a known cell stays nan."""
+        usable = np.diag(self.products) > 0
+        known = np.isfinite(cells) & usable
+        n = known.sum(1)
+        both = known[:, :, None] & known[:, None, :]
+        system = np.where(both, self.products, 0.0)
+        every = np.arange(cells.shape[1])
+        # A missing cell's equation is that its weight is zero.
+        system[:, every, every] += np.where(known, self.reg * n[:, None], 1.0)
+        weights = np.linalg.solve(system, np.where(known, cells, 0.0)[:, :, None])[:, :, 0]
+        out = weights @ self.products
+        out[n == 0] = np.nan
+        out[:, ~usable] = np.nan
+        return out
+
+
+def fold_in(model: ALSModel, ratings: Ratings, reg: float = 0.1) -> FoldIn:
+    """``reg`` is that of the fit. The item factors are one row per feature."""
+    size = len(ratings.features)
+    factors = np.zeros((size, model.rank))
+    for row in model.itemFactors.collect():  # one row per feature
+        factors[row["id"]] = row["features"]
+    return FoldIn(factors @ factors.T, reg)
+
+
+def fold_in_repair(
+    folding: FoldIn, df: DataFrame, ratings: Ratings, key: str = KEY, user_key: str | None = None, known: bool = False
+) -> DataFrame:
+    """(key, feature, value) of the missing numbers of rows whose customer is not in the factors.
+
+    ``user_key`` names the customer where ``key`` names something else, such as an application; a null
+    one is unknown. ``known`` takes the customers in the factors as well. A row without any known
+    number gives none. One pass without a shuffle but for the list of known customers.
+    """
+    user_key = user_key or key
+    rows = df if known else df.join(ratings.users.select(user_key), user_key, "left_anti")
+    scaled = ratings.scaler.transform(rows)
+    gaps = F.array(*[F.col(f).isNull() for f in ratings.features])
+    cells = F.array(*[F.col(f"{f}_std").cast("double") for f in ratings.features])
+    asked = scaled.where(F.exists(gaps, lambda x: x)).select(F.col(key).alias("key"), cells.alias("cells"))
+    size, chunk = len(ratings.features), max(1, 4_000_000 // len(ratings.features) ** 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+                out = folding.predicted(flat.reshape(-1, size))
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * size)
+                found = pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["key", "cells", "found"])
+
+    kind = asked.schema["key"].dataType.simpleString()
+    filled = asked.mapInArrow(run, f"key {kind}, cells array<double>, found array<double>")
+    each = filled.select("key", F.posexplode(F.arrays_zip("cells", "found")).alias("item", "cell"))
+    item = F.col("item").cast("int")
+    return each.where("cell.cells is null and cell.found is not null").select(
+        F.col("key").alias(key), ratings.feature_of(item).alias("feature"), ratings.restore(item, F.col("cell.found")).alias("value")
+    )
+
+
 def weighted_value(neighbours: DataFrame, observed: DataFrame, key: str = KEY) -> DataFrame:
     """Similarity-weighted mean of the neighbours' observed values.
 

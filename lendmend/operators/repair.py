@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 from lendmend.functions import metrics as M
 from lendmend.operators.combine import masked_truth
 from lendmend.operators.factors import (
+    FoldIn,
     Ratings,
     als_fit,
     als_repair,
     empty_cells,
+    fold_in,
+    fold_in_repair,
     to_ratings,
 )
 from lendmend.operators.rules import RULE_SCHEMA, repair_by_rule, rules
 
 KEY = "customer_id"
+UNSEEN_SEED = 21  # draw of the customers that a check leaves out of the factors
 
 
 def percent_draw(*cols: str | Column, seed: int = 0) -> Column:
@@ -121,12 +125,15 @@ class RepairModel:
     als: ALSModel | None
     ratings: Ratings | None
     confidence: dict[str, float] = field(default_factory=dict)
+    folding: FoldIn | None = None
+    fold_confidence: dict[str, float] = field(default_factory=dict)
 
     def cells(self, df: DataFrame, key: str = KEY, customer: str | None = None) -> DataFrame:
         """Repaired cells in long form: value as text, method, confidence, evidence.
 
-        ``key`` identifies a row, ``customer`` (by default the same) its customer. Confidence is
-        null where it was not measured.
+        ``key`` identifies a row, ``customer`` (by default the same) its customer. Numbers of a
+        customer in the factors are their product (method als); those of any other come from folding
+        in the numbers the row has. Confidence is null where it was not measured.
         """
         parts = []
         if self.categorical:
@@ -136,25 +143,19 @@ class RepairModel:
         if self.als is not None and self.numeric:
             gaps = empty_cells(df, self.ratings, key, customer)
             filled = als_repair(self.als, gaps, self.ratings, key)
-            conf = F.create_map(
-                *[
-                    x
-                    for f in self.numeric
-                    for x in (F.lit(f), F.lit(self.confidence.get(f)).cast("double"))
-                ]
-            )
-            parts.append(
-                filled.select(
-                    key,
-                    "feature",
-                    F.col("value").cast("string").alias("value"),
-                    F.lit("als").alias("method"),
-                    F.try_element_at(conf, F.col("feature")).alias("confidence"),
-                    F.lit("factor product").alias("evidence"),
-                )
-            )
+            parts.append(self._told(filled, key, "als", "factor product", self.confidence))
+            if self.folding is not None:
+                new = fold_in_repair(self.folding, df, self.ratings, key, customer)
+                parts.append(self._told(new, key, "fold-in", "factors from the row's own numbers", self.fold_confidence))
         return reduce(DataFrame.unionByName, parts)
 
+    def _told(self, filled: DataFrame, key: str, method: str, evidence: str, measured: dict[str, float]) -> DataFrame:
+        conf = F.create_map(*[x for f in self.numeric for x in (F.lit(f), F.lit(measured.get(f)).cast("double"))])
+        return filled.select(
+            key, "feature", F.col("value").cast("string").alias("value"), F.lit(method).alias("method"),
+            F.try_element_at(conf, F.col("feature")).alias("confidence"), F.lit(evidence).alias("evidence"),
+        )
+
     def repair(self, df: DataFrame, key: str = KEY, customer: str | None = None) -> DataFrame:
         """The table with gaps filled; ``repairs`` tells per filled cell how and how surely."""
         features = [*self.categorical, *self.numeric]
@@ -193,7 +194,8 @@ def fit_repair(
     """Mine rules for categories and factorise numbers.
 
     With ``check_share`` some known numeric cells are held back first; 1 - RMSE / spread on them
-    becomes the confidence of that feature's repairs.
+    becomes the confidence of that feature's repairs. One customer in five is left out of that check's
+    factors, and shows how well numbers of new customers are folded in.
     """
     from lendmend.sources.zones import written
 
@@ -201,23 +203,26 @@ def fit_repair(
     table = train.sparkSession.createDataFrame([], RULE_SCHEMA)
     if categorical:
         table = written(rules(train, item_cols, categorical, min_support, min_confidence), "rules")
-    als = ratings = None
-    confidence: dict[str, float] = {}
+    model = RepairModel(categorical, numeric, item_cols, table, None, None)
     if numeric:
         if check_share:
             hidden, cells = mask(train, numeric, check_share, key=key)
-            r = to_ratings(hidden, numeric, key)
+            new = percent_draw(key, seed=UNSEEN_SEED) < 20
+            r = to_ratings(hidden.where(~new), numeric, key)
             m = als_fit(r, rank, iterations=iterations)
-            got = als_repair(m, empty_cells(hidden, r, key), r, key)
-            seen = als_metrics(masked_truth(got, to_cells(train, numeric, key), cells, key))
-            confidence = {
-                x["feature"]: max(0.0, 1.0 - x["rmse_sd"])
-                for x in seen.collect()  # one row per feature
-                if x["rmse_sd"] is not None
-            }
-        ratings = to_ratings(train, numeric, key)
-        als = als_fit(ratings, rank, iterations=iterations)
-    return RepairModel(categorical, numeric, item_cols, table, als, ratings, confidence)
+            truth = to_cells(train, numeric, key)
+
+            def surely(got, of):
+                seen = als_metrics(masked_truth(got, truth, cells.where(of), key))
+                rows = seen.collect()  # one row per feature
+                return {x["feature"]: max(0.0, 1.0 - x["rmse_sd"]) for x in rows if x["rmse_sd"] is not None}
+
+            model.confidence = surely(als_repair(m, empty_cells(hidden, r, key), r, key), ~new)
+            model.fold_confidence = surely(fold_in_repair(fold_in(m, r), hidden, r, key), new)
+        model.ratings = to_ratings(train, numeric, key)
+        model.als = als_fit(model.ratings, rank, iterations=iterations)
+        model.folding = fold_in(model.als, model.ratings)
+    return model
 
 
 def repair_request(model: RepairModel, df: DataFrame, key: str = KEY) -> DataFrame:

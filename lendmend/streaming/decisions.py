@@ -46,10 +46,18 @@ def decide(batch_df: DataFrame, models: Models) -> DataFrame:
         known = models.featured.join(asked, "customer_id", "left_semi")
         rows = rows.join(known, "customer_id", "left")
     if "features" in rows.columns:
-        # The message's own numbers serve where the featured zone has none of that name.
+        # The message's own numbers serve where the featured zone has none: of that name, or of a
+        # customer it does not know. What is still missing is repaired from them.
         wanted = [] if models.imputer is None else list(models.imputer.medians)
-        extra = {c: F.try_element_at("features", F.lit(c)) for c in wanted if c not in rows.columns}
-        rows = rows.withColumns(extra).drop("features")
+        if models.repair is not None:
+            wanted += [c for c in models.repair.numeric if c not in wanted]
+        types = dict(rows.dtypes)
+
+        def own(c):
+            told = F.try_element_at("features", F.lit(c))
+            return told if c not in types else F.coalesce(F.col(c), told.cast(types[c]))
+
+        rows = rows.withColumns({c: own(c) for c in wanted}).drop("features")
     if models.repair is not None:
         rows = models.repair.repair(rows, models.key, "customer_id")
     if {"outstanding", "disbursed", "approved", "installment"} <= set(rows.columns):

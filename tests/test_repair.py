@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,56 @@ def test_planted_matrix_is_recovered(spark):
     assert k["rmse_sd"] < 0.8 and k["coverage"] > 0.9
 
 
+def test_new_customers_are_folded_in(spark):
+    """Factors of some customers repair others, and equal a ridge solution written out by hand."""
+    names = [f"f{i}" for i in range(12)]
+    df = planted.low_rank(spark, 600, 12).cache()
+    truth = repair.to_cells(df, names)
+    hidden = truth.select("customer_id", "feature").where("customer_id >= 400").where(repair.percent_draw("customer_id", "feature", seed=3) < 15)
+    hide = hidden.groupBy("customer_id").agg(F.collect_set("feature").alias("h"))
+    seen = df.join(hide, "customer_id", "left").select(
+        "customer_id",
+        *[F.when(~F.coalesce(F.array_contains("h", n), F.lit(False)), F.col(n)).alias(n) for n in names],
+    ).cache()
+    r = factors.to_ratings(seen.where("customer_id < 400"), names)
+    model = factors.als_fit(r, rank=5, iterations=10)
+    folding = factors.fold_in(model, r)
+    got = factors.fold_in_repair(folding, seen, r).cache()
+    m = repair.als_metrics(masked_truth(got, truth, hidden), ()).first()
+    assert m["rmse_sd"] < 0.3 and m["coverage"] > 0.9
+    assert got.where("customer_id < 400").isEmpty()
+    assert got.count() == seen.where("customer_id >= 400").agg(sum(F.count_if(F.col(n).isNull()) for n in names)).first()[0]
+
+    items = np.array([x["features"] for x in sorted(model.itemFactors.collect())])
+    rows = {x["customer_id"]: x for x in r.scaler.transform(seen).where("customer_id >= 590").collect()}
+    for g in got.where("customer_id >= 590").collect():
+        x = np.array([np.nan if v is None else v for v in (rows[g["customer_id"]][f"{n}_std"] for n in names)])
+        v = items[np.isfinite(x)]
+        user = np.linalg.solve(v.T @ v + 0.1 * len(v) * np.eye(5), v.T @ x[np.isfinite(x)])
+        mean, sd = r.scaler.stats[g["feature"]]
+        assert g["value"] == pytest.approx(mean + sd * float(user @ items[names.index(g["feature"])]), rel=1e-9)
+
+
+def test_folding_in_without_numbers_or_id(spark):
+    products = np.array([[2.0, 1.0, 0.0], [1.0, 2.0, 0.0], [0.0, 0.0, 0.0]])
+    cells = np.array([[1.0, np.nan, 5.0], [np.nan, np.nan, 5.0], [np.nan, np.nan, np.nan]])
+    out = factors.FoldIn(products, 0.5).predicted(cells)
+    assert out[0, 1] == pytest.approx(1 / 2.5) and np.isnan(out[0, 2])  # a feature without factors neither tells nor is told
+    assert np.isnan(out[1:]).all()
+
+    names = ["f0", "f1", "f2"]
+    df = planted.low_rank(spark, 200, 3, known=1.0)
+    r = factors.to_ratings(df, names)
+    folding = factors.fold_in(factors.als_fit(r, rank=2, iterations=3), r)
+    rows = spark.createDataFrame(
+        [("a", 3, None, 100.0, 100.0), ("b", None, None, 100.0, None), ("c", 9999, None, None, None), ("d", 9999, 1.0, 2.0, 3.0)],
+        "application_id string, customer_id long, f0 double, f1 double, f2 double",
+    )
+    got = factors.fold_in_repair(folding, rows, r, "application_id", "customer_id").collect()
+    assert sorted((g["application_id"], g["feature"]) for g in got) == [("b", "f0"), ("b", "f2")]
+    assert factors.fold_in_repair(folding, rows.limit(0), r, "application_id", "customer_id").isEmpty()
+
+
 def test_router_fills_and_tells_how(spark):
     df = planted.grades(spark, 600).join(planted.low_rank(spark, 600, 5), "customer_id")
     df = df.withColumn("grade", F.when(F.col("customer_id") % 7 != 0, F.col("grade"))).cache()
@@ -124,6 +175,11 @@ def test_router_fills_and_tells_how(spark):
     assert methods == {"rule", "als"}
     changed = out.join(df.select("customer_id", F.col("f0").alias("old")), "customer_id").where("old IS NOT NULL AND old <> f0")
     assert changed.isEmpty()
+    new = df.where("customer_id < 200").withColumn("customer_id", F.col("customer_id") + 10_000)
+    told = model.cells(new).where("method <> 'rule'").cache()
+    assert told.where("method <> 'fold-in' or confidence is null or confidence not between 0 and 1").isEmpty()
+    gaps = new.agg(sum(F.count_if(F.col(n).isNull()) for n in names)).first()[0]
+    assert gaps - 5 < told.count() <= gaps > 100  # a row may lack all numbers
     answers = repair.repair_request(model, df.where("customer_id < 50"))
     assert {"customer_id", "feature", "value", "method", "confidence", "evidence"} == set(answers.columns)
 

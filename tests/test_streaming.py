@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lendmend.operators import encode, models
+from lendmend.operators import encode, models, repair
 from lendmend.sources.messages import application_stream, once_per_application
 from lendmend.streaming import decisions, monitoring
 from workload import planted
@@ -75,6 +75,29 @@ def test_flow_end_to_end(spark, tmp_path, live):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 14
 
 
+def test_a_stranger_is_repaired_from_the_message(spark, live):
+    """Numbers that neither the featured zone nor the message has are folded in; known customers keep theirs."""
+    names = [f"f{i}" for i in range(6)]
+    rows = planted.low_rank(spark, 300, 6, rank=2).cache()
+    seen = rows.where("customer_id < 200")
+    fixes = repair.fit_repair(seen, [], names, [], rank=3, check_share=0.2)
+    imputer = encode.impute_with_flags(names).fit(seen)
+    train = imputer.transform(seen).withColumn("loan_default", (F.col("f0_filled") > 100).cast("int"))
+    model = models.train_default(train, imputer.output_cols, depth=3, rounds=3)
+    flow = decisions.Models(default=model, imputer=imputer, repair=fixes, featured=seen)
+    told = F.map_from_entries(F.array_compact(F.array(*[
+        F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("k"), F.col(n).alias("v"))) for n in names
+    ])))
+    batch = rows.where("customer_id % 10 = 0").select(F.concat(F.lit("a"), "customer_id").alias("application_id"), "customer_id", told.alias("features"))
+    got = {r["customer_id"]: r for r in decisions.decide(batch, flow).collect()}
+    gaps = {r["customer_id"]: {n for n in names if r[n] is None} for r in rows.where("customer_id % 10 = 0").collect()}
+    assert set(got) == set(gaps)
+    for c, r in got.items():
+        assert {x["feature"] for x in r["repairs"] or []} == (gaps[c] if len(gaps[c]) < 6 else set())
+        assert {x["method"] for x in r["repairs"] or []} <= ({"als"} if c < 200 else {"fold-in"})
+        assert r["score"] is not None
+
+
 def application_batch(spark, inbox):
     from lendmend.sources.messages import decoded
 

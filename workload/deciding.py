@@ -661,14 +661,11 @@ def live_models(d):
     rows = written(d.customers, "customers")
     store, version = model_zone(d), version_of(rows)
     if not store.has(d.spark, "live", version):
-        train = split(features.derive(rows))[0]
-        amounts = imputer.transform(train).withColumn("disbursed_amount", F.try_divide("disbursed", "loan_cnt"))
-        amounts = written(amounts.where("disbursed_amount IS NOT NULL"), "amounts")
-        amount = models.amount_models(
-            amounts, amounts, imputer.output_cols, rounds=15, depth=5, learners=("forest",)
-        ).best
-        # The factors of every customer, from the cells that are known of them.
-        fixes = repair.fit_repair(rows, [], REPAIRED, [], rank=10, iterations=10, check_share=0.2)
+        amounts = imputer.transform(features.derive(rows)).withColumn("disbursed_amount", F.try_divide("disbursed", "loan_cnt"))
+        train, test = split(written(amounts.where("disbursed_amount IS NOT NULL"), "amounts"))
+        amount = models.amount_models(train, test, imputer.output_cols, rounds=15, depth=5, learners=("forest",)).best
+        # The factors of the training customers; numbers of the others are folded in.
+        fixes = repair.fit_repair(split(rows)[0], [], REPAIRED, [], rank=50, iterations=10, check_share=0.2)
         live = decisions.Models(
             default=model, amount=amount, imputer=imputer, repair=fixes, class_weight=weight,
             featured=rows.select("customer_id", *SERVED), keep=("customer_id", "apply_time", "amount"),
@@ -784,15 +781,21 @@ def stream_batch_parity(d):
 @query(
     "T2 R13",
     f"""SELECT CAST(event_id AS VARCHAR) AS application_id, CAST((age IS NULL)::INT + (credit_score IS NULL)::INT + (balance IS NULL)::INT
-               + (loan_cnt IS NULL)::INT + (outstanding IS NULL)::INT AS BIGINT) AS repaired
+               + (loan_cnt IS NULL)::INT + (outstanding IS NULL)::INT AS BIGINT) AS repaired,
+               CASE WHEN {TEST_DRAW} THEN 'fold-in' ELSE 'als' END AS method, true AS sure
         FROM {{events}} JOIN {{customers}} c ON c.customer_id = user_id
         WHERE {FRESH} AND (age IS NULL OR credit_score IS NULL OR balance IS NULL OR loan_cnt IS NULL OR outstanding IS NULL)
           AND NOT (age IS NULL AND credit_score IS NULL AND balance IS NULL AND loan_cnt IS NULL AND outstanding IS NULL)""",
 )
 def live_repairs(d):
-    """Applications whose customer lacks values, and how many of them the live flow repaired."""
+    """Applications whose customer lacks values, and how many of them the live flow repaired: from the
+    customer's own factors, or folded in where the customer is not among those of the fit."""
     out = decisions.decide(live_rows(d.events.where(FRESH)), live_models(d))
-    return out.where("repairs IS NOT NULL").select("application_id", F.size("repairs").cast("bigint").alias("repaired"))
+    sure = F.forall("repairs", lambda r: F.coalesce(r.confidence.between(0, 1), F.lit(False)))
+    return out.where("repairs IS NOT NULL").select(
+        "application_id", F.size("repairs").cast("bigint").alias("repaired"),
+        F.array_join(F.array_distinct(F.transform("repairs", lambda r: r.method)), " ").alias("method"), sure.alias("sure"),
+    )
 
 
 @query("T4 A17", f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS off FROM {{events}} WHERE {FRESH}")

@@ -403,6 +403,49 @@ def factor_repair_coverage(d):
     return got.where("value IS NOT NULL").groupBy("feature").agg(F.count(F.lit(1)).alias("cells"))
 
 
+# Eight numbers that mix two known ones; every fifth cell is hidden. What is hidden, SQL knows as well.
+MIXED = {f"mix_{i}": (((7 * i) % 11) / 5 - 1, ((7 * i + 3) % 11) / 5 - 1) for i in range(8)}
+MIXED_SQL = ", ".join(
+    f"100 + 10 * (({a}) * (balance - 4500) / 3100 + ({b}) * ((customer_id * 37) % 551 - 275) / 159) AS {n}" for n, (a, b) in MIXED.items()
+)
+UNSEEN = "('0x' || substr(md5(customer_id || '|11'), 1, 8))::BIGINT % 100 >= 80"
+
+
+def mixed(d):
+    """(rows with hidden cells, hidden cells, whether the customer is left out of the fit)"""
+    x = (F.col("balance") - 4500) / 3100
+    y = (F.col("customer_id") * 37 % 551 - 275) / 159
+    rows = d.customers.select("customer_id", *[(100 + 10 * (a * x + b * y)).alias(n) for n, (a, b) in MIXED.items()])
+    hidden, cells = repair.mask(rows, list(MIXED))
+    return rows, written(hidden, "mixed"), cells, repair.percent_draw("customer_id", seed=11) >= 80
+
+
+@query(
+    "R8 R13",
+    f"""WITH m AS (SELECT customer_id, {MIXED_SQL} FROM {{customers}}),
+        l AS (UNPIVOT m ON {", ".join(MIXED)} INTO NAME feature VALUE truth)
+        SELECT customer_id, feature, truth, true AS near FROM l
+        WHERE {UNSEEN} AND ('0x' || substr(md5(customer_id || '|' || feature || '|0'), 1, 8))::BIGINT % 100 < 20""",
+    r4="truth",
+)
+def new_customer_repair(d):
+    """Hidden numbers of customers that the factors have never seen, folded in from the numbers that are
+    left, and whether each is within a spread of the truth (0.3 of it on average)."""
+    names = list(MIXED)
+    rows, hidden, cells, unseen = mixed(d)
+    r = factors.to_ratings(hidden.where(~unseen), names)
+    model = factors.als_fit(r, rank=50, iterations=10)
+    got = factors.fold_in_repair(factors.fold_in(model, r), hidden, r)
+    truth = repair.to_cells(rows, names)
+    both = written(J.masked_truth(got, truth, cells.where(unseen)), "folded")
+    mean = {x["feature"]: x["rmse_sd"] for x in repair.als_metrics(both).collect()}  # one row per feature
+    good = [f for f, e in mean.items() if e is not None and e <= 0.3]
+    sd = F.create_map(*[x for f, (_, s) in r.scaler.stats.items() for x in (F.lit(f), F.lit(float(s)))])
+    close = F.abs(F.col("repaired") - F.col("truth")) <= sd[F.col("feature")]
+    near = F.coalesce(close & F.col("feature").isin(good), F.lit(False))
+    return both.select("customer_id", "feature", F.col("truth").cast("double").alias("truth"), near.alias("near"))
+
+
 @query(
     "R9",
     """SELECT CAST(0 AS BIGINT) AS strangers, true AS most_filled, true AS plausible""",
