@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import slices, taken
+from lendmend.llm.common import gathered, slices
 
-CACHED = 400_000  # chunks of a generation whose ids a worker remembers
-LONG = 64  # longer chunks are not remembered
+CACHED = 250_000  # words of a generation whose ids a worker remembers
+LONG = 64  # longer words are not remembered
 SLICE = 8 << 20  # bytes of text worked on at once
 
 #: The word tokenizer's pre-tokenizer splits by letters, numbers and the rest; this is the same for
@@ -83,7 +83,6 @@ class Bpe:
         self.symbol, self.split = byte_symbols(), latin_words().findall
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         strings = {i: s for s, i in self.vocabulary.items()} | {i: s for s, i in self.specials.items()}
         self.strings = pa.array([strings.get(i) for i in range(max(strings, default=-1) + 1)], pa.string())
 
@@ -113,64 +112,44 @@ class Bpe:
                 heapq.heappush(queue, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def word(self, symbols: str) -> bytes:
+    def learnt(self, symbols: str) -> bytes:
         """Ids of a word, given as the symbols of its bytes; the last one carries the end-of-word suffix."""
-        if (ids := self.words.get(symbols)) is None:
-            start = [self.vocabulary[s] for s in symbols[:-1]] + [self.vocabulary[symbols[-1] + self.suffix]]
-            ids = np.array(self.merged(start), "<u4").tobytes()
-            if len(symbols) <= LONG:
-                if len(self.words) > CACHED:
-                    self.words = {}
-                self.words[symbols] = ids
+        start = [self.vocabulary[s] for s in symbols[:-1]] + [self.vocabulary[symbols[-1] + self.suffix]]
+        return np.array(self.merged(start), "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        if (ids := self.known.get(word)) is None:
+            if (ids := self.before.get(word)) is None:
+                plain = word.isascii() and word.isprintable()
+                ids = self.learnt(word if plain else "".join([self.symbol[b] for b in word.encode()]))
+            if len(word) <= LONG:
+                self.known[word] = ids
         return ids
 
-    def _plain_chunk(self, chunk: str) -> bytes:
-        low = chunk.lower()
-        if self.plain and (chunk.isascii() or not OTHER.search(chunk + low)):
-            words = self.split(low)
-            if not (chunk.isascii() and chunk.isprintable()):
-                words = ["".join([self.symbol[b] for b in w.encode()]) for w in words]
-        else:
-            text = self.tokenizer.normalizer.normalize_str(chunk) if self.tokenizer.normalizer else chunk
-            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        return b"".join(map(self.word, words))
+    def split_by_file(self, text: str) -> list[bytes]:
+        """Ids of the words of any text, as the file's own steps cut it; these come as symbols."""
+        text = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return [self.learnt(w) for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space, as little-endian unsigned 32-bit numbers."""
-        if self.special is None or "<" not in chunk and all(s[0] == "<" for s in self.specials):
-            return self._plain_chunk(chunk)
-        parts = self.special.split(chunk)
-        return b"".join(
-            np.array([self.specials[p]], "<u4").tobytes() if k % 2 else self._plain_chunk(p) for k, p in enumerate(parts) if p
-        )
+        if self.special is not None and self.special.search(chunk):
+            parts = enumerate(self.special.split(chunk))
+            return b"".join([np.array([self.specials[p]], "<u4").tobytes() if k % 2 else self.chunk(p) for k, p in parts if p])
+        low = chunk.lower()
+        if self.plain and (chunk.isascii() or not OTHER.search(chunk + low)):
+            return b"".join(map(self.word, self.split(low)))
+        return b"".join(self.split_by_file(chunk))
 
     def chunks(self, distinct: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:  # two generations: what is asked for again moves on, the rest is forgotten
             self.before, self.known = self.known, {}
-        out = []
-        for c in distinct:
-            if (ids := self.known.get(c)) is None:
-                ids = self.before.get(c)
-                if ids is None:
-                    ids = self.chunk(c)
-                if len(c) <= LONG:
-                    self.known[c] = ids
-            out.append(ids)
-        return out
+        return [self.chunk(c) for c in distinct]
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of every text (null: none) as binary."""
-        parts = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        coded = parts.flatten().dictionary_encode()
-        ids = self.chunks(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        every = np.frombuffer(b"".join(ids), "<u4")
-        at = coded.indices.to_numpy()
-        flat = taken(every, (np.cumsum(size) - size)[at], size[at])
-        ends = np.r_[0, np.cumsum(size[at])]
-        offsets = parts.offsets.to_numpy()
-        bounds = 4 * ends[offsets - offsets[0]]
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat.tobytes())])
+        flat, bounds = gathered(texts, self.chunks, "<u4")
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(4 * bounds), pa.py_buffer(flat.tobytes())])
 
     def decode(self, ids: pa.Array) -> pa.Array:
         """Vocabulary strings of the ids, joined by spaces; ids that are no token give nothing."""
@@ -197,24 +176,32 @@ def bpe(path: str | None = None) -> Bpe:
     return Bpe(path)
 
 
-def _mapped(df: DataFrame, column: str, made: tuple[str, str], call: str, path: str | None) -> DataFrame:
-    """``df`` with a new column (name, type) at the end: what ``call`` of the tokenizer makes of ``column``."""
+def _mapped(df: DataFrame, column: str, made: dict[str, str], calls: list[str], path: str | None) -> DataFrame:
+    """``df`` with new columns (name: type) at the end: what the ``calls`` of the tokenizer make of
+    ``column`` and then of each other's result, in one Python pass."""
     at = df.columns.index(column)
+    kinds = [pa.binary() if kind == "binary" else pa.string() for kind in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kind = bpe(path), pa.binary() if made[1] == "binary" else pa.string()
+        model = bpe(path)
         for batch in batches:
             first = 0
             for part in slices(batch.column(at), SLICE):
-                rows = batch.slice(first, len(part))
+                columns = list(batch.slice(first, len(part)).columns)
                 first += len(part)
-                columns = [*rows.columns, getattr(model, call)(part).cast(kind)]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, made[0]])
+                for call, kind in zip(calls, kinds, strict=True):
+                    part = getattr(model, call)(part)
+                    columns.append(part.cast(kind))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *made])
 
-    fields = [f"`{c}` {t}" for c, t in [*df.dtypes, made]]
+    fields = [f"`{c}` {t}" for c, t in [*df.dtypes, *made.items()]]
     return df.mapInArrow(run, ", ".join(fields))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every text as little-endian unsigned 32-bit numbers, one row per row.
 
@@ -224,16 +211,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     whole: memory is a few times the longest one. ``path`` names the tokenizer file, a byte-level BPE
     without decoder and post-processor; by default the word tokenizer of the installed package.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _mapped(given, "text", ("ids", "binary"), "encode", path).select("id", "ids")
+    return _mapped(_texts(docs, id_col, text_col), "text", {"ids": "binary"}, ["encode"], path).select("id", "ids")
 
 
-def decode(tokens: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """(id, ids) -> (id, text): the vocabulary strings of the ids, with spaces between them.
 
-    Special tokens are kept, null or no ids give an empty text, and an id without a token gives
-    nothing. ``keep_ids`` keeps the column of ids as well.
+    Special tokens are kept, null or no ids give an empty text, and an id without a token gives nothing.
     """
     given = tokens.select("id", F.col("ids").cast("binary").alias("ids"))
-    found = _mapped(given, "ids", ("text", "string"), "decode", path)
-    return found if keep_ids else found.select("id", "text")
+    return _mapped(given, "ids", {"text": "string"}, ["decode"], path).select("id", "text")
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(id, ids, decoded): ``encode`` and ``decode`` of its ids in one pass."""
+    made = {"ids": "binary", "decoded": "string"}
+    return _mapped(_texts(docs, id_col, text_col), "text", made, ["encode", "decode"], path).select("id", *made)

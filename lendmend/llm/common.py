@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -127,3 +127,20 @@ def taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     """values[starts[0]:][:sizes[0]], values[starts[1]:][:sizes[1]], ... one after the other."""
     ends = np.cumsum(sizes)
     return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def gathered(texts: pa.Array, ids_of: Callable[[list[str]], list[bytes]], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of texts from those of their parts between ASCII white space.
+
+    ``ids_of`` gives the ids of every distinct part as numbers of ``kind``. Returns all ids, one text
+    after the other, and where each text's begin, with the end.
+    """
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    coded = parts.flatten().dictionary_encode()
+    ids = ids_of(coded.dictionary.to_pylist())
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
+    at = coded.indices.to_numpy()
+    flat = taken(np.frombuffer(b"".join(ids), kind), (np.cumsum(size) - size)[at], size[at])
+    ends = np.r_[0, np.cumsum(size[at])]
+    offsets = parts.offsets.to_numpy()
+    return flat, ends[offsets - offsets[0]]

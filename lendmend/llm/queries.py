@@ -81,10 +81,9 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.encode(table(spark, sf_dir, "documents"))
-    return bpe.decode(tokens, keep_ids=True).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

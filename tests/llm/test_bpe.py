@@ -73,5 +73,10 @@ def test_query(spark, saved, library):
     got = op12_bpe(spark, path)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted((want(i, t) for i, t, _ in rows), key=str)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    tokens = bpe.encode(docs)
+    assert sorted(map(tuple, bpe.decode(tokens).join(tokens, "id").select("id", "ids", "text").collect()), key=str) == sorted(
+        ((r.id, r.ids, r.decoded) for r in bpe.round_trip(docs.where("doc_id is not null")).collect() for _ in range(2 if r.id == 1 else 1)), key=str
+    )
     empty = saved(documents=([], "doc_id long, text string"))
     assert op12_bpe(spark, empty).collect() == []
