@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lendmend.functions import metrics as M
 from lendmend.functions.vectors import haversine_km
+from lendmend.operators.boost import BoostedTrees, fit_boosted
 from lendmend.operators.features import application_burst
 from lendmend.operators.ranked import running_by_value
 from lendmend.schema import FraudRules
@@ -230,7 +231,7 @@ AMOUNT_LEARNERS = {
 @dataclass
 class AmountComparison:
     report: DataFrame  # learner, rmse, mape, best
-    best: PipelineModel
+    best: PipelineModel | BoostedTrees
     name: str
 
 
@@ -241,14 +242,20 @@ def amount_models(
     label: str = "disbursed_amount",
     rounds: int = 50,
     depth: int = 6,
-    learners: tuple[str, ...] = ("forest", "gbt"),
+    learners: tuple[str, ...] = ("forest", "gbt", "second_order"),
     seed: int = 7,
 ) -> AmountComparison:
-    """Fit every learner on the same rows and compare on the test rows; least RMSE wins."""
+    """Fit every learner on the same rows and compare on the test rows; least RMSE wins.
+
+    ``second_order`` takes missing values as they are, the others take none.
+    """
     fitted, rows = {}, []
     for name in learners:
-        stages = [assembler(features), AMOUNT_LEARNERS[name](label, rounds, depth, seed)]
-        fitted[name] = Pipeline(stages=stages).fit(train)
+        if name == "second_order":
+            fitted[name] = fit_boosted(train, features, label, "squared", depth, rounds=rounds)
+        else:
+            stages = [assembler(features), AMOUNT_LEARNERS[name](label, rounds, depth, seed)]
+            fitted[name] = Pipeline(stages=stages).fit(train)
         got = fitted[name].transform(test).agg(
             M.rmse(label, "prediction").alias("rmse"), M.mape(label, "prediction").alias("mape")
         )
