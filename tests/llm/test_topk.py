@@ -41,4 +41,12 @@ def test_large_numbers_stay_exact(spark):
     rows = [(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [-1e6, 0.0]), (3, [1e30, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 256**2 * (10**12 + 3)), (0, 2, 2, -(256**2) * 10**12)]
+    assert got == [(0, 1, 3, 2**63 - 1), (0, 2, 1, 256**2 * (10**12 + 3)), (0, 3, 2, -(256**2) * 10**12)]
+
+
+def test_components_beyond_32_bits_take_part(spark, saved, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([9e6, -9e6, 0.5, 0.0]), rng.choice([0.5, -3.0, 1.0])], 0) for i in range(120)]
+    got = queries.op7_top_k(spark, saved(embeddings=(rows, VECTORS)))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
