@@ -13,19 +13,23 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import written
+from lendmend.llm.common import gathered, slices, taken, written
 
 WINDOW = 2048
 END = 1  # id that ends every document
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75  # usual BM25 constants
-CACHED = 250_000  # words of a generation whose ids a task remembers
+SPACE, LETTER, NUMBER, OTHER = range(4)
+CACHED = 250_000  # words of a generation whose ids a worker remembers
+SLICE = 8 << 20  # bytes of text coded at once
 
 #: Fixed pattern of the word tokenizer's pre-tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -44,11 +48,29 @@ def kind_of(path: str | None) -> str:
     return "<u2" if Tokenizer.from_file(path or default_path()).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column and where each text's begin, with the end."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    given = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8)
+    return given, bounds - bounds[0]
+
+
+def _any(data: np.ndarray, bounds: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Which texts have a byte that is odd, or an I with a dot."""
+    at = np.flatnonzero(odd[data])
+    dotted = np.flatnonzero((data[:-1] == 0xC4) & (data[1:] == 0xB0))
+    found = np.zeros(len(bounds) - 1, bool)
+    found[np.searchsorted(bounds, np.r_[at, dotted], "right") - 1] = True
+    return found
+
+
 class TokenIds:
-    """Token ids of texts. Remembers the ids of words, for tokenizers that split texts into words.
+    """Token ids of texts. For tokenizers that split texts into words, a batch's distinct words are
+    coded once, and their ids are remembered.
 
-    The short way is taken for texts of Latin letters whose lower case and normal form are plain;
-    all others go through the tokenizer whole.
+    The short way is taken for texts of Latin letters whose lower case and normal form are plain; of
+    all others the distinct parts between white space are coded.
     """
 
     def __init__(self, path: str | None, kind: str = "<u4"):
@@ -69,6 +91,15 @@ class TokenIds:
         # I with a dot has a lower case of two characters.
         self.other = re.compile("[^\x00-ɏ]|[İ\x1c-\x1f]")
         self.words = re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{space}{letters}{numbers}]+")
+        self.spaces = re.compile(f"[{space}]+")
+        # Kinds of bytes below 128, then of all characters of two bytes, from 256 on.
+        kinds = [SPACE if self.spaces.match(c) else LETTER if c in letters else NUMBER if c in numbers else OTHER for c in map(chr, range(2048))]
+        self.classes = np.array([*kinds[:128], *[OTHER] * 128, *kinds], np.uint8)
+        # What the short way leaves to the tokenizer: characters from U+0240 on, I with a dot, some
+        # control characters, and what may be a special token.
+        self.odd = np.zeros(256, bool)
+        self.odd[0xC9:] = self.odd[0x1C:0x20] = True
+        self.odd[[ord(x["content"][0]) for x in given.get("added_tokens", []) if x["content"].isascii()]] = True
         vocabulary = self.tokenizer.get_vocab()
         suffix = given["model"].get("end_of_word_suffix")
         self.by_word &= bool(suffix)
@@ -80,16 +111,85 @@ class TokenIds:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned numbers of the asked kind."""
-        if not self.by_word or self.other.search(text) or self.specials.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.encode(pa.array([text], pa.string()))[0].tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and where each text's begin, with the end."""
+        if not self.by_word:
+            ids = [self.whole(x or "") for x in texts.to_pylist()]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+            return np.frombuffer(b"".join(ids), self.kind), np.r_[0, np.cumsum(size)]
+        words, ends, plain = self.split(texts)
+        coded = words.dictionary_encode()
+        ids = self.of_words(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        at = coded.indices.to_numpy()
+        flat = taken(np.frombuffer(b"".join(ids), self.kind), (np.cumsum(size) - size)[at], size[at])
+        bounds = np.r_[0, np.cumsum(size[at])][ends]
+        if not plain.all():
+            rest, rest_bounds = gathered(texts.filter(pa.array(~plain)), self.parts, self.kind)
+            flat, sizes = np.insert(flat, np.repeat(bounds[:-1][~plain], np.diff(rest_bounds)), rest), np.diff(bounds)
+            sizes[~plain] = np.diff(rest_bounds)
+            bounds = np.r_[0, np.cumsum(sizes)]
+        return flat, bounds
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words of plain texts in lower case, and white space between them; where each text's begin,
+        with the end; and which texts are plain. The others have none."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        raw, low = _bytes(texts), pc.utf8_lower(texts)
+        plain = ~(_any(raw[0], raw[1], self.odd) | _any(*_bytes(low), self.odd))
+        low = pc.if_else(pa.array(plain), low, "")
+        data, bounds = _bytes(low)
+        kind = self.classes[data]
+        lead = np.flatnonzero(data >= 0xC2)
+        kind[lead] = kind[lead + 1] = self.classes[256 + ((data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F)]
+        starts = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)][: len(data)]
+        starts[lead + 1] = False
+        first = bounds[:-1][np.diff(bounds) > 0]
+        starts[first] = True
+        # 's, 't, 'm, 'd, 're, 've and 'll are words where the apostrophe begins a run.
+        fresh = np.zeros(len(data) + 3, bool)
+        fresh[first] = True
+        fresh[len(data) :] = True
+        after = np.r_[data, np.zeros(3, np.uint8)]
+        mark = np.flatnonzero((data == ord("'")) & starts)
+        mark = mark[~fresh[mark + 1]]
+        one = np.isin(after[mark + 1], np.frombuffer(b"stmd", np.uint8))
+        pair = after[mark + 1].astype(np.int64) << 8 | after[mark + 2]
+        two = ~fresh[mark + 2] & np.isin(pair, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")])
+        starts[mark[one | two] + 1] = False
+        stop = np.r_[mark[one] + 2, mark[two] + 3]
+        starts[stop[stop < len(data)]] = True
+        at = np.flatnonzero(starts)
+        offsets = np.r_[at, len(data)]
+        words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+        return words, np.searchsorted(at, bounds), plain
+
+    def of_words(self, distinct: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.before, self.known = self.known, {}
-        words = self.words.findall(text.lower())
-        parts = [*map(self.known.get, words)]
-        if None in parts:
-            self._learn({w for w, ids in zip(words, parts, strict=True) if ids is None})
-            parts = [*map(self.known.__getitem__, words)]
-        return b"".join(parts)
+        out = [*map(self.known.get, distinct)]
+        if None in out:
+            self._learn({w for w, ids in zip(distinct, out, strict=True) if ids is None and not self.spaces.fullmatch(w)})
+            out = [self.known.get(w, b"") for w in distinct]
+        return out
+
+    def parts(self, distinct: list[str]) -> list[bytes]:
+        """Ids of texts without white space."""
+        split, new = [], set()
+        for part in distinct:
+            low = part.lower()
+            words = None
+            if not self.other.search(part + low) and not self.specials.search(part):
+                words = self.words.findall(low)
+                new.update([w for w in words if w not in self.known])
+            split.append(words)
+        self._learn(new)
+        return [self.whole(p) if w is None else b"".join(map(self.known.__getitem__, w)) for p, w in zip(distinct, split, strict=True)]
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words new to this generation, all at once; the last token of each is known by its form."""
@@ -108,19 +208,31 @@ class TokenIds:
             at = end
 
 
+@lru_cache(maxsize=2)
+def _token_ids(path: str | None, kind: str) -> TokenIds:
+    """One instance for each Python worker, kept from task to task."""
+    return TokenIds(path, kind)
+
+
 def tokenized(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, kind: str = "<u4"
 ) -> DataFrame:
     """(id, row, tokens binary, anchor): ids as unsigned numbers of ``kind`` with ``END`` after them."""
-    end = np.array([END], kind).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TokenIds(path, kind)
+        ids, width = _token_ids(path, kind), np.dtype(kind).itemsize
         for batch in batches:
-            tokens = [ids(x.as_py() or "") + end for x in batch.column(2)]
-            anchors = [int(np.frombuffer(x, kind).max()) for x in tokens]
-            columns = [*batch.columns[:2], pa.array(tokens, pa.binary()), pa.array(anchors, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "tokens", "anchor"])
+            first = 0
+            for part in slices(batch.column(2), SLICE):
+                flat, bounds = ids.encode(part)
+                flat = np.insert(flat, bounds[1:], END)
+                bounds = bounds + np.arange(len(bounds))
+                ends = width * bounds
+                tokens = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
+                anchors = np.maximum.reduceat(flat, bounds[:-1]).astype(np.int64)
+                rows = batch.slice(first, len(part))
+                first += len(part)
+                columns = [*rows.columns[:2], tokens.cast(pa.binary()), pa.array(anchors)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "tokens", "anchor"])
 
     given = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, row long, tokens binary, anchor long")
@@ -258,7 +370,8 @@ def pack(
     Every id of every document, the end id included, lies in exactly one piece; a null or empty text
     is the end id alone. Rows stay as often as they are, also with a null id. Sequences fill the
     window but for the last ones of a shard, whose lengths are powers of two. An empty table gives
-    no rows; other columns are not read. ``path`` names the tokenizer file; by default the word
+    no rows; other columns are not read. A task holds the ids of a shard, ``shard_tokens`` or one very
+    long document more. ``path`` names the tokenizer file; by default the word
     tokenizer of the installed package.
     """
     spark = docs.sparkSession
