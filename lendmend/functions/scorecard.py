@@ -23,3 +23,9 @@ def score(p: ColumnOrName, base: float = 2.0, weight: float = 1.0) -> Column:
     return F.when(
         _c(p).isNotNull(), F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), points))
     )
+
+
+def unweighted(p: ColumnOrName, weight: float) -> Column:
+    """The probability that a model trained with odds multiplied by ``weight`` stands for."""
+    p = _c(p).cast("double")
+    return p / (p + (F.lit(1.0) - p) * F.lit(float(weight)))

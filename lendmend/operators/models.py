@@ -78,6 +78,23 @@ def class_weight(df: DataFrame, label: str, out: str = "class_weight") -> DataFr
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(1.0))
 
 
+def combined_weight(
+    df: DataFrame, label: str, fn_cost: float = 5.0, fp_cost: float = 1.0, quality_col: str | None = None, out: str = "weight"
+) -> tuple[DataFrame, float]:
+    """Rows with one training weight, and the factor by which it moves a model's odds.
+
+    The weight is cost x class x quality: a missed default costs ``fn_cost``, a needless rejection
+    ``fp_cost``; positives weigh n_neg / n_pos; ``quality_col`` (see ``clean.training_weight``) is what
+    a row counts whatever its label. The first two multiply the odds by their ratio, which ``unweighted``
+    and the scorecard's ``weight`` undo; the third does not move the odds of rows that are alike.
+    """
+    pos, neg = df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    ratio = neg / pos if pos else 1.0
+    quality = F.lit(1.0) if quality_col is None else F.coalesce(F.col(quality_col).cast("double"), F.lit(1.0))
+    own = F.when(F.col(label) == 1, F.lit(fn_cost * ratio)).when(F.col(label) == 0, F.lit(float(fp_cost)))
+    return df.withColumn(out, own * quality), fn_cost * ratio / fp_cost
+
+
 def cross_validate(
     est, train: DataFrame, grid, label: str, folds: int = 5, parallelism: int = 4, seed: int = 7
 ) -> CrossValidatorModel:

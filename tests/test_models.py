@@ -8,7 +8,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from lendmend.operators import encode, explain, models, scoring, select
+from lendmend.functions.scorecard import unweighted
+from lendmend.operators import boost, encode, explain, models, scoring, select
 from lendmend.sources.zones import ModelStore
 from workload import planted
 
@@ -56,6 +57,27 @@ def test_metrics_and_threshold(spark):
     assert (none["threshold"], none["cost"]) == (0.9, pytest.approx(0.2))
 
 
+def test_combined_weights_cut_the_cost_and_are_undone(spark):
+    df = planted.defaults(spark, 12_000).withColumn("training_weight", F.when(F.col("x1").isNull(), 0.5).otherwise(1.0)).cache()
+    draw = F.pmod(F.xxhash64("customer_id"), F.lit(10))
+    train, test = df.where(draw < 6), df.where(draw >= 6)
+    rows, factor = models.combined_weight(train, "loan_default", 5.0, 1.0, "training_weight")
+    fit = lambda d, **kw: boost.fit_boosted(d, X, "loan_default", depth=3, rounds=20, rate=0.4, **kw).transform(test).cache()
+    heavy, plain = fit(rows, weight_col="weight"), fit(train)
+    cost = lambda s: s.agg(
+        F.sum(F.when((F.col("loan_default") == 1) & (F.col("p") < 0.5), 5.0).when((F.col("loan_default") == 0) & (F.col("p") >= 0.5), 1.0).otherwise(0.0))
+    ).first()[0]
+    # Without the class weights' share of the odds, one half is where rejecting begins to pay.
+    assert cost(heavy.withColumn("p", unweighted("p", factor / 5.0))) < cost(plain)
+    told = heavy.withColumn("q", unweighted("p", factor))
+    mean = told.agg(F.avg("q"), F.avg(F.col("loan_default").cast("double"))).first()
+    assert mean[0] == pytest.approx(mean[1], rel=0.2)
+    high = told.where("q > 0.3").agg(F.avg("q"), F.avg(F.col("loan_default").cast("double"))).first()
+    assert high[0] == pytest.approx(high[1], rel=0.3)
+    points = told.select(scoring.score("p", weight=factor).alias("a"), scoring.score("q").alias("b"))
+    assert points.where("abs(a - b) > 1e-6").isEmpty()
+
+
 def test_forest_and_cross_validation(spark, fitted):
     train, _, imputer, _, _ = fitted
     learner = models.default_model(depth=3, rounds=5, kind="forest")

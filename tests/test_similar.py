@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lendmend.operators.customers import case_vote
 from lendmend.operators.factors import dense_ids, weighted_value
-from lendmend.operators.similar import similar, top_k_similar
+from lendmend.operators.similar import probed_share, similar, similar_probed, top_k_similar
 
 
 def table(spark, x, ids=None):
@@ -37,6 +37,24 @@ def test_every_layout_is_exact(spark, cells):
     )
 
 
+def test_probed_cells(spark):
+    """In clusters a few cells hold the neighbours; with all cells probed the answer is the exact one."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = centres[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 16))
+    x[:400] = centres[0] + rng.normal(size=(400, 16))  # a third in one cluster
+    df = table(spark, x)
+    triples = lambda got: {(r["customer_id"], r["neighbour"], r["rank"]) for r in got.collect()}
+    exact = brute(x, range(1200), x, range(1200), 5)
+    few = triples(similar_probed(df, df, "v", 5, probes=4, cell_rows=30, block_rows=64))
+    pairs = lambda t: {(a, b) for a, b, _ in t}
+    assert len(pairs(few) & pairs(exact)) >= 0.95 * len(exact)
+    assert probed_share(df, df, "v", probes=4, cell_rows=30) < 0.25
+    assert triples(similar_probed(df, df, "v", 5, probes=40, cell_rows=30, block_rows=64)) == exact
+    assert triples(similar_probed(df, df, "v", 5, probes=1, cell_rows=5000)) == exact
+    assert similar_probed(df.limit(0), df, "v", 5, cell_rows=30).isEmpty() and similar_probed(df, df.limit(0), "v", 5).isEmpty()
+
+
 def test_fewer_candidates_than_k(spark):
     q, c = table(spark, [[1.0, 0.0]], [9]), table(spark, [[1.0, 1.0], [0.0, 1.0]], [1, 2])
     got = [(r["neighbour"], round(r["similarity"], 6)) for r in similar(q, c, "v", 5).collect()]

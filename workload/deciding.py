@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lendmend.functions.scorecard import score
 from lendmend.operators import customers as K
-from lendmend.operators import boost, encode, explain, features, models, repair
+from lendmend.operators import boost, clean, encode, explain, features, models, repair
 from lendmend.schema import FraudRules
 from lendmend.sources import messages
 from lendmend.sources.zones import ModelStore, shared_dir, written
@@ -114,6 +114,25 @@ def class_weights(d):
     return models.class_weight(d.customers.select("customer_id", LABEL), LABEL)
 
 
+GAPS = "(age IS NULL)::INT + (credit_score IS NULL)::INT + (loan_cnt IS NULL)::INT + (outstanding IS NULL)::INT"
+
+
+@query(
+    "M4 M3 P11",
+    f"""
+    WITH c AS (SELECT customer_id, loan_default, CASE WHEN ({GAPS}) / 4.0 > 0.5 THEN 0.5 ELSE 1.0 END AS quality FROM {{customers}}),
+    r AS (SELECT count(*) FILTER (WHERE loan_default = 0) / count(*) FILTER (WHERE loan_default = 1) AS ratio FROM c)
+    SELECT customer_id, loan_default, quality * CASE loan_default WHEN 1 THEN 5.0 * ratio ELSE 1.0 END AS weight, 5.0 * ratio AS odds_factor FROM c, r""",
+    r6="weight odds_factor",
+)
+def combined_weights(d):
+    """One training weight from cost, class and quality, and the factor that its model's odds are divided by."""
+    cols = ["age", "credit_score", "loan_cnt", "outstanding"]
+    rows = clean.training_weight(clean.low_quality(d.customers, cols, 0.5), 0.5)
+    weighted, factor = models.combined_weight(rows, LABEL, 5.0, 1.0, "training_weight")
+    return weighted.select("customer_id", LABEL, "weight", F.lit(factor).alias("odds_factor"))
+
+
 @query(
     "M4",
     """

@@ -8,7 +8,8 @@ from lendmend.operators import combine as J
 from lendmend.operators import features as X
 from lendmend.operators.customers import improvement_trend, timeline, timeline_order
 from lendmend.operators.keyed import latest_per_key
-from lendmend.operators.similar import similar, top_k_similar
+from lendmend.operators.similar import probed_share, similar, similar_probed, top_k_similar
+from lendmend.sources.zones import written
 from workload.base import AS_OF, query
 
 
@@ -58,6 +59,30 @@ def _vectors(d):
     return d.embeddings.select(F.col("vec_id").alias("customer_id"), "embedding")
 
 
+def clustered_vectors(d):
+    """Sixteen numbers of each order: those of its customer's cluster, and a little of its own."""
+    order, spot = F.col("o_orderkey"), F.col("o_custkey") % 60
+    own = [F.sin(spot * (3 * i + 7) % 61) * 4 + F.sin(order * (i + 1)) * 0.5 for i in range(16)]
+    return d.orders.select(order.alias("customer_id"), F.array(*own).alias("v")).where("customer_id % 5 = 0")
+
+
+@query(
+    "J4",
+    "SELECT count(*) AS queries, true AS recall_at_least_95, true AS at_most_a_tenth_compared FROM {orders} WHERE o_orderkey % 5 = 0",
+)
+def probed_neighbours(d):
+    """Neighbours from the nearest cells only, held against the exact ones."""
+    v = written(clustered_vectors(d), "vectors")
+    size = max(20, v.count() // 100)
+    exact = similar(v, v, "v", 5).select("customer_id", "neighbour")
+    near = similar_probed(v, v, "v", 5, probes=4, cell_rows=size).select("customer_id", "neighbour")
+    hit, all_ = near.join(exact, ["customer_id", "neighbour"]).count(), exact.count()
+    share = probed_share(v, v, "v", probes=4, cell_rows=size)
+    return v.agg(F.count(F.lit(1)).alias("queries")).select(
+        "queries", F.lit(hit >= 0.95 * all_).alias("recall_at_least_95"), F.lit(share <= 0.1).alias("at_most_a_tenth_compared")
+    )
+
+
 @query("J4 W9 F15", TOP5, r6="similarity")
 def similar_customers(d):
     v = _vectors(d)
