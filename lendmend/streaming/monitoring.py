@@ -12,7 +12,7 @@ def batch_metrics(
     batch_df: DataFrame, batch_id: int, threshold: float = 0.5, amount: str = "suggested_amount"
 ) -> DataFrame:
     """One row: rows, predicted default rate, mean amount."""
-    amt = F.avg(amount) if amount in batch_df.columns else F.lit(None).cast("double")
+    amt = F.avg(F.col(amount).cast("double")) if amount in batch_df.columns else F.lit(None).cast("double")
     return batch_df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.when(F.col("p") >= threshold, 1.0).otherwise(0.0)).alias("default_rate"),
@@ -20,13 +20,33 @@ def batch_metrics(
     ).select(F.lit(batch_id).cast("bigint").alias("batch_id"), "*")
 
 
+METRICS = "rows bigint, default_rate double, mean_amount double, batch_id bigint"
+TRAILED = ("default_rate", "mean_amount")
+
+
+def trailing_means(spark: SparkSession, metrics_path: str, batch_id: int, batches: int) -> dict[str, float | None]:
+    """Mean of each measure over the last ``batches`` committed batches before ``batch_id`` that had rows.
+
+    The measures of a batch that is run again, and of any after it, are not looked at, so the answer is
+    that of the first run. One row per batch, and only the last ones are kept.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(metrics_path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return dict.fromkeys(TRAILED)
+    before = spark.read.schema(METRICS).parquet(metrics_path).where((F.col("batch_id") < batch_id) & (F.col("rows") > 0))
+    last = before.orderBy(F.desc("batch_id")).limit(batches)
+    return last.agg(*[F.avg(c).alias(c) for c in TRAILED]).first().asDict()
+
+
 def monitor(
     metrics_path: str, alerts_path: str, max_default_rate: float = 0.2, min_rows: int = 0,
-    threshold: float = 0.5,
+    threshold: float = 0.5, trailing: int = 0, factor: float = 1.5,
 ) -> Callable[[DataFrame, int], None]:
     """Write the batch's measures, and an alert row for every limit it breaks.
 
-    Both tables are partitioned by batch, so a repeated batch replaces its own rows.
+    With ``trailing`` a measure is also held against its mean over so many committed batches before,
+    and an alert (measure ``..._jump``) is raised where it is above ``factor`` times that. Both tables
+    are partitioned by batch, so a repeated batch replaces its own rows and alerts once.
     """
 
     def write(df: DataFrame, path: str) -> None:
@@ -51,6 +71,10 @@ def monitor(
             alerts.append((batch_id, "default_rate", row["default_rate"], max_default_rate))
         if row["rows"] < min_rows:
             alerts.append((batch_id, "rows", float(row["rows"]), float(min_rows)))
+        means = trailing_means(spark, metrics_path, batch_id, trailing) if trailing else {}
+        for measure, mean in means.items():
+            if mean is not None and row[measure] is not None and row[measure] > factor * mean:
+                alerts.append((batch_id, f"{measure}_jump", row[measure], factor * mean))
         if alerts:
             write(
                 spark.createDataFrame(

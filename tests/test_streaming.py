@@ -166,6 +166,24 @@ def test_relational_sink_skips_rows_already_there(spark, monkeypatch):
     assert sorted(stored) == [("a", 1), ("b", 1), ("c", 2)]
 
 
+def test_a_jump_against_the_batches_before_alerts_once(spark, tmp_path):
+    watch = monitoring.monitor(f"{tmp_path}/m", f"{tmp_path}/a", max_default_rate=2.0, trailing=3, factor=1.5)
+
+    def batch(n, bad, amount=100.0):
+        return spark.range(n).select(F.when(F.col("id") < bad, 0.9).otherwise(0.1).alias("p"), F.lit(amount).alias("suggested_amount"))
+
+    for i, (n, bad) in enumerate([(100, 10), (100, 12), (0, 0), (100, 8), (100, 30), (100, 20)]):
+        watch(batch(n, bad), i)
+    alerts = lambda: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/a").select("batch_id", "measure", F.round("value", 6), F.round("allowed", 6)).collect()))
+    assert alerts() == [(4, "default_rate_jump", 0.3, 0.15)]  # an empty batch is no batch of the mean
+    watch(batch(100, 30), 4)  # run again: neither itself nor later batches count
+    assert alerts() == [(4, "default_rate_jump", 0.3, 0.15)]
+    watch(batch(100, 20, amount=500.0), 6)
+    assert alerts()[1:] == [(6, "mean_amount_jump", 500.0, 150.0)]
+    first = monitoring.trailing_means(spark, f"{tmp_path}/m", 0, 3)
+    assert first == {"default_rate": None, "mean_amount": None}
+
+
 def test_parity_finds_a_difference(spark):
     a = spark.createDataFrame([("a", 0.1, 600.0), ("b", 0.2, 500.0)], "application_id string, p double, score double")
     b = spark.createDataFrame([("a", 0.1, 600.0), ("c", 0.2, 500.0)], "application_id string, p double, score double")

@@ -847,6 +847,37 @@ def live_repairs(d):
     )
 
 
+JUMP_BATCH, BATCHES = 8, 12
+WATCHED = f"""SELECT customer_id % {BATCHES} AS batch, CASE WHEN customer_id % {BATCHES} = {JUMP_BATCH} THEN p + 0.25 ELSE p END AS p,
+    CAST(customer_id AS DOUBLE) AS suggested_amount FROM {{scored}}"""
+
+
+@query(
+    "T4 W11",
+    f"""WITH b AS (SELECT batch AS batch_id, avg((p >= 0.35)::INT) AS rate, avg(suggested_amount) AS amount FROM ({WATCHED}) w GROUP BY 1),
+    t AS (SELECT *, avg(rate) OVER l AS mean_rate, avg(amount) OVER l AS mean_amount FROM b WINDOW l AS (ORDER BY batch_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+    SELECT batch_id, 'default_rate_jump' AS measure, rate AS value, 1.25 * mean_rate AS allowed FROM t WHERE rate > 1.25 * mean_rate
+    UNION ALL SELECT batch_id, 'mean_amount_jump', amount, 1.25 * mean_amount FROM t WHERE amount > 1.25 * mean_amount""",
+    r6="value allowed",
+)
+def stream_alerts(d):
+    """Batches through a stream that is watched, one of them with raised probabilities; the batch is then run
+    once more. Each is held against the three before it."""
+    root = f"{shared_dir(d.spark)}/watched-{uuid4().hex}"
+    rows = written(d.spark.sql(WATCHED.replace("{scored}", "{s}"), s=d.scored), "watched")
+    watch = monitoring.monitor(
+        f"{root}/metrics", f"{root}/alerts", max_default_rate=2.0, threshold=0.35, trailing=3, factor=1.25
+    )
+    part = lambda i: rows.where(F.col("batch") == i).drop("batch")
+    for i in range(BATCHES):  # one delivery after the other; each is one file and so one batch
+        part(i).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+        stream = d.spark.readStream.schema(rows.drop("batch").schema).parquet(f"{root}/inbox")
+        decisions.run(stream, watch, f"{root}/checkpoint", every=None).awaitTermination()
+    watch(part(JUMP_BATCH), JUMP_BATCH)
+    got = d.spark.read.parquet(f"{root}/alerts")
+    return got.select(F.col("batch_id").cast("bigint").alias("batch_id"), "measure", "value", "allowed")
+
+
 @query("T4 A17", f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS off FROM {{events}} WHERE {FRESH}")
 def stream_metrics(d):
     """Rows measured, and batches whose measures differ from those of their decisions."""
