@@ -247,9 +247,32 @@ def frequent_items(d):
     return sets.select(F.array_join("items", "|").alias("items"), "freq")
 
 
+def _rules_by_subset(src, min_support, min_confidence):
+    """The rules from one GROUP BY for each target and set of other columns."""
+    sets, values = [], []
+    for t in TARGETS:
+        rest = [c for c in ITEM_COLS if c != t]
+        values.append(f"SELECT '{t}' AS target, {t} AS value, count(*) AS n FROM base WHERE {t} IS NOT NULL GROUP BY {t}")
+        for some in range(1, 1 << len(rest)):
+            own = [c for i, c in enumerate(rest) if some >> i & 1]
+            text = " || '|' || ".join(f"'{c}:' || {c}" for c in own)
+            known = " AND ".join(f"{c} IS NOT NULL" for c in [*own, t])
+            sets.append(f"SELECT '{t}' AS target, {text} AS antecedent, {t} AS value, count(*) AS n FROM base WHERE {known} GROUP BY {', '.join([*own, t])}")
+    both = " UNION ALL "
+    return f"""WITH base AS (SELECT {", ".join(ITEM_COLS)} FROM {src}),
+        sets AS ({both.join(sets)}),
+        vals AS ({both.join(values)}),
+        whole AS (SELECT target, sum(n) AS n FROM vals GROUP BY target),
+        parts AS (SELECT target, antecedent, sum(n) AS n FROM sets GROUP BY target, antecedent)
+        SELECT s.target, s.antecedent, s.value, s.n / p.n AS confidence, (s.n / p.n) / (v.n / w.n) AS lift, s.n / w.n AS support
+        FROM sets s JOIN parts p ON p.target = s.target AND p.antecedent = s.antecedent
+        JOIN vals v ON v.target = s.target AND v.value = s.value JOIN whole w ON w.target = s.target
+        WHERE s.n >= ceil({min_support} * w.n) AND s.n / p.n >= {min_confidence}"""
+
+
 @query(
     "R4",
-    f"SELECT target, antecedent, value, confidence, lift, support FROM ({_rules('{banded}', 0.4)}) r",
+    _rules_by_subset("{banded}", 0.1, 0.4),
     r6="confidence support",
     r4="lift",
 )
@@ -550,16 +573,24 @@ def method_comparison(d):
 
 @query(
     "R15",
-    """SELECT customer_id, feature, true AS sure FROM (
+    f"""WITH r AS ({_rules("{banded}", 0.4)})
+       SELECT customer_id, feature, 'als' AS method, CAST(NULL AS VARCHAR) AS answer, CAST(NULL AS DOUBLE) AS rule_confidence, true AS sure FROM (
          SELECT customer_id, unnest(['age', 'credit_score', 'balance', 'loan_cnt', 'outstanding', 'disbursed']) AS feature,
                 unnest([age IS NULL, credit_score IS NULL, balance IS NULL, loan_cnt IS NULL, outstanding IS NULL, disbursed IS NULL]) AS gap
-         FROM {banded} JOIN {customers} c USING (customer_id)) x WHERE gap""",
+         FROM {{banded}} JOIN {{customers}} c USING (customer_id)) x WHERE gap
+       UNION ALL
+       SELECT customer_id, target, 'rule', value, confidence, true FROM {_matches("{banded}", "r")} m WHERE rn = 1""",
+    r6="rule_confidence",
 )
 def repair_answers(d):
-    """Answers for every missing number, each with a measured confidence; rules answer what they can."""
+    """Answers for every missing number, each with a measured confidence, and the answers of the rules."""
     got = repair.repair_request(fitted_repair(d, check_share=0.2), repair_input(d))
     sure = F.coalesce(F.col("confidence").between(0, 1), F.lit(False)) & F.col("value").isNotNull()
-    return got.where("method = 'als'").select("customer_id", "feature", sure.alias("sure"))
+    by_rule = F.col("method") == "rule"
+    return got.select(
+        "customer_id", "feature", "method", F.when(by_rule, F.col("value")).alias("answer"),
+        F.when(by_rule, F.col("confidence")).alias("rule_confidence"), sure.alias("sure"),
+    )
 
 
 @query(
