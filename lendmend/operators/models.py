@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lendmend.functions import metrics as M
@@ -95,14 +96,43 @@ def combined_weight(
     return df.withColumn(out, own * quality), fn_cost * ratio / fp_cost
 
 
+def stratified_folds(
+    df: DataFrame, label: str, key: str = "customer_id", folds: int = 5, seed: int = 7, buckets: int = 1024, out: str = "fold"
+) -> DataFrame:
+    """Adds the fold of each row, from 0: every class is dealt evenly, to within one row.
+
+    Rows of a class are dealt in turn in the order of a hash of their key. They are numbered inside
+    ranges of that hash, which hold about the same number of rows; a range starts where the one before
+    ended, so no task holds a class.
+    """
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    rows = df.withColumns({"_draw": draw, "_range": F.floor(draw / ((1 << 40) / buckets)).cast("int")})
+    sizes = rows.groupBy(F.col(label).alias("_class"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``buckets`` rows for each class.
+    before = W.partitionBy("_class").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_class", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(W.partitionBy(label, "_range").orderBy("_draw", key)) - 1
+    same = F.col(label).eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_r"))
+    dealt = rows.withColumn("_nth", nth).join(F.broadcast(starts), same)
+    return dealt.withColumn(out, ((F.col("_start") + F.col("_nth")) % folds).cast("int")).drop("_draw", "_range", "_class", "_r", "_start", "_nth")
+
+
 def cross_validate(
-    est, train: DataFrame, grid, label: str, folds: int = 5, parallelism: int = 4, seed: int = 7
+    est, train: DataFrame, grid, label: str, folds: int = 5, parallelism: int = 4, seed: int = 7,
+    key: str | None = None, weight_col: str | None = None,
 ) -> CrossValidatorModel:
+    """AUC of every setting over folds. With ``key`` the folds are stratified by class (``stratified_folds``);
+    ``weight_col`` weighs the rows that are judged; give it to the learner as well for the fit."""
     evaluator = BinaryClassificationEvaluator(labelCol=label)
-    return CrossValidator(
+    if weight_col is not None:
+        evaluator = evaluator.setWeightCol(weight_col)
+    cv = CrossValidator(
         estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
         parallelism=parallelism, seed=seed,
-    ).fit(train)
+    )
+    if key is not None:
+        train, cv = stratified_folds(train, label, key, folds, seed), cv.setFoldCol("fold")
+    return cv.fit(train)
 
 
 def _pos_neg(label: str) -> dict[str, Column]:

@@ -6,6 +6,8 @@ import importlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -83,22 +85,38 @@ def with_quarter(df: DataFrame, date_col: str) -> DataFrame:
     return df.withColumns({"year": F.year(date_col), "quarter": F.quarter(date_col)})
 
 
-def partitioned_table(df: DataFrame, date_col: str, path: str, files_per_quarter: int = 1) -> str:
-    """Parquet by year and quarter.
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    Rows are spread by (year, quarter, hash of the row) first, so every partition gets about
-    ``files_per_quarter`` files and a quarter holding a third of all rows does not land in one
-    task; raise it with the volume.
+
+def partitioned_table(
+    df: DataFrame, date_col: str, path: str, target_bytes: int = 128 << 20, files_per_quarter: int | None = None
+) -> str:
+    """Parquet by year and quarter, in files of about ``target_bytes`` of shuffled rows.
+
+    Spark counts the bytes of every quarter while they are shuffled, and cuts a large one into several
+    tasks and files by itself: a quarter with a third of all rows lands in no single task, and a small
+    one is one file. ``files_per_quarter`` fixes the number instead, by a hash of the row.
     """
     out = with_quarter(df, date_col)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_quarter))
-    (
-        out.repartition("year", "quarter", salt)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year", "quarter")
-        .parquet(path)
-    )
+    if files_per_quarter is None:
+        out = out.sparkSession.sql("SELECT /*+ REBALANCE(year, quarter) */ * FROM {rows}", rows=out)
+    else:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_quarter))
+        out = out.repartition("year", "quarter", salt)
+    with _setting(df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes)):
+        (
+            out.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("year", "quarter")
+            .parquet(path)
+        )
     return path
 
 

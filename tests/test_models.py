@@ -87,6 +87,27 @@ def test_forest_and_cross_validation(spark, fitted):
     assert max(cv.avgMetrics) > 0.75
 
 
+def test_folds_hold_the_class_share(spark, fitted):
+    train, _, imputer, _, _ = fitted
+    rows = models.stratified_folds(train, "loan_default", folds=3, buckets=16).cache()
+    assert rows.columns == [*train.columns, "fold"] and rows.count() == train.count()
+    for y in (0, 1):
+        sizes = [r["count"] for r in rows.where(F.col("loan_default") == y).groupBy("fold").count().collect()]
+        assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
+    again = models.stratified_folds(train.repartition(5), "loan_default", folds=3, buckets=16)
+    assert rows.select("customer_id", "fold").exceptAll(again.select("customer_id", "fold")).isEmpty()
+
+    data = models.class_weight(imputer.transform(train), "loan_default").cache()
+    learner = models.default_model(depth=2, rounds=3, kind="forest", weight_col="class_weight")
+    est = Pipeline(stages=[models.assembler(imputer.output_cols), learner])
+    grid = ParamGridBuilder().addGrid(learner.maxDepth, [2]).build()
+    cv = models.cross_validate(est, data, grid, "loan_default", folds=3, key="customer_id", weight_col="class_weight")
+    folded = models.stratified_folds(data, "loan_default", folds=3).cache()
+    judge = BinaryClassificationEvaluator(labelCol="loan_default", weightCol="class_weight")
+    by_hand = [judge.evaluate(est.fit(folded.where(F.col("fold") != f)).transform(folded.where(F.col("fold") == f))) for f in range(3)]
+    assert cv.avgMetrics[0] == pytest.approx(sum(by_hand) / 3, abs=0.02) and cv.avgMetrics[0] > 0.7
+
+
 def test_imputer_flags(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "a double, b double")
     model = encode.impute_with_flags(["a", "b"]).fit(df)

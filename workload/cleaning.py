@@ -11,6 +11,7 @@ from lendmend.operators import combine as J
 from lendmend.operators.keyed import latest_per_key
 from lendmend.plans.reports import as_json
 from lendmend.sources import landing, relational, zones
+from lendmend.sources.zones import shared_dir, written
 from workload.base import query
 
 DICTIONARY = {"customer_id": "bigint", "age": "int", "amount": "double", "work_type": "string"}
@@ -93,7 +94,7 @@ def incremental_upsert(d):
 )
 def spooled_files(d):
     """Orders land as CSV files and are picked up by the spooling stream, each row once."""
-    root = f"{zones.shared_dir(d.spark)}/spool-{uuid4().hex}"
+    root = f"{shared_dir(d.spark)}/spool-{uuid4().hex}"
     names = {"o_orderkey": "loan_id", "o_custkey": "customer_id", "o_orderstatus": "product"}
     d.orders.select(*names).write.option("header", True).csv(f"{root}/landing")
     spooled = landing.spool_csv(d.spark, f"{root}/landing", list(names), names)
@@ -114,7 +115,7 @@ def spooled_files(d):
 )
 def zone_partitions(d):
     """A second write replaces only the partitions it brings."""
-    root = f"{zones.shared_dir(d.spark)}/zones-{uuid4().hex}"
+    root = f"{shared_dir(d.spark)}/zones-{uuid4().hex}"
     rows = d.loans.select("loan_id", "disbursed_amount", "product")
     zones.zone_write(rows, root, "cleaned", "loans", ["product"])
     newer = rows.where("product = 'F'").withColumn("disbursed_amount", F.col("disbursed_amount") + 1)
@@ -122,6 +123,26 @@ def zone_partitions(d):
     return zones.zone_read(d.spark, root, "cleaned", "loans").select("loan_id", "product", "disbursed_amount")
 
 
+@query(
+    "S8",
+    """SELECT b.customer_id, b.area_id, count(*) AS loans, true AS no_shuffle FROM {loans} l
+       JOIN {customer_base} b ON b.customer_id = l.customer_id GROUP BY 1, 2""",
+)
+def bucketed_join(d):
+    """Loans and customers in buckets by customer: joined and counted without a shuffle."""
+    root, mark = f"{shared_dir(d.spark)}/bucketed-{uuid4().hex}", uuid4().hex[:12]
+    loans = zones.cluster_by_key(d.loans, f"loans_{mark}", buckets=8, path=f"{root}/loans")
+    people = zones.cluster_by_key(d.customer_base, f"people_{mark}", sort="area_id", buckets=8, path=f"{root}/people")
+    people_rows = d.spark.table(people).select("customer_id", "area_id")
+    joined = d.spark.table(loans).select("customer_id").hint("merge").join(people_rows, "customer_id")
+    counted = joined.groupBy("customer_id", "area_id").agg(F.count(F.lit(1)).alias("loans"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    out = written(counted.withColumn("no_shuffle", F.lit("Exchange" not in plan)), "bucketed")
+    for table in (loans, people):
+        d.spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 @query(
     "S7",
     """
@@ -133,7 +154,7 @@ def zone_partitions(d):
 )
 def year_quarter_table(d):
     path = zones.partitioned_table(
-        d.loans, "disbursed_date", f"{zones.shared_dir(d.spark)}/loans_by_quarter"
+        d.loans, "disbursed_date", f"{shared_dir(d.spark)}/loans_by_quarter"
     )
     part = zones.between_dates(
         d.spark.read.parquet(path), "disbursed_date", "1996-11-15", "1998-02-10"
@@ -224,7 +245,7 @@ def _split(d):
 )
 def quarantine_split(d):
     good, bad = _split(d)
-    path = f"{zones.shared_dir(d.spark)}/quarantine-{d.spark.sparkContext.applicationId}"
+    path = f"{shared_dir(d.spark)}/quarantine-{d.spark.sparkContext.applicationId}"
     from uuid import uuid4
 
     path = zones.quarantine_sink(bad, f"{path}-{uuid4().hex}")
