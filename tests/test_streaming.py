@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lendmend.operators import encode, models, repair
 from lendmend.sources.messages import application_stream, once_per_application
-from lendmend.streaming import decisions, monitoring
+from lendmend.streaming import decisions, heatmap, monitoring
 from workload import planted
 
 X = ["x1", "x2", "x3"]
@@ -184,6 +184,30 @@ def test_a_jump_against_the_batches_before_alerts_once(spark, tmp_path):
     assert first == {"default_rate": None, "mean_amount": None}
 
 
+def test_heat_map_follows_event_time(spark, tmp_path):
+    """A late application changes its hour's row; one beyond the delay does not; a repeated batch changes nothing."""
+    schema = "apply_time timestamp, area_id int, risky boolean"
+    told = lambda: {(r["h"], r["area_id"]): (r["applications"], r["bad"], r["heat"]) for r in spark.read.parquet(f"{tmp_path}/heat").select("*", F.date_format("hour", "dd HH").alias("h")).collect()}
+
+    def deliver(rows):
+        spark.createDataFrame([(f"2024-01-{t}:00", a, b) for t, a, b in rows], "t string, area_id int, risky boolean").select(
+            F.col("t").cast("timestamp").alias("apply_time"), "area_id", "risky"
+        ).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        heatmap.run_heat(heatmap.hourly_heat(stream, delay="3 hours"), f"{tmp_path}/heat", f"{tmp_path}/mark", every=None).awaitTermination()
+
+    deliver([("01 08:10", 1, False), ("01 08:20", 1, False), ("01 09:05", 2, True), ("01 09:30", None, False)])
+    assert told() == {("01 08", 1): (2, 0, "green"), ("01 09", 2): (1, 1, "red"), ("01 09", None): (1, 0, "green")}
+    deliver([("01 08:50", 1, True), ("01 10:00", 1, False)])  # two hours behind
+    assert told()["01 08", 1] == (3, 1, "red") and len(told()) == 4
+    deliver([("02 10:00", 3, False)])
+    deliver([("01 08:55", 1, True), ("02 09:59", 3, False)])  # a day behind, and a minute
+    assert told()["01 08", 1] == (3, 1, "red") and told()["02 09", 3] == (1, 0, "green")
+    before = told()
+    heatmap.upsert_hours(f"{tmp_path}/heat")(spark.read.parquet(f"{tmp_path}/heat").drop("hour_key").where("area_id = 1"), 7)
+    assert told() == before
+
+
 def test_parity_finds_a_difference(spark):
     a = spark.createDataFrame([("a", 0.1, 600.0), ("b", 0.2, 500.0)], "application_id string, p double, score double")
     b = spark.createDataFrame([("a", 0.1, 600.0), ("c", 0.2, 500.0)], "application_id string, p double, score double")

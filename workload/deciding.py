@@ -16,7 +16,7 @@ from lendmend.operators import boost, clean, encode, explain, features, models,
 from lendmend.schema import FraudRules
 from lendmend.sources import messages
 from lendmend.sources.zones import ModelStore, shared_dir, written
-from lendmend.streaming import decisions, monitoring
+from lendmend.streaming import decisions, heatmap, monitoring
 from workload.base import AS_OF, query
 from workload.joining import loan_events
 from workload.reporting import AUC_SQL, SCORE_SQL, graded
@@ -859,6 +859,35 @@ def live_repairs(d):
     )
 
 
+HEAT = """SELECT CAST(e.ts AS TIMESTAMP) AS apply_time, c.c_nationkey AS area_id, e.value > 90 AS risky, e.event_id
+    FROM {events} e JOIN {customer} c ON c.c_custkey = e.user_id"""
+
+
+@query(
+    "T5",
+    f"""SELECT strftime(date_trunc('hour', apply_time), '%Y-%m-%d %H') AS hour, area_id, count(*) AS applications,
+              count(*) FILTER (WHERE risky) AS bad, avg(risky::INT) AS bad_rate,
+              CASE WHEN avg(risky::INT) >= 0.10 THEN 'red' WHEN avg(risky::INT) >= 0.05 THEN 'yellow' ELSE 'green' END AS heat
+       FROM ({HEAT}) h GROUP BY 1, 2""",
+    r6="bad_rate",
+)
+def streamed_heat_map(d):
+    """The heat map by hour of event time, from a stream: each delivery is a stretch of days, and one
+    application in seven comes with the delivery after its own."""
+    root = f"{shared_dir(d.spark)}/heat-{uuid4().hex}"
+    rows = written(d.spark.sql(HEAT, events=d.events, customer=d.customer), "heat-rows")
+    first, last = rows.agg(F.min("apply_time").cast("double"), F.max("apply_time").cast("double")).first()
+    third = F.floor((F.col("apply_time").cast("double") - first) / ((last - first) / 3 + 1)).cast("int")
+    rows = rows.withColumn("wave", third + (F.col("event_id") % 7 == 0).cast("int"))
+    delay = f"{int((last - first) / 3) + 3600} seconds"
+    for wave in range(4):
+        rows.where(F.col("wave") == wave).drop("wave", "event_id").write.mode("append").parquet(f"{root}/in")
+        stream = d.spark.readStream.schema(rows.drop("wave", "event_id").schema).parquet(f"{root}/in")
+        heatmap.run_heat(heatmap.hourly_heat(stream, delay=delay), f"{root}/heat", f"{root}/mark", every=None).awaitTermination()
+    got = d.spark.read.parquet(f"{root}/heat")
+    return got.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "area_id", "applications", "bad", "bad_rate", "heat")
+
+
 JUMP_BATCH, BATCHES = 8, 12
 WATCHED = f"""SELECT customer_id % {BATCHES} AS batch, CASE WHEN customer_id % {BATCHES} = {JUMP_BATCH} THEN p + 0.25 ELSE p END AS p,
     CAST(customer_id AS DOUBLE) AS suggested_amount FROM {{scored}}"""
