@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lendmend.functions.scorecard import score
 from lendmend.operators import customers as K
-from lendmend.operators import boost, clean, encode, explain, features, models, repair
+from lendmend.operators import boost, clean, encode, explain, features, models, repair, sketches
+from lendmend.operators.ranked import share_cuts
 from lendmend.schema import FraudRules
 from lendmend.sources import messages
 from lendmend.sources.zones import ModelStore, shared_dir, written
@@ -859,6 +860,25 @@ def live_repairs(d):
     )
 
 
+@query("W6 A8 T6", "SELECT count(*) AS customers, count(p) AS sketched, true AS low_within, true AS mid_within FROM {scored}")
+def sketched_tiers(d):
+    """Tiers from twelve merged sketches: each cut-off parts the customers as the exact one does, but for the
+    stated rank error and the customers of one value."""
+    rows = written(d.scored.select("customer_id", "p"), "scored")
+    parts = written(sketches.score_sketches(rows, F.col("customer_id") % 12), "sketches")
+    exact = share_cuts(rows, "p", [0.7, 0.9])
+    told = sketches.sketched_cuts(parts)
+    ties = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    bound = F.lit(sketches.rank_error()) * F.count("p") + F.lit(ties)
+    under = lambda cut: F.count_if(F.col("p") <= F.lit(cut))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("customers"),
+        *[(F.abs(under(a) - under(b)) <= bound).alias(f"{n}_within") for n, a, b in zip(("low", "mid"), told, exact, strict=True)],
+    )
+    total = parts.agg(F.sum("rows").alias("sketched"))
+    return out.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 HEAT = """SELECT CAST(e.ts AS TIMESTAMP) AS apply_time, c.c_nationkey AS area_id, e.value > 90 AS risky, e.event_id
     FROM {events} e JOIN {customer} c ON c.c_custkey = e.user_id"""
 
