@@ -11,6 +11,7 @@ from lendmend.operators import combine as J
 from lendmend.operators.keyed import latest_per_key
 from lendmend.plans.reports import as_json
 from lendmend.sources import landing, relational, zones
+from lendmend.sources.sync import Sync
 from lendmend.sources.zones import shared_dir, written
 from workload.base import query
 
@@ -123,6 +124,24 @@ def zone_partitions(d):
     return zones.zone_read(d.spark, root, "cleaned", "loans").select("loan_id", "product", "disbursed_amount")
 
 
+@query(
+    "S5 U3",
+    """SELECT loan_id, CASE WHEN loan_id % 50 = 1 THEN disbursed_amount + 1 ELSE disbursed_amount END AS disbursed_amount FROM {loans}""",
+    r2="disbursed_amount",
+)
+def synced_loans(d):
+    """Loans followed in three increments: the early ones, all with some changed since, and the same again."""
+    copy = Sync(f"{shared_dir(d.spark)}/sync-{uuid4().hex}", "loan_id", "changed")
+    rows = d.loans.select("loan_id", "disbursed_amount", F.col("disbursed_date").alias("changed"))
+    newer = rows.where("loan_id % 50 = 1").select(
+        "loan_id", (F.col("disbursed_amount") + 1).alias("disbursed_amount"), F.lit("2010-01-01").cast(rows.schema["changed"].dataType).alias("changed")
+    )
+    copy.run(rows.where("changed < '1996-01-01'"))
+    copy.run(rows.unionByName(newer))
+    copy.run(rows.unionByName(newer))
+    return copy.read(d.spark).select("loan_id", "disbursed_amount")
+
+
 @query(
     "S8",
     """SELECT b.customer_id, b.area_id, count(*) AS loans, true AS no_shuffle FROM {loans} l
