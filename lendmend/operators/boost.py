@@ -172,12 +172,12 @@ def _sums(
         columns = [np.r_[used, -1], np.r_[total[0][used], held[0]], np.r_[total[1][used], held[1]]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "g", "h"])
 
-    found = rows.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    found = rows.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
     out = np.zeros((2, nodes * width * bins_n))
-    cells = found[found.cell >= 0]
-    out[0, cells.cell], out[1, cells.cell] = cells.g / UNIT, cells.h / UNIT
-    held = found[found.cell < 0]
-    mean = float(held.g.iloc[0] / held.h.iloc[0]) if len(held) and held.h.iloc[0] else None
+    cell, sum_g, sum_h = (found[c].to_numpy() for c in ("cell", "g", "h"))
+    mine, held = cell >= 0, cell < 0
+    out[0, cell[mine]], out[1, cell[mine]] = sum_g[mine] / UNIT, sum_h[mine] / UNIT
+    mean = float(sum_g[held][0] / sum_h[held][0]) if held.any() and sum_h[held][0] else None
     shape = (nodes, width, bins_n)
     return out[0].reshape(shape), out[1].reshape(shape), mean
 
