@@ -19,14 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import written
+from lendmend.llm.common import batches_of, mark, remove, since, written
 
 LENGTH = 200
 REACH = 144  # positions among which a string picks; LENGTH - REACH + 1 bytes follow at least
-HOT = 200_000  # occurrences above which a first part is dealt by string position too
-GROUP_BYTES = 32_000_000  # of suffixes aimed at in one merge group
-RUN_BYTES = 24_000_000  # of suffixes sorted in one run
+HOT = 20_000  # occurrences above which a first part is dealt by string position too
+GROUP_BYTES = 16_000_000  # of suffixes aimed at in one merge group
+RUN_BYTES = 12_000_000  # of suffixes sorted in one run
 CHUNK = 8192  # suffixes compared at once after merging
+BATCH = 1000  # rows with whole texts that are handed to Python at once
 PLACE = np.uint64((1 << 28) - 1)
 PIECE = 1 << 27
 
@@ -173,33 +174,39 @@ def repeated(prefix, near, far, count, lefts, length: int, reach: int) -> tuple[
     left = np.zeros((n, reach), np.uint8)
     sizes = np.fromiter(map(len, lefts), np.int64, n)
     left[np.arange(reach) < sizes[:, None]] = np.frombuffer(b"".join(lefts), np.uint8)
-    hashed, keys = np.full(n, 0x51ED270B, np.uint64), np.empty((n, reach), np.uint64)
-    for d in range(reach):
-        right = np.cumsum(prefix < length - d).astype(np.uint64)
-        key = (hashed ^ (right * np.uint64(0x9E3779B97F4A7C15))) + np.uint64((d + 1) * 0xD6E8FEB86659FD93 & 2**64 - 1)
-        key ^= key >> np.uint64(32)
-        key *= np.uint64(0xBF58476D1CE4E5B9)
-        keys[:, d] = key ^ (key >> np.uint64(29))
+    hashed = np.full(n, 0x51ED270B, np.uint64)
+    hit = np.zeros((n, reach + 2), bool)
+    for d in range(reach):  # one distance after the other, so that only ``hit`` has a cell for each
+        rows = np.flatnonzero((near <= d) & (d <= far))
+        if len(rows):
+            right = np.cumsum(prefix < length - d)[rows]
+            key = hashed[rows] ^ (right.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            key ^= key >> np.uint64(32)
+            key *= np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+            hit[rows, d + 1] = _twice(key, right, left[:, :d], rows) | (count[rows] > 1)
         hashed = (hashed + left[:, d] + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
         hashed ^= hashed >> np.uint64(31)
-    d = np.arange(reach)
-    valid = (d >= near[:, None]) & (d <= far[:, None])
-    flat = np.flatnonzero(valid)
-    values = keys.ravel()[flat]
-    order = np.argsort(values)
-    same = values[order][1:] == values[order][:-1]
-    twice = np.zeros(len(flat), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    hit = np.zeros((n, reach + 2), bool)
-    body = np.zeros(n * reach, bool)
-    body[flat[twice]] = True
-    hit[:, 1:-1] = body.reshape(n, reach) | (valid & (count > 1)[:, None])
     starts = np.argwhere(hit[:, 1:] & ~hit[:, :-1])
     ends = np.argwhere(~hit[:, 1:] & hit[:, :-1])
     return starts[:, 0], starts[:, 1], ends[:, 1] - 1
 
 
+def _twice(key: np.ndarray, right: np.ndarray, left: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of ``rows`` have the right group and the left bytes of another one; keys only bring them together."""
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    a, b = order[same], order[same + 1]
+    equal = (right[a] == right[b]) & (left[rows[a]] == left[rows[b]]).all(axis=1)
+    out = np.zeros(len(rows), bool)
+    if equal.all():
+        out[a] = out[b] = True
+        return out
+    exact = np.concatenate([right.astype(">i8").view(np.uint8).reshape(len(rows), 8), left[rows]], axis=1)
+    _, group, n = np.unique(exact, axis=0, return_inverse=True, return_counts=True)
+    return n[group.ravel()] > 1
+
+
 _RUNS = "run long, bucket int, entries binary, prefix binary, sizes binary, rest binary, left_prefix binary, left_sizes binary, left_rest binary, ranges binary, places binary"
 
 
@@ -317,7 +324,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH, ho
     occurrences = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-occurrences * length // GROUP_BYTES))
     given = rows.join(shared.hint("merge"), "row").select("row", "text", "picks")
-    runs = written(given.mapInArrow(_sorted_runs(length, reach, buckets, hot), _RUNS), "suffix-runs")
+    runs = written(given.mapInArrow(_sorted_runs(length, reach, buckets, hot), _RUNS), "suffix-runs", compression="zstd")
     dealt = runs.where("bucket >= 0").drop("places")
     found = dealt.groupBy("bucket").applyInArrow(_merge_runs(length, reach), "run long, entry long, low long, high long")
     places = runs.where("bucket < 0").select("run", "places").mapInArrow(_places, "run long, entry long, row long, at long")
@@ -360,7 +367,10 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.col(id_col).alias("id")
     )
     rows = written(rows, "rows", compression="zstd")
-    spans = written(repeated_spans(rows.select("row", "text"), length, reach, hot), "spans")
+    begin = mark()
+    with batches_of(docs.sparkSession, BATCH):
+        spans = written(repeated_spans(rows.select("row", "text"), length, reach, hot), "spans")
+    remove(docs.sparkSession, since(begin)[:-1])
     joined = rows.join(spans.hint("merge"), "row", "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
     kind = joined.schema["id"].dataType.simpleString()
     return joined.mapInArrow(_without, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lendmend.llm import queries, suffix_dedup
@@ -92,3 +93,15 @@ def test_merge_groups_grow_with_the_repeated_suffixes(spark, docs, monkeypatch):
     got = suffix_dedup.drop_repeated_bytes(docs([(1, text), (2, text), (3, "lone")])).collect()
     assert {r.id: r.n_removed for r in got} == {1: len(text), 2: len(text), 3: 0}
     assert asked[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_equal_keys_of_unlike_strings_do_not_count():
+    """Keys only bring strings together; their bytes decide."""
+    right = np.array([1, 1, 1, 2, 3, 3])
+    left = np.array([[1, 2], [1, 3], [1, 2], [1, 2], [5, 5], [5, 5]], np.uint8)
+    rows = np.arange(6)
+    want = [True, False, True, False, True, True]
+    assert suffix_dedup._twice(np.zeros(6, np.uint64), right, left, rows).tolist() == want
+    own = np.array([7, 8, 7, 9, 4, 4], np.uint64)
+    assert suffix_dedup._twice(own, right, left, rows).tolist() == want
+    assert suffix_dedup._twice(own[:0], right[:0], left, rows[:0]).tolist() == []
