@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import batches_of, components, local_roots, numbered, written
+from lendmend.llm.common import batches_of, components, local_roots, mark, numbered, remove, since, written
 
 RADIUS = 4
 BUCKET = 500_000  # variants aimed at in one bucket
@@ -184,6 +184,8 @@ SIMILARITY = 0.8  # least Jaccard similarity of the shingle sets of near copies
 COUNTED = 5_000  # texts whose shingles are counted, to put frequent ones last
 FREQUENT = 8  # texts of those that hold a frequent shingle
 BINS = 128  # counts of a text's shingles by hash, which bound what two texts share
+FULL = 255  # largest count that a bin holds
+BATCH = 128  # rows with whole texts, or pairs with whole shingle sets, that are handed to Python at once
 CENTRES = 16  # members of a bucket that the others are compared with; as many times more each round
 
 
@@ -218,7 +220,7 @@ def _prefixes(size: int, least: float, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in batches:
-            tokens, sizes, bins = [], [], []
+            tokens, sizes, bins = [], [], []  # tokens in the order, so that a place is a position
             for x in batch.column("text"):
                 own = np.unique(shingle_hashes(x.as_py() or b"", size))
                 weight = np.zeros(len(own), np.int64)
@@ -228,7 +230,8 @@ def _prefixes(size: int, least: float, shared):
                 first = np.lexsort((own, weight))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
                 tokens.append(own[first].view(np.int64))
                 sizes.append(len(own))
-                bins.append(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
+                counted = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                bins.append(np.minimum(counted, FULL).astype(np.uint8).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), lists], ["row", "size", "bins", "tokens"])
@@ -237,13 +240,14 @@ def _prefixes(size: int, least: float, shared):
 
 
 def _possible(least: float):
-    """Pairs that their counts do not rule out: a bin's lesser count bounds what is shared there."""
+    """Pairs that their counts do not rule out: a bin's lesser count bounds what is shared there. Texts with a full bin stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS).astype(np.int64) for c in "xy")
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for c in "xy")
             both = np.minimum(x, y).sum(axis=1)
             keep = both >= least * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9
+            keep |= (np.maximum(x, y) == FULL).any(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -278,12 +282,13 @@ def _prefix_rows(given: DataFrame, sketched: DataFrame, texts: DataFrame, size:
 
 
 def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar enough; written."""
+    """Those of the pairs (a, b) whose shingle sets are similar enough; written, and all copies on the way deleted."""
+    begin = mark()
     pairs = written(pairs.distinct(), "met")
     counted = pairs.join(prefixes.select(F.col("row").alias("a"), F.col("bins").alias("x")), "a").join(
         prefixes.select(F.col("row").alias("b"), F.col("bins").alias("y")), "b"
     )
-    pairs = written(counted.select("a", "b", "x", "y").mapInArrow(_possible(similarity), "a long, b long"), "proposals")
+    pairs = _instead(begin, counted.select("a", "b", "x", "y").mapInArrow(_possible(similarity), "a long, b long"), "proposals")
     asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     asked = written(asked, "asked")  # of known size, so that few are broadcast
     sets = given.select("row", "text").join(asked, "row", "left_semi").mapInArrow(_shingle_sets(size), "row long, shingles binary")
@@ -291,7 +296,15 @@ def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int
     met = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
     )
-    return written(met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    return _instead(begin, met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
+
+
+def _instead(begin: int, df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, and every copy made since ``begin`` deleted."""
+    old = since(begin)
+    out = written(df, label)
+    remove(df.sparkSession, old)
+    return out
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, row_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -301,6 +314,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     centre. Buckets whose members are not all linked by then go on with more centres, chosen by
     hash, until all are linked or each member has been a centre: so each pair of a bucket is either
     compared or linked over others, and a bucket of near copies costs one pair for each.
+
+    No pair is made whose sizes rule it out, or the places of the shingle: what two texts share from
+    it on cannot be more than either has left, and where they share an earlier one as well, they meet
+    in that one's bucket.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(
@@ -311,38 +328,47 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     texts = sketched.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"))
     texts = written(texts.select("same", "first", F.col("first.row").alias("lead")), "texts")
     prefixes = _prefix_rows(given, sketched, texts, size, similarity)
-    tokens = prefixes.select(F.explode("tokens").alias("token"), F.col("row").alias("lead"), "size")
+    tokens = prefixes.select(F.posexplode("tokens").alias("place", "token"), F.col("row").alias("lead"), "size")
+    tokens = tokens.select("token", "lead", "size", "place")
 
     def fits(a: str, b: str):
-        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+        """Whether texts that share a shingle can be similar, by the columns size and place of each."""
+        x, y, i, j = (F.col(f"{c}{end}") for c in ("size", "place") for end in (a, b))
+        shared = F.least(x - i, y - j)
+        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (shared >= similarity * (x + y - shared) - 1e-9)
 
     def ordered(a: str, b: str):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    met = tokens.groupBy("token").agg(
-        F.count("*").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high")
-    )
-    met = written(met.where("n > 1"), "shared-shingles")
-    two = met.where("n = 2").select(*ordered("low", "high"))
-    more = met.where("n > 2").select("token", "n", F.col("low").alias("centre"))
+    member = F.struct("lead", "size", "place")
+    met = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high"))
+    ends = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in ("low", "high") for c in ("lead", "size", "place")]
+    begin = mark()
+    met = written(met.where("n > 1").select("token", "n", *ends), "shared-shingles", compression="zstd")
+    shared = since(begin)
+    two = met.where("n = 2").where(fits("_low", "_high")).select(*ordered("lead_low", "lead_high"))
+    more = met.where("n > 2").select("token", "n", *[c for c in met.columns if c.endswith("_low")])
     # ``turn`` says how many centres there have to be until a member is one.
     turn = F.shiftrightunsigned(F.xxhash64("lead"), 11) * F.lit(2.0**-53) * F.col("n")
-    buckets = written(tokens.join(more, "token").withColumn("turn", turn), "buckets")
-    stars = buckets.where("lead <> centre").select(*ordered("lead", "centre"))
+    buckets = written(tokens.join(more, "token").withColumn("turn", turn), "buckets", compression="zstd")
+    stars = buckets.where("lead <> lead_low").where(fits("", "_low")).select(*ordered("lead", "lead_low"))
     links = _verified(given, prefixes, two.unionByName(stars), size, similarity)
-    buckets = buckets.drop("centre")
+    remove(given.sparkSession, shared)
+    buckets = buckets.select("token", "n", "lead", "size", "place", "turn")
     before, until = 0, CENTRES
     while True:
+        begin = mark()
         roots = components(links)
+        remove(given.sparkSession, since(begin)[:-1])
         rooted = buckets.join(roots, buckets.lead == roots.node, "left").select(*buckets.columns, F.coalesce("root", "lead").alias("root"))
         rooted = written(rooted, "rooted")
         open_ = rooted.where(F.col("n") > before).groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         open_ = written(open_.where("low <> high").select("token"), "open-buckets")
         if open_.isEmpty():
             return sketched, texts, roots
-        rooted = written(rooted.join(open_, "token", "left_semi").where(F.col("turn") >= before), "rooted")
-        new = rooted.where(F.col("turn") < until).select("token", *[F.col(c).alias(f"{c}_b") for c in ("lead", "size", "root")])
-        pairs = rooted.join(new, "token").where("root <> root_b").where(fits("size", "size_b")).select(*ordered("lead", "lead_b"))
+        rooted = _instead(begin, rooted.join(open_, "token", "left_semi").where(F.col("turn") >= before), "rooted")
+        new = rooted.where(F.col("turn") < until).select("token", *[F.col(c).alias(f"{c}_b") for c in ("lead", "size", "place", "root")])
+        pairs = rooted.join(new, "token").where("root <> root_b").where(fits("", "_b")).select(*ordered("lead", "lead_b"))
         links = links.unionByName(_verified(given, prefixes, pairs, size, similarity))
         buckets = rooted.drop("root")
         before, until = until, until * CENTRES
@@ -367,7 +393,7 @@ def near_duplicates(
     """
     if row_col is None:
         docs, row_col = numbered(docs.select(*dict.fromkeys([id_col, text_col]))), "__row"
-    with batches_of(docs.sparkSession, 1000):
+    with batches_of(docs.sparkSession, BATCH):
         sketched, texts, roots = _linked(docs, id_col, text_col, size, similarity, row_col)
     grouped = texts.join(roots, texts.lead == roots.node, "left").select("same", "first", F.coalesce("root", "lead").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
