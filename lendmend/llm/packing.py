@@ -21,15 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import gathered, slices, taken, written
+from lendmend.llm.common import batches_of, gathered, slices, taken, written
 
 WINDOW = 2048
 END = 1  # id that ends every document
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75  # usual BM25 constants
 SPACE, LETTER, NUMBER, OTHER = range(4)
-CACHED = 250_000  # words of a generation whose ids a worker remembers
-SLICE = 8 << 20  # bytes of text coded at once
+CACHED = 200_000  # words of a generation whose ids a worker remembers
+SLICE = 4 << 20  # bytes of text coded at once
+BATCH = 1000  # rows with whole texts that are handed to Python at once
 
 #: Fixed pattern of the word tokenizer's pre-tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -377,7 +378,8 @@ def pack(
     spark = docs.sparkSession
     kind = kind_of(path)
     width = np.dtype(kind).itemsize
-    tokens = written(tokenized(docs, id_col, text_col, path, kind), "tokens")
+    with batches_of(spark, BATCH):
+        tokens = written(tokenized(docs, id_col, text_col, path, kind), "tokens")
     n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens") / width), F.lit(0)).cast("long")).first()
     df = document_frequencies(tokens, kind)
     idf = np.maximum(0, np.log((n_docs - df + 0.5) / (df + 0.5)))
