@@ -15,7 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,20 @@ def picked(data: bytes, length: int = LENGTH, reach: int = REACH) -> tuple[np.nd
     return tuple(np.concatenate(found, axis=1))
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, text) with the text's size and its compressed bytes, as they are stored and shuffled twice."""
+    pack = zstandard.ZstdCompressor().compress
+    for batch in batches:
+        texts = batch.column(2)
+        packed = pa.array([pack(x.as_buffer()) for x in texts], pa.binary())
+        size = pc.binary_length(texts).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], size, packed], ["row", "id", "n_bytes", "text"])
+
+
+def _text(packed: pa.Scalar) -> bytes:
+    return zstandard.decompress(packed.as_py())
+
+
 def _picks(length: int, reach: int):
     sure = length - reach + 1
 
@@ -68,7 +84,7 @@ def _picks(length: int, reach: int):
         for batch in batches:
             columns = [[], [], [], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = text.as_py() or b""
+                data = _text(text)
                 at, first, last = picked(data, length, reach)
                 if len(at):
                     head = [xxhash.xxh64_intdigest(data[p : p + sure]) - (1 << 63) for p in at.tolist()]
@@ -222,7 +238,7 @@ def _sorted_runs(length: int, reach: int, buckets: int, hot: int):
         size = 0
         for batch in batches:
             for x in range(batch.num_rows):
-                row, data, picks = (batch.column(i)[x].as_py() for i in range(3))
+                row, data, picks = batch.column(0)[x].as_py(), _text(batch.column(1)[x]), batch.column(2)[x].as_py()
                 for p in picks:
                     at, near, far = p["at"], p["near"], p["far"]
                     key = data[at : at + length - near], data[at - far : at][::-1], near, far, p["head"], p["n"] > hot
@@ -312,7 +328,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, reach: int = REACH, hot: int = HOT) -> DataFrame:
-    """(row, spans): byte ranges of (row, text binary) that repeated strings cover, not yet merged."""
+    """(row, spans): byte ranges that repeated strings cover, not yet merged, of rows (row, text) as ``_compressed`` gives them."""
     if not 8 < reach < length - 8 or length > 255:
         raise ValueError("asks for 8 < reach < length - 8 and length <= 255")
     spark = rows.sparkSession
@@ -338,7 +354,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, runs = [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-            data = text.as_py() or b""
+            data = _text(text)
             gone = np.zeros(len(data) + 2, np.int32)
             for s in spans.as_py() or []:
                 gone[s["start"] + 1] += 1
@@ -363,14 +379,14 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives no rows; other columns are not read. Rows are
     numbered in a written copy, which the later scans read.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), F.col(id_col).alias("id")
-    )
-    rows = written(rows, "rows", compression="zstd")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text)
+    kind = given.schema["id"].dataType.simpleString()
+    with batches_of(docs.sparkSession, BATCH):
+        rows = written(given.mapInArrow(_compressed, f"row long, id {kind}, n_bytes long, text binary"), "rows")
     begin = mark()
     with batches_of(docs.sparkSession, BATCH):
         spans = written(repeated_spans(rows.select("row", "text"), length, reach, hot), "spans")
     remove(docs.sparkSession, since(begin)[:-1])
-    joined = rows.join(spans.hint("merge"), "row", "left").select("id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
-    kind = joined.schema["id"].dataType.simpleString()
+    joined = rows.join(spans.hint("merge"), "row", "left").select("id", "n_bytes", "text", "spans")
     return joined.mapInArrow(_without, f"id {kind}, n_bytes long, kept binary, n_removed long, n_spans long")
