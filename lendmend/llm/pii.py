@@ -2,9 +2,9 @@
 
 Generators propose spans with high recall: four base kinds with fixed patterns, and looser ones
 (obfuscated addresses, phone numbers without a plus, account and identity numbers). Boosted trees
-score every proposal on format and context features; they learn from the base patterns, where
-a checksum or range tells true matches from lookalikes. A threshold calibrated on held-out
-proposals selects the redactions. Base spans always stay.
+score every proposal on format and context features; they learn from all matches of the base
+patterns, where a checksum or range tells true matches from lookalikes, but for a quarter that is
+held out. A threshold calibrated on all of that quarter selects the redactions. Base spans always stay.
 
 The patterns are written so that Java's matcher needs time and stack in proportion to the text:
 possessive quantifiers where nothing can be given back, and look-behinds that keep a match from
@@ -14,8 +14,7 @@ being tried again inside a run of its own characters.
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ LOOSE = {
 }
 KINDS = (*BASE, "account", "identity")
 CONTEXT = 24  # characters before a span that its features see
-SAMPLE = 20_000  # proposals that the trees are fitted on
+CUTS = 32  # places at most where the trees may cut a feature
 PRECISION = 0.95  # asked of the threshold on held-out proposals
 SLICE = 128
 #: Fixed words of the context features.
@@ -151,37 +150,42 @@ def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select("id", "row", F.concat(*[proposal(name, kind) for name, (kind, _, _) in given.items()]).alias("found"))
 
 
-def _scored(rows: DataFrame, sample: int, precision: float) -> DataFrame | None:
+def _cut(known: DataFrame) -> tuple[Column, dict]:
+    """Vector of whether each feature is above each of its cuts, and its metadata.
+
+    The cuts are exact quantiles of all rows: of plain numbers, MLlib would take them from a sample.
+    """
+    of = [F.concat(F.array(F.min(x)), F.percentile(x, [k / CUTS for k in range(1, CUTS)])) for x in (F.col("features")[i] for i in range(len(FEATURES)))]
+    cuts = [sorted(set(values)) for values in known.agg(*[x.alias(n) for x, n in zip(of, FEATURES, strict=True)]).first()]
+    above = F.zip_with("features", F.lit(cuts), lambda x, own: F.transform(own, lambda cut: (x > cut).cast("double")))
+    n = sum(map(len, cuts))
+    return array_to_vector(F.flatten(above)), {"ml_attr": {"attrs": {"binary": [{"idx": i} for i in range(n)]}, "num_attrs": n}}
+
+
+def _scored(rows: DataFrame, precision: float) -> DataFrame | None:
     """Proposals of no base kind that reach the threshold, with their score ``p``; None without a model."""
     known = rows.where("base is not null").select("features", F.col("base").cast("int").alias("label"), F.xxhash64("row", "start", "kind").alias("h"))
-    # A bounded sample by hash, of each label at most half.
-    drawn = written(
-        known.where("label = 1").orderBy("h").limit(sample // 2).unionByName(known.where("label = 0").orderBy("h").limit(sample // 2)),
-        "pii-sample",
-    )
-    seen = {r.label: r.n for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = written(known, "pii-known")
+    seen = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(seen.get(0, 0), seen.get(1, 0)) < 8:
         return None
-    as_columns = lambda df: df.select("*", *[F.col("features")[i].alias(f"f_{n}") for i, n in enumerate(FEATURES)])
-    assemble = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="vector")
-    drawn = assemble.transform(as_columns(drawn))
     held = F.pmod("h", F.lit(4)) == 0
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=8, maxDepth=3, seed=1).fit(drawn.where(~held))
+    vector, binary = _cut(known.where(~held))
+    known = known.withColumn("vector", vector.alias("vector", metadata=binary))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=8, maxDepth=3, seed=1).fit(known.where(~held))
     p = vector_to_array("probability")[1]
-    bins = model.transform(drawn.where(held)).groupBy(F.floor(p * 100).alias("bin")).agg(F.sum("label").alias("hit"), F.count("*").alias("n"))
+    bins = model.transform(known.where(held)).groupBy(F.floor(p * 100).alias("bin")).agg(F.sum("label").alias("hit"), F.count("*").alias("n"))
     hit = total = 0
     threshold = 1.01
     for r in sorted(bins.collect(), key=lambda r: -r.bin):  # at most 101 rows
         hit, total = hit + r.hit, total + r.n
         if hit >= precision * total:
             threshold = r.bin / 100
-    loose = assemble.transform(as_columns(rows.where("base is null")))
+    loose = rows.where("base is null").withColumn("vector", vector)
     return model.transform(loose).withColumn("p", p).where(F.col("p") >= threshold).select("row", "kind", "start", "end", "p")
 
 
-def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION
-) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """(id, base, spans): per document two arrays of (start, kind, end), by start and then kind.
 
     ``start`` and ``end`` count code points, ``end`` is exclusive, ``kind`` is a place in ``KINDS``.
@@ -189,13 +193,13 @@ def find_pii(
     the accepted proposals: a proposal that overlaps a base span, or a better accepted proposal,
     is left out. Null texts count as empty, repeated rows and null ids stay, an empty table gives no
     rows. If fewer than eight true or false base matches exist, no trees are fitted and only base
-    spans are returned. At most ``sample`` proposals, drawn by hash, are used for fitting.
+    spans are returned. Every proposal of a base kind is used, for fitting or for the threshold.
     """
     found = written(proposals(docs, id_col, text_col), "pii-proposals")
     base = F.filter("found", lambda x: F.coalesce(x.base, F.lit(False)))
     short = F.array_sort(F.transform(base, lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"))))
     rows = found.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    scored = _scored(rows, sample, precision)
+    scored = _scored(rows, precision)
     out = found.select("id", "row", short.alias("base"))
     if scored is None:
         return out.select("id", "base", F.col("base").alias("spans"))

@@ -68,6 +68,29 @@ def test_trees_add_lookalikes_of_true_spans(spark, docs):
     assert len(found[9000].spans) == 1 and not found[9000].base
 
 
+def test_trees_and_threshold_see_every_known_match(docs, monkeypatch):
+    """More matches of the base patterns than a former sample held: all are used, each once, and cuts are exact."""
+    fitted, judged = [], []
+
+    class Watched(pii.GBTClassifier):
+        def fit(self, df):
+            attributes = df.schema["vector"].metadata["ml_attr"]
+            fitted.append((df.count(), list(attributes["attrs"]), attributes["num_attrs"]))
+            model = super().fit(df)
+            real = model.transform
+            model.transform = lambda rows: judged.append(rows.count()) or real(rows)
+            return model
+
+    monkeypatch.setattr(pii, "GBTClassifier", Watched)
+    good = " ".join(f"u{i}@h.io" for i in range(400))
+    bad = " ".join(f"999.{i}.1.1" for i in range(400))
+    given = docs([(i, f"{good} {bad}") for i in range(15)])
+    assert {len(r.base) for r in pii.find_pii(given).collect()} == {400}
+    known = pii.proposals(given).selectExpr("size(filter(found, x -> x.base is not null)) AS n").agg({"n": "sum"}).first()[0]
+    assert fitted[0][0] + judged[0] == known > 25_000
+    assert fitted[0][1] == ["binary"] and fitted[0][2] > len(pii.FEATURES)
+
+
 def test_edge_cases(spark, docs):
     assert pii.find_pii(docs([])).count() == 0
     rows = [(None, "a@b.cd"), (4, "a@b.cd"), (4, "a@b.cd"), (5, None)]
