@@ -6,6 +6,9 @@ share a variant are linked. A variant is dealt by its leading bits: a fingerprin
 every prefix that at most ``radius // 2`` flips reach, with the flips it has left, and the variants
 of the other bits are made, deduplicated and verified inside that bucket. Buckets with too many
 variants are dealt again by more bits, so no bucket grows with the data.
+
+Near-duplicate removal takes those links as candidates, verifies them by the shingle sets, and adds
+the similar texts that are more than ``radius`` bits apart.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from math import comb, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendmend.llm.common import batches_of, components, local_roots, mark, numbered, remove, since, written
@@ -215,14 +218,16 @@ def _tokens(size: int):
 
 
 def _prefixes(size: int, least: float, shared):
-    """The first shingles of each text, so many that two similar texts have one of them in common."""
+    """SimHash of each text, and its first shingles, so many that two similar texts have one of them in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in batches:
-            tokens, sizes, bins = [], [], []  # tokens in the order, so that a place is a position
+            fps, tokens, sizes, bins = [], [], [], []  # tokens in the order, so that a place is a position
             for x in batch.column("text"):
-                own = np.unique(shingle_hashes(x.as_py() or b"", size))
+                hashes = shingle_hashes(x.as_py() or b"", size)
+                fps.append(majority(hashes))
+                own = np.unique(hashes)
                 weight = np.zeros(len(own), np.int64)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -234,7 +239,8 @@ def _prefixes(size: int, least: float, shared):
                 bins.append(np.minimum(counted, FULL).astype(np.uint8).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), lists], ["row", "size", "bins", "tokens"])
+            columns = [batch.column("row"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "fp", "size", "bins", "tokens"])
 
     return run
 
@@ -267,7 +273,7 @@ def _similar(least: float):
 
 
 def _prefix_rows(given: DataFrame, sketched: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(row, size, bins, tokens): the shingles of every different text's prefix, and its counts; written."""
+    """(row, fp, size, bins, tokens): every different text's SimHash, counts, and shingles of the prefix; written."""
     every = max(1, -(-texts.count() // COUNTED))
     some = given.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(_tokens(size), "token long")
     # Any one order of all shingles finds the same pairs; the counts only keep buckets small.
@@ -277,14 +283,40 @@ def _prefix_rows(given: DataFrame, sketched: DataFrame, texts: DataFrame, size:
     shared = given.sparkSession.sparkContext.broadcast((frequent[order], counts["n"].to_numpy(np.int64)[order]))
     copies = sketched.join(texts, sketched.row == texts.lead, "left_anti").select("row")
     copies = written(copies, "same-texts")
-    prefixes = given.select("row", "text").mapInArrow(_prefixes(size, similarity, shared), "row long, size int, bins binary, tokens array<long>")
+    prefixes = given.select("row", "text").mapInArrow(_prefixes(size, similarity, shared), "row long, fp long, size int, bins binary, tokens array<long>")
     return written(prefixes.join(copies, "row", "left_anti"), "prefixes", compression="zstd")
 
 
-def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are similar enough; written, and all copies on the way deleted."""
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _ball_pairs(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts with near fingerprints, by ball hashing; those with the same one meet its first text."""
+    led = written(prefixes.groupBy("fp").agg(F.min("row").alias("first")), "distinct-fingerprints")
+    links = written(ball_links(led.select("fp")), "ball-links")
+    of = lambda c: led.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    near = links.join(of("a"), "a").join(of("b"), "b").select(*_ordered("first_a", "first_b"))
+    same = prefixes.select("fp", "row").join(led, "fp").where("row <> first").select(*_ordered("row", "first"))
+    return near.unionByName(same)
+
+
+def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that no links connect so far."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+
+def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int, similarity: float, roots: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are similar enough; written, and all copies on the way deleted.
+
+    Pairs that ``roots`` connect already are left out.
+    """
     begin = mark()
     pairs = written(pairs.distinct(), "met")
+    if roots is not None:
+        pairs = _instead(begin, _unlinked(pairs, roots), "met")
     counted = pairs.join(prefixes.select(F.col("row").alias("a"), F.col("bins").alias("x")), "a").join(
         prefixes.select(F.col("row").alias("b"), F.col("bins").alias("y")), "b"
     )
@@ -310,7 +342,10 @@ def _instead(begin: int, df: DataFrame, label: str) -> DataFrame:
 def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, row_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows' digests, the different texts, and the root of every linked text; all written.
 
-    Texts whose prefixes share a shingle are in a bucket. In the first round all members meet one
+    First the texts with near fingerprints, found by ball hashing, are verified and linked. Similar
+    texts that are more bits apart, or that a bucket of fingerprints linked over others only, are
+    found by their prefixes: texts whose prefixes share a shingle are in a bucket, and pairs that
+    are not connected yet are compared. In the first round all members meet one
     centre. Buckets whose members are not all linked by then go on with more centres, chosen by
     hash, until all are linked or each member has been a centre: so each pair of a bucket is either
     compared or linked over others, and a bucket of near copies costs one pair for each.
@@ -328,6 +363,12 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     texts = sketched.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"))
     texts = written(texts.select("same", "first", F.col("first.row").alias("lead")), "texts")
     prefixes = _prefix_rows(given, sketched, texts, size, similarity)
+    begin = mark()
+    links = _verified(given, prefixes, _ball_pairs(prefixes), size, similarity)
+    remove(given.sparkSession, since(begin)[:-1])
+    begin = mark()
+    roots = components(links)
+    remove(given.sparkSession, since(begin)[:-1])
     tokens = prefixes.select(F.posexplode("tokens").alias("place", "token"), F.col("row").alias("lead"), "size")
     tokens = tokens.select("token", "lead", "size", "place")
 
@@ -337,22 +378,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
         shared = F.least(x - i, y - j)
         return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (shared >= similarity * (x + y - shared) - 1e-9)
 
-    def ordered(a: str, b: str):
-        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
     member = F.struct("lead", "size", "place")
     met = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high"))
     ends = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in ("low", "high") for c in ("lead", "size", "place")]
     begin = mark()
     met = written(met.where("n > 1").select("token", "n", *ends), "shared-shingles", compression="zstd")
     shared = since(begin)
-    two = met.where("n = 2").where(fits("_low", "_high")).select(*ordered("lead_low", "lead_high"))
+    two = met.where("n = 2").where(fits("_low", "_high")).select(*_ordered("lead_low", "lead_high"))
     more = met.where("n > 2").select("token", "n", *[c for c in met.columns if c.endswith("_low")])
     # ``turn`` says how many centres there have to be until a member is one.
     turn = F.shiftrightunsigned(F.xxhash64("lead"), 11) * F.lit(2.0**-53) * F.col("n")
     buckets = written(tokens.join(more, "token").withColumn("turn", turn), "buckets", compression="zstd")
-    stars = buckets.where("lead <> lead_low").where(fits("", "_low")).select(*ordered("lead", "lead_low"))
-    links = _verified(given, prefixes, two.unionByName(stars), size, similarity)
+    stars = buckets.where("lead <> lead_low").where(fits("", "_low")).select(*_ordered("lead", "lead_low"))
+    links = links.unionByName(_verified(given, prefixes, two.unionByName(stars), size, similarity, roots))
     remove(given.sparkSession, shared)
     buckets = buckets.select("token", "n", "lead", "size", "place", "turn")
     before, until = 0, CENTRES
@@ -368,7 +406,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
             return sketched, texts, roots
         rooted = _instead(begin, rooted.join(open_, "token", "left_semi").where(F.col("turn") >= before), "rooted")
         new = rooted.where(F.col("turn") < until).select("token", *[F.col(c).alias(f"{c}_b") for c in ("lead", "size", "place", "root")])
-        pairs = rooted.join(new, "token").where("root <> root_b").where(fits("", "_b")).select(*ordered("lead", "lead_b"))
+        pairs = rooted.join(new, "token").where("root <> root_b").where(fits("", "_b")).select(*_ordered("lead", "lead_b"))
         links = links.unionByName(_verified(given, prefixes, pairs, size, similarity))
         buckets = rooted.drop("root")
         before, until = until, until * CENTRES
@@ -386,7 +424,8 @@ def near_duplicates(
 
     Texts with the same words (ASCII letters lower-cased) are copies. Other texts are linked if the
     Jaccard similarity of their sets of ``size``-word shingles is at least ``similarity``; groups are
-    what links connect. Candidates come from prefixes: with all shingles in one order, two sets that
+    what links connect. Candidates are the texts whose SimHash fingerprints ball hashing links; for
+    what its four bits miss, more come from prefixes: with all shingles in one order, two sets that
     similar share one of their first ``n - ceil(similarity * n) + 1``. So no pair is missed.
     ``row`` is the stored row number ``row_col``; without one, rows are numbered in a written copy. Null texts count as empty and are copies of each other; null ids come first.
     An empty table gives no rows.

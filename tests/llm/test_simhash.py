@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -145,6 +146,39 @@ def test_near_copies_among_pages_of_a_template(docs, monkeypatch):
     assert got == groups_by_brute_force(texts) and len(set(got.values())) == 20
 
 
+def test_near_copies_are_found_by_ball_hashing(docs, monkeypatch):
+    """Without any prefix, texts at most four bits apart are still grouped, and unlike ones are not."""
+    import random
+
+    real = simhash._prefixes
+
+    def no_tokens(*args):
+        run = real(*args)
+
+        def without(batches):
+            for batch in run(batches):
+                none = pa.array([[]] * len(batch), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], none], batch.schema.names)
+
+        return without
+
+    monkeypatch.setattr(simhash, "_prefixes", no_tokens)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(600)) for _ in range(20)]
+    texts += [f"{t} one more" for t in texts[:10]]
+    texts += ["same " * 50 + " ".join(f"a{i}" for i in range(30)), "same " * 50 + " ".join(f"b{i}" for i in range(30))]  # one fingerprint
+    near = {i + 20 for i in range(10) if (fp(texts[i]) ^ fp(texts[i + 20])).bit_count() <= 4}
+    assert len(near) >= 8 and fp(texts[-1]) == fp(texts[-2])
+    got = {r.id: r.group for r in simhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert got == {i: i - 20 if i in near else i for i in range(len(texts))}
+
+
+def fp(text, size=5):
+    words = text.split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
 def test_near_duplicates_edge_cases(spark, docs):
     rows = [(None, "a b c"), (3, "a b c"), (3, "A b  c"), (1, None), (2, "")]
     got = simhash.near_duplicates(docs(rows)).collect()
