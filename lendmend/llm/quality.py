@@ -156,8 +156,17 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.array([v.astype(np.int64).tobytes() for v in values], pa.binary())
 
 
-def _both_views(docs: DataFrame, keep: str) -> DataFrame:
-    """(keep columns, text and meta feature hashes) of (source, lang, n_chars, text binary) rows."""
+def _both_views(docs: DataFrame, keep: str, vocabulary=None) -> DataFrame:
+    """(keep columns, text and meta feature hashes) of (source, lang, n_chars, text binary) rows.
+
+    With a ``vocabulary`` the numbers of the known features; in one pass, since a second one behind it
+    takes another Python worker for each core.
+    """
+
+    def lists(view: int, rows: list[np.ndarray]) -> pa.Array:
+        if vocabulary is None:
+            return _lists(rows)
+        return pa.array([vocabulary.value.numbers(view, x).astype(np.int32).tobytes() for x in rows], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +174,7 @@ def _both_views(docs: DataFrame, keep: str) -> DataFrame:
             meta = [meta_features(*x) for x in zip(*[batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")], strict=True)]
             own = [i for i, n in enumerate(batch.schema.names) if n not in ("text", "source", "lang", "n_chars")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in own), _lists(text), _lists(meta)], [*(batch.schema.names[i] for i in own), "words", "page"]
+                [*(batch.column(i) for i in own), lists(0, text), lists(1, meta)], [*(batch.schema.names[i] for i in own), "words", "page"]
             )
 
     return docs.mapInArrow(run, f"{keep}, words binary, page binary")
@@ -246,16 +255,7 @@ def score_documents(
 
     # All documents' features, as numbers of the vocabularies, are written once.
     vocabulary = spark.sparkContext.broadcast(CoTrained(*vocabularies))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [
-                pa.array([vocabulary.value.numbers(v, np.frombuffer(x.as_py(), np.int64)).astype(np.int32).tobytes() for x in batch.column(c)], pa.binary())
-                for v, c in enumerate(("words", "page"))
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *out], batch.schema.names)
-
-    features = _both_views(given, f"id {kind}, row long").mapInArrow(numbered, f"id {kind}, row long, words binary, page binary")
+    features = _both_views(given, f"id {kind}, row long", vocabulary)
     features = written(features, "features")
 
     def scored(model: CoTrained, rows: DataFrame) -> DataFrame:
