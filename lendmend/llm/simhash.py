@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendmend.llm.common import batches_of, components, local_roots, mark, numbered, remove, since, written
+from lendmend.llm.common import batches_of, components, local_roots, mark, numbered, remove, shuffles_freed, since, written
 
 RADIUS = 4
 BUCKET = 500_000  # variants aimed at in one bucket
@@ -186,7 +186,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 SIMILARITY = 0.8  # least Jaccard similarity of the shingle sets of near copies
 COUNTED = 5_000  # texts whose shingles are counted, to put frequent ones last
 FREQUENT = 8  # texts of those that hold a frequent shingle
-BINS = 128  # counts of a text's shingles by hash, which bound what two texts share
+BINS = 128  # counts of a short text's shingles by hash, which bound what two texts share; longer texts have more
 FULL = 255  # largest count that a bin holds
 BATCH = 128  # rows with whole texts, or pairs with whole shingle sets, that are handed to Python at once
 CENTRES = 16  # members of a bucket that the others are compared with; as many times more each round
@@ -217,6 +217,14 @@ def _tokens(size: int):
     return run
 
 
+def _bins(n: int) -> int:
+    """Bins of a text with ``n`` shingles: a power of two, at most two shingles to a bin.
+
+    With a fixed number the bound of long texts says nothing: full bins overlap by chance.
+    """
+    return BINS << (n // (2 * BINS)).bit_length()
+
+
 def _prefixes(size: int, least: float, shared):
     """SimHash of each text, and its first shingles, so many that two similar texts have one of them in common."""
 
@@ -235,7 +243,8 @@ def _prefixes(size: int, least: float, shared):
                 first = np.lexsort((own, weight))[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
                 tokens.append(own[first].view(np.int64))
                 sizes.append(len(own))
-                counted = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                width = _bins(len(own))
+                counted = np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width)
                 bins.append(np.minimum(counted, FULL).astype(np.uint8).tobytes())
             ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])))
@@ -246,15 +255,21 @@ def _prefixes(size: int, least: float, shared):
 
 
 def _possible(least: float):
-    """Pairs that their counts do not rule out: a bin's lesser count bounds what is shared there. Texts with a full bin stay."""
+    """Pairs that their counts do not rule out: a bin's lesser count bounds what is shared there.
+
+    The finer counts are added up to the other text's bins. Texts with a full bin stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for c in "xy")
-            both = np.minimum(x, y).sum(axis=1)
-            keep = both >= least * (x.sum(axis=1) + y.sum(axis=1) - both) - 1e-9
-            keep |= (np.maximum(x, y) == FULL).any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                full = max(x.max(), y.max()) == FULL
+                x, y = (c.reshape(-1, min(len(x), len(y))).sum(axis=0, dtype=np.int64) for c in (x, y))
+                both = np.minimum(x, y).sum()
+                keep.append(bool(full or both >= least * (x.sum() + y.sum() - both) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -308,6 +323,12 @@ def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
 
 
+def _asked(pairs: DataFrame) -> DataFrame:
+    """The texts of the pairs (a, b); written, so that few of known size are broadcast."""
+    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
+    return written(rows.distinct(), "asked")
+
+
 def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int, similarity: float, roots: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets are similar enough; written, and all copies on the way deleted.
 
@@ -317,13 +338,12 @@ def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int
     pairs = written(pairs.distinct(), "met")
     if roots is not None:
         pairs = _instead(begin, _unlinked(pairs, roots), "met")
-    counted = pairs.join(prefixes.select(F.col("row").alias("a"), F.col("bins").alias("x")), "a").join(
-        prefixes.select(F.col("row").alias("b"), F.col("bins").alias("y")), "b"
+    bins = prefixes.select("row", "bins").join(_asked(pairs), "row", "left_semi")
+    counted = pairs.join(bins.select(F.col("row").alias("a"), F.col("bins").alias("x")), "a").join(
+        bins.select(F.col("row").alias("b"), F.col("bins").alias("y")), "b"
     )
     pairs = _instead(begin, counted.select("a", "b", "x", "y").mapInArrow(_possible(similarity), "a long, b long"), "proposals")
-    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    asked = written(asked, "asked")  # of known size, so that few are broadcast
-    sets = given.select("row", "text").join(asked, "row", "left_semi").mapInArrow(_shingle_sets(size), "row long, shingles binary")
+    sets = given.select("row", "text").join(_asked(pairs), "row", "left_semi").mapInArrow(_shingle_sets(size), "row long, shingles binary")
     sets = written(sets, "shingle-sets")
     met = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b"
@@ -331,10 +351,10 @@ def _verified(given: DataFrame, prefixes: DataFrame, pairs: DataFrame, size: int
     return _instead(begin, met.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
 
-def _instead(begin: int, df: DataFrame, label: str) -> DataFrame:
+def _instead(begin: int, df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written, and every copy made since ``begin`` deleted."""
     old = since(begin)
-    out = written(df, label)
+    out = written(df, label, **options)
     remove(df.sparkSession, old)
     return out
 
@@ -362,6 +382,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     # One entry for each different text, led by its first row.
     texts = sketched.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"))
     texts = written(texts.select("same", "first", F.col("first.row").alias("lead")), "texts")
+    first = mark()
     prefixes = _prefix_rows(given, sketched, texts, size, similarity)
     begin = mark()
     links = _verified(given, prefixes, _ball_pairs(prefixes), size, similarity)
@@ -378,21 +399,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
         shared = F.least(x - i, y - j)
         return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (shared >= similarity * (x + y - shared) - 1e-9)
 
-    member = F.struct("lead", "size", "place")
-    met = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min(member).alias("low"), F.max(member).alias("high"))
-    ends = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in ("low", "high") for c in ("lead", "size", "place")]
+    # Only the counts go through a shuffle by all shingles; the rest is for those that are shared.
     begin = mark()
-    met = written(met.where("n > 1").select("token", "n", *ends), "shared-shingles", compression="zstd")
-    shared = since(begin)
-    two = met.where("n = 2").where(fits("_low", "_high")).select(*_ordered("lead_low", "lead_high"))
-    more = met.where("n > 2").select("token", "n", *[c for c in met.columns if c.endswith("_low")])
+    met = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles", compression="zstd")
     # ``turn`` says how many centres there have to be until a member is one.
     turn = F.shiftrightunsigned(F.xxhash64("lead"), 11) * F.lit(2.0**-53) * F.col("n")
-    buckets = written(tokens.join(more, "token").withColumn("turn", turn), "buckets", compression="zstd")
-    stars = buckets.where("lead <> lead_low").where(fits("", "_low")).select(*_ordered("lead", "lead_low"))
-    links = links.unionByName(_verified(given, prefixes, two.unionByName(stars), size, similarity, roots))
-    remove(given.sparkSession, shared)
-    buckets = buckets.select("token", "n", "lead", "size", "place", "turn")
+    buckets = _instead(begin, tokens.join(met, "token").withColumn("turn", turn), "buckets", compression="zstd")
+    begin = mark()
+    low = buckets.groupBy("token").agg(F.min(F.struct("lead", "size", "place")).alias("low"))
+    low = low.select("token", *[F.col(f"low.{c}").alias(f"{c}_low") for c in ("lead", "size", "place")])
+    low = written(low, "lowest", compression="zstd")  # Spark splits a hot shingle in a join of tables, not next to an aggregate
+    stars = buckets.join(low, "token").where("lead <> lead_low").where(fits("", "_low")).select(*_ordered("lead", "lead_low"))
+    links = links.unionByName(_verified(given, prefixes, stars, size, similarity, roots))
+    remove(given.sparkSession, since(begin)[:-1])
+    buckets = buckets.where("n > 2")  # two members have met by now
     before, until = 0, CENTRES
     while True:
         begin = mark()
@@ -403,7 +423,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
         open_ = rooted.where(F.col("n") > before).groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
         open_ = written(open_.where("low <> high").select("token"), "open-buckets")
         if open_.isEmpty():
-            return sketched, texts, roots
+            return sketched, texts, _instead(first, roots, "roots")
         rooted = _instead(begin, rooted.join(open_, "token", "left_semi").where(F.col("turn") >= before), "rooted")
         new = rooted.where(F.col("turn") < until).select("token", *[F.col(c).alias(f"{c}_b") for c in ("lead", "size", "place", "root")])
         pairs = rooted.join(new, "token").where("root <> root_b").where(fits("", "_b")).select(*_ordered("lead", "lead_b"))
@@ -432,7 +452,7 @@ def near_duplicates(
     """
     if row_col is None:
         docs, row_col = numbered(docs.select(*dict.fromkeys([id_col, text_col]))), "__row"
-    with batches_of(docs.sparkSession, BATCH):
+    with batches_of(docs.sparkSession, BATCH), shuffles_freed(docs.sparkSession):
         sketched, texts, roots = _linked(docs, id_col, text_col, size, similarity, row_col)
     grouped = texts.join(roots, texts.lead == roots.node, "left").select("same", "first", F.coalesce("root", "lead").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
@@ -445,6 +465,7 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near copies; see ``near_duplicates``."""
     rows = numbered(docs)
+    begin = mark()
     found = near_duplicates(rows, id_col, text_col, row_col="__row", **options)
-    gone = written(found.where("not keep").select(F.col("row").alias("__row")), "copies")
+    gone = _instead(begin, found.where("not keep").select(F.col("row").alias("__row")), "copies")
     return rows.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)

@@ -192,3 +192,75 @@ def test_copies_are_dropped_where_splits_shift(docs, shifting):
     shifting(simhash)
     rows = [(i, " ".join(f"w{i % 20}.{k}" for k in range(30))) for i in range(40)]
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs(rows)).collect()) == list(range(20))
+
+
+def counted(texts):
+    """(bins, shingles) of each text, as the pairs are given them."""
+
+    class shared:
+        value = (pa.array([], pa.uint64()).to_numpy(), pa.array([], pa.int64()).to_numpy())
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], ["row", "text"])
+    (out,) = simhash._prefixes(5, 0.8, shared)([batch])
+    return out.column("bins")
+
+
+def pairs_left(texts, pairs):
+    bins = counted(texts)
+    a, b = (pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))
+    batch = pa.RecordBatch.from_arrays([a, b, bins.take(a), bins.take(b)], ["a", "b", "x", "y"])
+    (out,) = simhash._possible(0.8)([batch])
+    return list(zip(*(out.column(c).to_pylist() for c in "ab"), strict=True))
+
+
+def test_counts_rule_out_long_unlike_texts():
+    """The whole sets of such pairs are not to be shuffled; by 128 counts, any texts of 5000 shingles look alike."""
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(n)) for n in (300, 300, 1000, 1000, 5000, 5000, 5000, 20_000, 20_000)]
+    unlike = [(0, 1), (2, 3), (4, 5), (5, 6), (7, 8), (0, 8)]
+    texts += [edited(rng, t, len(t.split()) // 100) for t in texts]
+    near = [(i, i + 9) for i in range(9)]
+    assert pairs_left(texts, unlike + near) == near
+
+
+def test_counts_of_different_numbers_of_bins():
+    """Near copies on either side of a step of the number of bins stay; a full bin rules nothing out."""
+    import random
+
+    rng = random.Random(7)
+    texts, near = [], []
+    for n in (250, 300, 500, 600, 1000, 1200, 4000, 4600):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+        near.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(words[: int(0.83 * n)])]
+    assert {len(x) != len(y) for x, y in (counted([texts[a], texts[b]]).to_pylist() for a, b in near)} == {True, False}
+    assert pairs_left(texts, near) == near
+    full = pa.array([bytes([255] * 128), bytes(128)])
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([1]), full.take([0]), full.take([1])], ["a", "b", "x", "y"])
+    assert [len(b) for b in simhash._possible(0.8)([batch])] == [1]
+
+
+def test_copies_on_the_way_are_deleted(spark, docs):
+    """The caller's write needs the numbered rows and the list of copies only."""
+    import os
+
+    from lendmend.llm import common
+
+    given = docs([(i, " ".join(f"w{i % 6}.{k}" for k in range(40)) + f" x{i}") for i in range(18)])
+    begin = common.mark()
+    out = simhash.drop_near_duplicates(given)
+    left = [f for f in common.since(begin) if os.path.exists(f.removeprefix("file:").replace("//", "/"))]
+    assert sorted(os.path.basename(f).split("-")[1] for f in left) == ["copies", "rows"]
+    assert sorted(r.doc_id for r in out.collect()) == list(range(6))
+
+
+def test_shuffles_are_freed_inside_only(spark):
+    from lendmend.llm import common
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    with common.shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
