@@ -234,9 +234,7 @@ def knn_repair(
     """(key, feature, value) from the k customers whose factors are most similar."""
     from lendmend.sources.zones import written
 
-    factors = model.userFactors.select(
-        F.col("id").alias("user"), F.col("features").cast("array<double>").alias("vec")
-    )
+    factors = model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("vec"))
     wanted = written(missing.select("user", "item").distinct(), "wanted")
     asking = factors.join(wanted, "user", "left_semi")
     near = similar(asking, factors, "vec", k, id_col="user", **kw)

@@ -1,10 +1,15 @@
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lendmend.operators.customers import case_vote
 from lendmend.operators.factors import dense_ids, weighted_value
+from lendmend.operators import similar as S
 from lendmend.operators.similar import probed_share, similar, similar_probed, top_k_similar
+from lendmend.sources.zones import shared_dir
 
 
 def table(spark, x, ids=None):
@@ -78,6 +83,58 @@ def test_ties_go_to_the_smaller_id(spark):
     }
 
 
+def test_pairs_of_blocks_are_not_shuffled_and_copies_go(spark):
+    """Only the result stays on disk, and each vector is moved once for all the blocks it meets."""
+    rng = np.random.default_rng(6)
+    df = table(spark, rng.normal(size=(120, 4)))
+    packed = S._packed(S._vectors(df, "customer_id", "v").withColumns({"_cell": F.lit(0), "_block": F.lit(0)}), 20, "test-blocks")
+    assert packed.count() >= 6
+    plan = S._search(packed, packed, 3, ("float64", "float64"), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    had = set(os.listdir(shared_dir(spark)))
+    similar(df, df, "v", 3, cell_rows=30).count()
+    similar_probed(df, df, "v", 3, probes=2, cell_rows=30).count()
+    left = set(os.listdir(shared_dir(spark))) - had
+    assert sorted(name.rsplit("-", 1)[0] for name in left) == ["probed", "similar"]
+
+
+@pytest.mark.parametrize("cell_rows", [10_000, 40])
+def test_repeated_ids_and_vectors_without_numbers(spark, cell_rows):
+    """A repeated id is asked for each of its rows and is no neighbour of itself; what has no direction is left out."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 4))
+    ids = [i // 2 for i in range(90)]  # each id has two vectors
+    odd = spark.createDataFrame(
+        [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1002, [float("nan"), 1.0, 0.0, 0.0])], "customer_id bigint, v array<double>"
+    )
+    df = table(spark, x, ids).unionByName(odd)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(45):
+        rows = [(round(-s, 9), ids[j]) for a in (2 * i, 2 * i + 1) for j, s in enumerate(unit[a] @ unit.T) if ids[j] != i]
+        want |= {(i, j, round(-s, 6), r + 1) for r, (s, j) in enumerate(sorted(rows)[:3])}
+    got = similar(df, df, "v", 3, block_rows=16, cell_rows=cell_rows).collect()
+    assert {(r["customer_id"], r["neighbour"], round(r["similarity"], 6), r["rank"]) for r in got} == want
+
+
+def test_many_equal_vectors_go_by_id(spark):
+    """A tile of equals is cut by id, and what is above them stays."""
+    x = np.tile([[3.0, 1.0, 2.0]], (700, 1))
+    x[650] = [3.0, 1.0, 2.1]
+    vecs = S._units(x)
+    top = S._Top(pa.array([-1]), S._units(np.array([[3.0, 1.0, 2.2]])), None, 4)
+    top.meet(pa.array(np.arange(700)), vecs, np.arange(1))
+    assert top.result().column("_cid").to_pylist() == [650, 0, 1, 2]
+
+
+def test_names_and_null_ids(spark):
+    """Ids of any type; a null id is asked as well, and is no other's."""
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), (None, [1.0, 0.2]), ("d", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "customer_id string, v array<float>")
+    got = {(r["customer_id"], r["neighbour"]) for r in similar(df, df, "v", 1).collect()}
+    assert got >= {("a", "b"), ("d", None)} and {x for x, _ in got} == {"a", "b", None, "d"}
+
+
 def test_weighted_value(spark):
     near = spark.createDataFrame(
         [("t", "a", 0.5), ("t", "b", 0.25), ("t", "c", 0.25), ("t", "d", -0.9)],
