@@ -16,12 +16,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNIT = 1 << 24  # gradients are summed as multiples of 1 / UNIT
 PATIENCE = 5  # rounds without a better loss
-REFRESH = 20  # rounds between written copies of the margins
+REFRESH = 20  # rounds between written copies of the margins, as each pass goes through the trees since the last
+MANY_ROWS = 200_000  # from so many on a copy each round costs less than its trees in every pass
+BLOCK = ["bins", "y", "w", "valid", "margin"]  # what a block holds of its rows
 FEATURE, THRESHOLD, CUT, MISSING_LEFT, VALUE = range(5)  # columns of a tree's node table
 
 
@@ -39,6 +41,8 @@ def _descend(tree: np.ndarray, n: int, left_of: Callable[[np.ndarray, np.ndarray
     at = np.zeros(n, np.int64)
     for _ in range((len(tree) + 1).bit_length() - 2):
         feature = tree[at, FEATURE].astype(int)
+        if not (feature >= 0).any():
+            break
         at = np.where(feature >= 0, 2 * at + np.where(left_of(at, feature), 1, 2), at)
     return at
 
@@ -108,7 +112,8 @@ def bin_edges(train: DataFrame, features: list[str], bins: int) -> list[list[flo
 
 
 def _binned(train: DataFrame, features: list[str], edges: list[list[float]], missing: int) -> DataFrame:
-    """(bins binary, y, w, valid, margin) of rows (cells, y, w, valid)."""
+    """Blocks of rows (cells, y, w, valid): one row with the bytes of the bins, y, w, valid and the margin of
+    each batch. Every pass reads all rows, and as rows of a table they cost the JVM more than the sums do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,23 +122,39 @@ def _binned(train: DataFrame, features: list[str], edges: list[list[float]], mis
             for j, ends in enumerate(edges):
                 bins[:, j] = np.searchsorted(ends, cells[:, j], side="left")
             bins[np.isnan(cells)] = missing
-            packed = pa.array([row.tobytes() for row in bins], pa.binary())
-            margin = pa.array(np.zeros(len(cells)))
-            yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:], margin], ["bins", "y", "w", "valid", "margin"])
+            if len(bins):
+                rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4)]
+                yield _block([x.tobytes() for x in (bins, *rows, np.zeros(len(bins)))])
+
+    return train.mapInArrow(run, ", ".join(f"{c} binary" for c in BLOCK))
+
+
+def _block(parts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], BLOCK)
+
 
-    return train.mapInArrow(run, "bins binary, y double, w double, valid boolean, margin double")
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [batch.column(c)[i].as_py() for c in BLOCK]
 
 
-def _rows(batch: pa.RecordBatch, width: int, trees: list[np.ndarray], missing: int):
-    packed = b"".join(batch.column(0).to_pylist())
-    bins = np.frombuffer(packed, np.uint8).reshape(-1, width)
-    y, w, valid, margin = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+def _rows(block: list[bytes], width: int, trees: list[np.ndarray], missing: int):
+    bins = np.frombuffer(block[0], np.uint8).reshape(-1, width)
+    y, w, valid, margin = (np.frombuffer(x, kind) for x, kind in zip(block[1:], (float, float, bool, float), strict=True))
     margin = margin.copy()
     for tree in trees:
         margin += tree[_binned_leaves(tree, bins, missing), VALUE]
     return bins, y, w, valid, margin
 
 
+def _few_blocks(spark: SparkSession):
+    """Blocks are handed to Python a few at once."""
+    from lendmend.sources.zones import _setting
+
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+
+
 def _derivatives(loss: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient, second derivative, loss) of each row."""
     if loss == "squared":
@@ -154,8 +175,8 @@ def _sums(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, nodes * width * bins_n), np.int64)
         held = [0, 0]
-        for batch in batches:
-            bins, y, w, valid, margin = _rows(batch, width, trees, missing)
+        for block in _blocks(batches):
+            bins, y, w, valid, margin = _rows(block, width, trees, missing)
             g, h, lost = _derivatives(loss, y, base + margin)
             if valid.any():
                 held[0] += int(np.rint((w * lost)[valid] * UNIT).sum())
@@ -172,7 +193,8 @@ def _sums(
         columns = [np.r_[used, -1], np.r_[total[0][used], held[0]], np.r_[total[1][used], held[1]]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "g", "h"])
 
-    found = rows.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    with _few_blocks(rows.sparkSession):
+        found = rows.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
     out = np.zeros((2, nodes * width * bins_n))
     cell, sum_g, sum_h = (found[c].to_numpy() for c in ("cell", "g", "h"))
     mine, held = cell >= 0, cell < 0
@@ -239,7 +261,8 @@ def fit_boosted(
     y = F.col(label).cast("double")
     given = train.where(y.isNotNull() & ~F.isnan(y)).select(_cells(features).alias("cells"), y.alias("y"), weight.alias("w"), valid.alias("valid"))
     own = F.when(~F.col("valid"), F.col("w"))
-    all_w, mean, square = given.agg(F.sum(own), F.try_divide(F.sum(own * F.col("y")), F.sum(own)), F.try_divide(F.sum(own * F.col("y") ** 2), F.sum(own))).first()
+    all_w, mean, square, n = given.agg(F.sum(own), F.try_divide(F.sum(own * F.col("y")), F.sum(own)), F.try_divide(F.sum(own * F.col("y") ** 2), F.sum(own)), F.count(F.lit(1))).first()
+    refresh = REFRESH if n < MANY_ROWS else 1
     if not all_w:
         raise ValueError("no rows to fit on")
     if loss == "squared":
@@ -274,8 +297,9 @@ def fit_boosted(
             break
         model.trees.append(tree)
         fresh.append(tree)
-        if len(fresh) == REFRESH:
-            rows, old = written(_advanced(rows, width, fresh, missing), "binned"), rows
+        if len(fresh) == refresh:
+            with _few_blocks(rows.sparkSession):
+                rows, old = written(_advanced(rows, width, fresh, missing), "binned"), rows
             discard(old)
             fresh = []
     discard(rows)
@@ -310,8 +334,7 @@ def _advanced(rows: DataFrame, width: int, trees: list[np.ndarray], missing: int
     """The rows with the margins of some more trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = _rows(batch, width, trees, missing)[4]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margin)], batch.schema.names)
+        for block in _blocks(batches):
+            yield _block([*block[:4], _rows(block, width, trees, missing)[4].tobytes()])
 
     return rows.mapInArrow(run, rows.schema)

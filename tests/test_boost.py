@@ -36,6 +36,33 @@ def test_first_cut_equals_a_search_over_all_cuts(spark):
         assert tree[child, boost.VALUE] == pytest.approx(-g[rows].sum() / (h[rows].sum() + 1.0), rel=1e-5)
 
 
+def test_large_tables_carry_margins_along(spark, monkeypatch):
+    """Each pass goes through one finished tree at most, and the trees are those of a fit that goes through all."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(a), float(b), float(3 * a + b * b)) for a, b in rng.normal(size=(400, 2))], "a double, b double, y double")
+    seen, sums = [], boost._sums
+    monkeypatch.setattr(boost, "_sums", lambda rows, width, trees, *more: seen.append(len(trees)) or sums(rows, width, trees, *more))
+    fit = lambda: boost.fit_boosted(df, ["a", "b"], "y", "squared", depth=2, rounds=4)
+    few = fit()
+    assert max(seen) == 4
+    seen.clear()
+    monkeypatch.setattr(boost, "MANY_ROWS", 400, raising=False)
+    many = fit()
+    assert max(seen) == 0
+    assert all((a == b).all() for a, b in zip(few.trees, many.trees, strict=True)) and len(many.trees) == 4
+
+
+def test_a_pass_reads_blocks_of_rows(spark):
+    """The binned table has a row for many rows, with all that a pass needs of them."""
+    data = [(float(i % 7), None if i % 3 else 1.0, float(i), 1.0 + i % 2, i % 5 == 0) for i in range(300)]
+    given = spark.createDataFrame(data, "a double, b double, y double, w double, valid boolean").coalesce(1)
+    given = given.select(F.array("a", "b").alias("cells"), "y", "w", "valid")
+    (row,) = boost._binned(given, ["a", "b"], [[1.0, 3.0], [0.5]], 3).collect()
+    bins, y, w, valid, margin = boost._rows([bytes(row[c]) for c in boost.BLOCK], 2, [], 3)
+    assert bins.tolist() == [[int(np.searchsorted([1.0, 3.0], a)), 3 if b is None else 1] for a, b, *_ in data]
+    assert list(zip(y, w, valid)) == [r[2:] for r in data] and not margin.any()
+
+
 def test_missing_values_carry_the_signal(spark):
     """Filled with the median, missing rows look like those in the middle; here they go their own way."""
     x = F.when(F.rand(2) < 0.3, F.lit(None)).otherwise(F.round(F.randn(3)))
