@@ -120,9 +120,13 @@ def batch_step(
 
     ``intake`` sets aside what must not be decided; ``record`` is told batch, rows and seconds.
     """
-    from lendmend.sources.zones import discard, written
+    from lendmend.sources.zones import discard, shuffles_freed, written
 
     def step(batch_df: DataFrame, batch_id: int) -> None:
+        with shuffles_freed(batch_df.sparkSession):  # a stream has a session of its own
+            work(batch_df, batch_id)
+
+    def work(batch_df: DataFrame, batch_id: int) -> None:
         began = time.monotonic()
         fresh = batch_df if intake is None else intake.sort_out(batch_df, batch_id)
         decisions = written(decide(fresh, models), "decisions")

@@ -212,3 +212,21 @@ def test_parity_finds_a_difference(spark):
     a = spark.createDataFrame([("a", 0.1, 600.0), ("b", 0.2, 500.0)], "application_id string, p double, score double")
     b = spark.createDataFrame([("a", 0.1, 600.0), ("c", 0.2, 500.0)], "application_id string, p double, score double")
     assert {r["application_id"] for r in decisions.check_parity(a, b).collect()} == {"b", "c"}
+
+
+def test_a_batch_frees_its_shuffles(spark, tmp_path, live):
+    """While a batch runs, shuffle files go with the copy they were made for; the session's setting comes back."""
+    key, told = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    sink = lambda out, batch_id: told.append(out.sparkSession.conf.get(key))
+    rows = spark.createDataFrame([("a1", "c1", 1.0, {"x1": 0.5})], "application_id string, customer_id string, amount double, features map<string,double>")
+    before = spark.conf.get(key, "false")
+    decisions.batch_step(live, sink)(rows, 0)
+    assert told == ["true"] and spark.conf.get(key, "false") == before
+
+
+def test_deliveries_are_compressed(spark, tmp_path):
+    """Messages in gzip files are read like any others."""
+    spark.createDataFrame([(message(i),) for i in range(4)], "value string").write.option("compression", "gzip").text(str(tmp_path / "in"))
+    got = application_stream(spark, directory=str(tmp_path / "in")).writeStream.format("memory").queryName("zipped").trigger(availableNow=True).start()
+    got.awaitTermination()
+    assert spark.table("zipped").where("application_id is not null").count() == 4
