@@ -73,10 +73,11 @@ def to_ratings(
 
     Ids and cells are written once: the factorisation and every repair read them again.
     """
-    from lendmend.sources.zones import written
+    from lendmend.sources.zones import shuffles_freed, written
 
     scaler = scaler or Scaler(features).fit(df)
-    users = written(dense_ids(df, key), "users")
+    with shuffles_freed(df.sparkSession):
+        users = written(dense_ids(df, key), "users")
     long = (
         scaler.transform(df)
         .select(key, *[F.col(f"{f}_std").alias(f) for f in features])
@@ -86,19 +87,27 @@ def to_ratings(
     )
     out = Ratings(long, users, features, scaler)
     item = out.item_of(F.col("feature")).alias("item")
-    out.cells = written(
-        long.select("user", item, F.col("value").cast("float").alias("rating")), "ratings"
-    )
+    with shuffles_freed(df.sparkSession):
+        out.cells = written(
+            long.select("user", item, F.col("value").cast("float").alias("rating")), "ratings"
+        )
     return out
 
 
 def als_fit(
     ratings: Ratings, rank: int = 50, reg: float = 0.1, iterations: int = 10, seed: int = 7
 ) -> ALSModel:
+    """Every user's factors go through a shuffle for each item, in every iteration. With the item factors written
+    after each, which are few, the shuffle files of one iteration are deleted before the next."""
+    from lendmend.sources.zones import shared_dir
+
+    sc = ratings.cells.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"{shared_dir(ratings.cells.sparkSession)}/factors")
     blocks = max(10, math.ceil(ratings.cells.count() / CELLS_PER_BLOCK))
     return ALS(
         numUserBlocks=blocks, rank=rank, regParam=reg, maxIter=iterations, seed=seed, userCol="user", itemCol="item",
-        ratingCol="rating", coldStartStrategy="drop", nonnegative=False,
+        ratingCol="rating", coldStartStrategy="drop", nonnegative=False, checkpointInterval=1,
     ).fit(ratings.cells)
 
 
@@ -213,12 +222,13 @@ def weighted_value(neighbours: DataFrame, observed: DataFrame, key: str = KEY) -
     """Similarity-weighted mean of the neighbours' observed values.
 
     ``neighbours``: key, neighbour, similarity; ``observed``: key, feature, value. Neighbours
-    that point away (similarity <= 0) carry no weight.
+    that point away (similarity <= 0) carry no weight. With a column feature, ``neighbours`` tells
+    for which features it asks.
     """
     near = neighbours.where(F.col("similarity") > 0)
     seen = observed.withColumnRenamed(key, "neighbour")
     return (
-        near.join(seen, "neighbour")
+        near.join(seen, ["neighbour", "feature"] if "feature" in near.columns else "neighbour")
         .groupBy(key, "feature")
         .agg(
             F.try_divide(
@@ -239,12 +249,13 @@ def knn_repair(
     asking = factors.join(wanted, "user", "left_semi")
     near = similar(asking, factors, "vec", k, id_col="user", **kw)
     seen = ratings.cells.select("user", "item", F.col("rating").cast("double").alias("value"))
+    # Only what is wanted meets the neighbours' cells.
+    asked = near.join(wanted.withColumnRenamed("item", "feature"), "user")
     scaled = weighted_value(
-        near, seen.withColumnRenamed("item", "feature"), key="user"
+        asked, seen.withColumnRenamed("item", "feature"), key="user"
     ).withColumnRenamed("feature", "item")
     return (
-        scaled.join(wanted, ["user", "item"], "left_semi")
-        .join(ratings.users, "user")
+        scaled.join(ratings.users, "user")
         .select(
             key,
             ratings.feature_of(F.col("item")).alias("feature"),

@@ -197,9 +197,10 @@ def fit_repair(
     becomes the confidence of that feature's repairs. One customer in five is left out of that check's
     factors, and shows how well numbers of new customers are folded in.
     """
-    from lendmend.sources.zones import written
+    from lendmend.sources.zones import discard, shuffles_freed, written
 
-    train = written(train, "repair-train")  # mined per target and factorised
+    with shuffles_freed(train.sparkSession):
+        train = written(train, "repair-train")  # mined per target and factorised
     table = train.sparkSession.createDataFrame([], RULE_SCHEMA)
     if categorical:
         table = written(rules(train, item_cols, categorical, min_support, min_confidence), "rules")
@@ -214,14 +215,17 @@ def fit_repair(
 
             def surely(got, of):
                 seen = als_metrics(masked_truth(got, truth, cells.where(of), key))
-                rows = seen.collect()  # one row per feature
+                with shuffles_freed(train.sparkSession):
+                    rows = seen.collect()  # one row per feature
                 return {x["feature"]: max(0.0, 1.0 - x["rmse_sd"]) for x in rows if x["rmse_sd"] is not None}
 
             model.confidence = surely(als_repair(m, empty_cells(hidden, r, key), r, key), ~new)
             model.fold_confidence = surely(fold_in_repair(fold_in(m, r), hidden, r, key), new)
+            discard(r.cells, r.users)
         model.ratings = to_ratings(train, numeric, key)
         model.als = als_fit(model.ratings, rank, iterations=iterations)
         model.folding = fold_in(model.als, model.ratings)
+    discard(train)
     return model
 
 

@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lendmend.operators import factors, repair, rules
 from lendmend.operators.combine import masked_truth
+from lendmend.sources.zones import shared_dir
 from workload import planted
 
 COLS = ["age", "grade", "work"]
@@ -194,3 +197,28 @@ def test_compare_methods(spark):
     b = spark.createDataFrame([(1, "n", "10", "12")], "customer_id int, feature string, truth string, repaired string")
     got = {r["method"]: r for r in repair.compare_methods({"rule": a, "als": b}).collect()}
     assert got["rule"]["accuracy"] == 1.0 and got["rule"]["rmse"] is None and got["als"]["rmse"] == 2.0
+
+
+def test_factors_are_fitted_with_one_iteration_on_disk(spark, monkeypatch):
+    """The item factors are written after each iteration, so that its shuffle files can go."""
+    told, plain = {}, factors.ALS
+    monkeypatch.setattr(factors, "ALS", lambda **kw: told.update(kw) or plain(**kw))
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "customer_id int, a double, b double")
+    factors.als_fit(factors.to_ratings(df, ["a", "b"]), rank=2, iterations=2)
+    assert told["checkpointInterval"] == 1 and spark.sparkContext.getCheckpointDir()
+
+
+def test_a_fit_leaves_only_what_its_model_reads(spark):
+    rows = [(i, float(i % 7), None if i % 9 == 0 else float(i % 5), "x" if i % 2 else "y") for i in range(90)]
+    df = spark.createDataFrame(rows, "customer_id int, a double, b double, c string")
+    before = set(os.listdir(shared_dir(spark)))
+    model = repair.fit_repair(df, [], ["a", "b"], [], rank=2, iterations=2, check_share=0.3)
+    new = [name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before]
+    assert sorted(n for n in new if n in ("repair-train", "users", "ratings")) == ["ratings", "users"]
+    assert model.repair(df).where("a is null or b is null").isEmpty()
+
+
+def test_neighbours_are_asked_for_wanted_features_only(spark):
+    near = spark.createDataFrame([("t", "a", 0.5, "s"), ("t", "b", 0.5, "s")], "customer_id string, neighbour string, similarity double, feature string")
+    seen = spark.createDataFrame([("a", "s", 1.0), ("b", "s", 3.0), ("a", "r", 9.0)], "customer_id string, feature string, value double")
+    assert [tuple(r) for r in factors.weighted_value(near, seen).collect()] == [("t", "s", 2.0)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lendmend.operators import combine as J
 from lendmend.operators import encode, factors, features, repair, rules, select
-from lendmend.sources.zones import written
+from lendmend.sources.zones import discard, shuffles_freed, written
 from workload.base import AS_OF, query
 
 # ---- encoders ----
@@ -391,9 +391,9 @@ GAPS = """SELECT customer_id, 'age' AS feature, true AS plausible FROM {customer
     UNION ALL SELECT customer_id, unnest(['loan_cnt', 'outstanding', 'disbursed']), true FROM {customers} WHERE loan_cnt IS NULL"""
 
 
-def plausible(d, got):
+def plausible(rows, got):
     """Whether repaired numbers lie within the spread of the known ones, widened by its half."""
-    bounds = d.customers.agg(*[F.struct(F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")).alias(f) for f in NUMERIC]).first()
+    bounds = rows.agg(*[F.struct(F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")).alias(f) for f in NUMERIC]).first()
     ok = F.lit(False)
     for f in NUMERIC:
         half = (bounds[f]["hi"] - bounds[f]["lo"]) / 2
@@ -407,7 +407,7 @@ def factor_repair(d):
     rows = d.customers.select("customer_id", *NUMERIC)
     r = factors.to_ratings(rows, NUMERIC)
     model = factors.als_fit(r, rank=50, iterations=10)
-    return plausible(d, factors.als_repair(model, factors.empty_cells(rows, r), r))
+    return plausible(rows, factors.als_repair(model, factors.empty_cells(rows, r), r))
 
 
 @query(
@@ -475,11 +475,13 @@ def new_customer_repair(d):
 )
 def neighbour_repair(d):
     """Only missing cells are repaired, nearly all of them, within the spread of the known values."""
-    rows = d.customers.select("customer_id", *NUMERIC)
-    r = factors.to_ratings(rows, NUMERIC)
-    model = factors.als_fit(r, rank=8, iterations=10)
-    gaps = written(factors.empty_cells(rows, r), "gaps")
-    got = written(plausible(d, factors.knn_repair(model, gaps, r, k=10)), "repaired")
+    with shuffles_freed(d.spark):
+        rows = written(d.customers.select("customer_id", *NUMERIC), "customers")
+        r = factors.to_ratings(rows, NUMERIC)
+        model = factors.als_fit(r, rank=8, iterations=10)
+        gaps = written(factors.empty_cells(rows, r), "gaps")
+        got = written(plausible(rows, factors.knn_repair(model, gaps, r, k=10)), "repaired")
+    discard(rows, r.cells)
     strangers = got.join(gaps, ["customer_id", "feature"], "left_anti").count()
     return got.agg(
         F.lit(strangers).cast("bigint").alias("strangers"),
@@ -518,12 +520,18 @@ def number_repair_metrics(d):
 
 
 def repair_input(d):
+    """The rows to repair, written once: the views below them shuffle all line items."""
+    with shuffles_freed(d.spark):
+        return written(_repair_input(d), "repair-input")
+
+
+def _repair_input(d):
     return banded(d).join(d.customers.select("customer_id", *NUMERIC), "customer_id")
 
 
-def fitted_repair(d, check_share=0.0):
+def fitted_repair(rows, check_share=0.0):
     return repair.fit_repair(
-        repair_input(d), TARGETS, NUMERIC, ITEM_COLS, 0.1, 0.4, rank=50, iterations=10,
+        rows, TARGETS, NUMERIC, ITEM_COLS, 0.1, 0.4, rank=50, iterations=10,
         check_share=check_share,
     )
 
@@ -537,7 +545,7 @@ def fitted_repair(d, check_share=0.0):
 def repaired_customers(d):
     """Known values stay, every missing number is filled, and each repair tells its confidence."""
     given = repair_input(d)
-    out = fitted_repair(d, check_share=0.2).repair(given)
+    out = fitted_repair(given, check_share=0.2).repair(given)
     was = given.select("customer_id", F.col("age").alias("known_age"))
     by_factors = F.coalesce(F.size(F.filter("repairs", lambda r: r.method == "als")), F.lit(0)).cast("bigint")
     kept = F.col("known_age").isNull() | (F.col("known_age") == F.col("age"))
@@ -553,7 +561,7 @@ def repaired_customers(d):
 )
 def method_comparison(d):
     """Each method is measured on each of its features: coverage, and accuracy or error."""
-    rows = written(repair_input(d), "complete")
+    rows = repair_input(d)
     features_ = [*TARGETS, *NUMERIC]
     masked, hidden = repair.mask(rows, features_)
     truth = repair.to_cells(rows, features_)
@@ -584,7 +592,8 @@ def method_comparison(d):
 )
 def repair_answers(d):
     """Answers for every missing number, each with a measured confidence, and the answers of the rules."""
-    got = repair.repair_request(fitted_repair(d, check_share=0.2), repair_input(d))
+    given = repair_input(d)
+    got = repair.repair_request(fitted_repair(given, check_share=0.2), given)
     sure = F.coalesce(F.col("confidence").between(0, 1), F.lit(False)) & F.col("value").isNotNull()
     by_rule = F.col("method") == "rule"
     return got.select(
